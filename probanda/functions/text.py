@@ -12,6 +12,11 @@ from .. import fixed_values as V
 # which Java's plain \s leaves out.
 WS_CHARS = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WS = f"[{WS_CHARS}]"
+WS_LITERAL = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+LONG_TEXT = 10_000_000
 
 
 def decode_utf8(content: Column) -> Column:
@@ -28,13 +33,16 @@ def nfc(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+|{WS}+\\z", "")
+    """Whitespace off both ends.  The built-in trim is far cheaper than a pattern but
+    indexes every byte of its input, so very long texts take the pattern."""
+    by_pattern = F.regexp_replace(text, f"^{WS}+|{WS}+\\z", "")
+    return F.when(F.length(text) > LONG_TEXT, by_pattern).otherwise(F.btrim(text, F.lit(WS_LITERAL)))
 
 
 def clean_text(text: Column) -> Column:
     """NFC, one newline style, single blanks, at most one empty line, stripped."""
     out = F.regexp_replace(nfc(text), "\\r\\n?", "\n")
-    out = F.regexp_replace(out, "[ \\t]+", " ")
+    out = F.regexp_replace(out, "[ \\t]{2,}|\\t", " ")
     out = F.regexp_replace(out, "\\n{3,}", "\n\n")
     return strip(out)
 

@@ -47,16 +47,20 @@ def reject_reason(parsers: dict[str, Parser], max_bytes: int = V.DOCUMENT_MAX_BY
 def validate_uploads(
     uploads: DataFrame, parsers: dict[str, Parser] | None = None, max_bytes: int = V.DOCUMENT_MAX_BYTES
 ) -> DataFrame:
-    """Adds content_hash, cleaned text and reject_reason (null when accepted)."""
+    """Adds content_hash, cleaned text and reject_reason (null when accepted).
+
+    A text cleans to nothing exactly when it holds only whitespace, so acceptance is
+    known from its first other character, and tables that carry no text are built
+    without cleaning any.
+    """
     parsers = parsers or PARSERS
-    checked = uploads.withColumn("reject_reason", reject_reason(parsers, max_bytes))
-    cleaned = checked.withColumn(
-        "text", F.when(F.col("reject_reason").isNull(), T.clean_text(parsed_text(parsers)))
-    )
-    return cleaned.withColumns(
+    parsed = parsed_text(parsers)
+    blank = ~parsed.rlike(f"[^{T.WS_CHARS}]")
+    return uploads.withColumns(
         {
             "content_hash": F.sha2("content", 256),
-            "reject_reason": F.coalesce("reject_reason", F.when(F.col("text") == "", "no_text")),
+            "text": T.clean_text(parsed),
+            "reject_reason": F.coalesce(reject_reason(parsers, max_bytes), F.when(blank, "no_text")),
         }
     )
 
@@ -117,8 +121,10 @@ def ingest(
     parsers: dict[str, Parser] | None = None,
     size: int = V.CHUNK_SIZE,
     overlap: int = V.CHUNK_OVERLAP,
+    carry: list[str] | None = None,
 ) -> Ingested:
     """uploads(path, filename, content, created_at, ingest_order[, title, project_id]).
+    Columns named in ``carry`` go along to the chunks.
 
     Ids hash the upload path, so equal bytes uploaded twice stay two documents and a
     retried task writes the same rows again.
@@ -161,7 +167,7 @@ def ingest(
         "created_at",
     )
     chunks = chunk_documents(
-        accepted.select("document_id", "concept_id", "ingest_order", "text"), "text", size, overlap
+        accepted.select("document_id", "concept_id", "ingest_order", "text", *(carry or [])), "text", size, overlap
     ).withColumns(
         {
             "chunk_id": T.stable_id(F.col("document_id"), F.col("chunk_index")),

@@ -1,98 +1,99 @@
-"""Table schemas.  One StructType per entity table plus the derived tables that flow
-between operators; REFERENCES lists every foreign key for the integrity report."""
+"""Table schemas as DDL, one per entity table plus the derived tables that flow between
+operators; REFERENCES lists every foreign key for the integrity report.  Readers take
+the text as it is; ``struct_of`` gives the StructType once a session exists."""
 
 from __future__ import annotations
 
 from pyspark.sql.types import StructType
 
 
-def _t(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
+def struct_of(table: str) -> StructType:
+    return StructType.fromDDL(ENTITIES[table])
 
 
-ENTITIES: dict[str, StructType] = {
-    "users": _t("id string not null, username string not null, email string, created_at timestamp not null"),
-    "sessions": _t(
+ENTITIES: dict[str, str] = {
+    "users": "id string not null, username string not null, email string, created_at timestamp not null",
+    "sessions": (
         "id string not null, user_id string, started_at timestamp not null, "
         "ended_at timestamp, status string not null"
     ),
-    "projects": _t(
+    "projects": (
         "id string not null, user_id string, name string not null, description string, "
         "created_at timestamp not null, updated_at timestamp not null"
     ),
-    "conversations": _t(
+    "conversations": (
         "id string not null, session_id string, project_id string, "
         "started_at timestamp not null, ended_at timestamp"
     ),
-    "concepts": _t(
+    "concepts": (
         "id string not null, name string not null, description string, "
         "created_at timestamp not null, updated_at timestamp not null"
     ),
-    "definitions": _t(
+    "definitions": (
         "id string not null, concept_id string, text string not null, source_id string, "
         "created_at timestamp not null"
     ),
-    "sources": _t(
+    "sources": (
         "id string not null, title string not null, author string, url string, "
         "source_type string, created_at timestamp not null"
     ),
-    "documents": _t(
+    "documents": (
         "id string not null, project_id string, source_id string, title string not null, "
         "file_path string, content_hash string, is_immutable boolean not null, "
         "created_at timestamp not null"
     ),
-    "sections": _t(
+    "sections": (
         "id string not null, document_id string, heading string, order_index int not null, content string"
     ),
-    "claims": _t(
+    "claims": (
         "id string not null, concept_id string, text string not null, confidence double, "
         "created_at timestamp not null"
     ),
-    "evidence": _t(
+    "evidence": (
         "id string not null, claim_id string, document_id string, section_id string, "
         "excerpt string, created_at timestamp not null"
     ),
-    "arguments": _t(
+    "arguments": (
         "id string not null, claim_id string, structure_json string, created_at timestamp not null"
     ),
-    "questions": _t(
+    "questions": (
         "id string not null, session_id string, conversation_id string, text string not null, "
         "created_at timestamp not null"
     ),
-    "answers": _t(
+    "answers": (
         "id string not null, question_id string, text string not null, confidence double, "
         "sources array<struct<document_id:string,title:string,source_type:string,url:string,concept_id:string>>, "
         "created_at timestamp not null"
     ),
-    "examples": _t("id string not null, concept_id string, text string not null"),
-    "counterexamples": _t("id string not null, concept_id string, text string not null"),
-    "relationships": _t(
+    "examples": "id string not null, concept_id string, text string not null",
+    "counterexamples": "id string not null, concept_id string, text string not null",
+    "relationships": (
         "id string not null, source_type string not null, source_id string not null, "
         "target_type string not null, target_id string not null, "
         "relationship_type string not null, created_at timestamp not null"
     ),
-    "annotations": _t(
+    "annotations": (
         "id string not null, project_id string, target_type string not null, "
         "target_id string not null, text string not null, created_at timestamp not null"
     ),
-    "references": _t(
+    "references": (
         "id string not null, document_id string, citation_text string, url string, "
         "created_at timestamp not null"
     ),
-    "summaries": _t(
+    "summaries": (
         "id string not null, target_type string not null, target_id string not null, "
         "text string not null, created_at timestamp not null"
     ),
-    "tasks": _t(
+    "tasks": (
         "id string not null, project_id string, description string not null, "
         "status string not null, created_at timestamp not null"
     ),
-    "settings": _t("key string not null, value string not null, updated_at timestamp not null"),
-    "memory_records": _t(
+    "settings": "key string not null, value string not null, updated_at timestamp not null",
+    "memory_records": (
         "id string not null, tier string not null, scope_id string, content string not null, "
         "metadata string, created_at timestamp not null"
     ),
-    "chunk_embeddings": _t(
+    "chunk_embeddings": (
         "id string not null, document_id string, chunk_text string not null, "
         "embedding array<double> not null, metadata string, created_at timestamp not null"
     ),
@@ -129,21 +130,21 @@ DEFAULTS = {
     "tasks": {"status": "open"},
 }
 
-CHUNK_METADATA = _t("chunk_index int, char_start int, char_end int, concept_id string, url string, source_type string")
+CHUNK_METADATA = "chunk_index int, char_start int, char_end int, concept_id string, url string, source_type string"
 SOURCE_LIST = "array<struct<document_id:string,title:string,source_type:string,url:string,concept_id:string>>"
 
 # Working tables between operators.
-CHUNKS = _t(
+CHUNKS = (
     "chunk_id string, document_id string, ingest_order long, chunk_index int, char_start int, "
     "char_end int, concept_id string, chunk_text string, tokens array<string>, "
     "embedding array<double>"
 )
-RETRIEVED = _t(
+RETRIEVED = (
     "query_id string, rank int, chunk_id string, document_id string, document_title string, "
     "chunk_text string, score double, semantic_score double, keyword_score double, "
     "concept_id string, url string, source_type string"
 )
-TRACE_EVENTS = _t(
+TRACE_EVENTS = (
     "trace_id string, seq long, stage string, event_type string, timestamp timestamp, "
     "duration_ms double, metadata string"
 )

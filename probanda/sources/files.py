@@ -7,9 +7,7 @@ from pyspark.sql.types import StructType
 
 from .. import fixed_values as V
 
-BINARY_FILE_SCHEMA = StructType.fromDDL(
-    "path string, modificationTime timestamp, length long, content binary"
-)
+BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 def upload_columns(files: DataFrame) -> DataFrame:
