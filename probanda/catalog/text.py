@@ -397,7 +397,7 @@ ANSWER_SOURCES = (
 @query(
     "explode_answer_sources",
     "C5 A4",
-    f"SELECT answer_id, s.position AS position, s.document_id AS document_id, s.title AS title, s.source_type AS source_type, s.url AS url, s.concept_id AS concept_id FROM ({ANSWER_SOURCES}) "
+    f"SELECT answer_id, CAST(s.position AS BIGINT) AS position, s.document_id AS document_id, s.title AS title, s.source_type AS source_type, s.url AS url, s.concept_id AS concept_id FROM ({ANSWER_SOURCES}) "
     "UNION ALL SELECT 'a' || conv_id || '.' || turn, NULL, NULL, NULL, NULL, NULL, NULL FROM conversations WHERE role = 'assistant' AND turn % 4 = 3",
 )
 def explode_answer_sources(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .. import fixed_values as V
+from .. import fixed_values as V, schemas
 
 
 def lookup(table: DataFrame, ids: DataFrame | list[str], key: str = "id") -> DataFrame:
@@ -78,3 +78,22 @@ def integrity_report(
 def allowed_value_report(table: DataFrame, column: str, allowed: list[str]) -> DataFrame:
     bad: Column = ~F.coalesce(F.col(column).isin(allowed), F.lit(False))
     return table.where(bad).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("rows"))
+
+
+def conform(df: DataFrame, table: str) -> DataFrame:
+    """Columns of the entity table in order, cast, with its defaults filled in."""
+    out = []
+    for field in schemas.struct_of(table):
+        known = field.name in df.columns
+        value = (F.col(field.name) if known else F.lit(None)).cast(field.dataType)
+        default = schemas.DEFAULTS.get(table, {}).get(field.name)
+        out.append((value if default is None else F.coalesce(value, F.lit(default))).alias(field.name))
+    return df.select(*out)
+
+
+def null_report(df: DataFrame, table: str) -> DataFrame:
+    """Nulls in the required columns of an entity table, one row per column."""
+    required = [f.name for f in schemas.struct_of(table) if not f.nullable]
+    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required])
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("nulls")) for c in required]))
+    return counts.select(F.lit(table).alias("table_name"), pairs.alias("p")).select("table_name", "p.*")
