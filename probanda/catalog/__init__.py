@@ -1,6 +1,6 @@
 """Registered queries over the given tables, each with its SQL twin where SQL can say it."""
 
-from . import retrieval, scans, text, vectors  # noqa: F401
+from . import assembly, comparison, retrieval, scans, text, vectors  # noqa: F401
 from .registry import REGISTRY
 
 __all__ = ["REGISTRY"]

@@ -10,6 +10,7 @@ from .. import fixed_values as V
 from ..functions import text as T
 from ..operators import ingest as ingest_ops
 from ..plans.ask import Knowledge
+from ..session import ship_package
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -22,10 +23,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir = ship_package(spark), sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     # --- documents ----------------------------------------------------------
     @cached_property

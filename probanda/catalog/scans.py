@@ -204,8 +204,8 @@ def integrity_report(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "current_settings",
     "A7",
-    "SELECT key, arg_max(value, CAST(at AS HUGEINT) * 1000000000 + seq) AS value, max(at) AS updated FROM (SELECT event_type || '.' || user_id % 5 AS key, props AS value, "
-    "epoch_us(date_trunc('day', ts)) AS at, event_id AS seq FROM events) GROUP BY 1",
+    "SELECT key, arg_max(value, CAST(moment AS HUGEINT) * 1000000000 + seq) AS value, max(moment) AS updated FROM (SELECT event_type || '.' || user_id % 5 AS key, props AS value, "
+    "epoch_us(date_trunc('day', ts)) AS moment, event_id AS seq FROM events) GROUP BY 1",
 )
 def current_settings(spark: SparkSession, sf: str) -> DataFrame:
     log = Inputs(spark, sf).events.select(

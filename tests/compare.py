@@ -15,6 +15,7 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
+SQL_SECONDS: list[float] = []
 TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
@@ -33,10 +34,12 @@ def _cell(v):
 
 def difference(df, con, sql: str) -> str | None:
     """None when both agree in columns, types and rows, else what differs."""
+    began = time.time()
     cursor = con.execute(sql)
     names = [c[0] for c in cursor.description]
     kinds = {c[0]: str(c[1]) for c in cursor.description}
     theirs = cursor.fetchall()
+    SQL_SECONDS.append(time.time() - began)
     if sorted(df.columns) != sorted(names):
         return f"columns {sorted(df.columns)} vs {sorted(names)}"
     for name, kind in df.dtypes:
@@ -69,6 +72,7 @@ def main(argv: list[str]) -> int:
         if argv[1:] and not any(a in name for a in argv[1:]):
             continue
         began = time.time()
+        SQL_SECONDS.clear()
         try:
             df = entry.run(spark, sf_dir)
             if entry.sql is None:
@@ -78,7 +82,7 @@ def main(argv: list[str]) -> int:
         except Exception as exc:
             problem, kind = f"{type(exc).__name__}: {str(exc)[:900]}", "error"
         spark.catalog.clearCache()
-        print(f"{'ok ' if problem is None else 'BAD'} {name} [{kind}] {time.time() - began:.1f}s" + (f"\n   {problem}" if problem else ""), flush=True)
+        print(f"{'ok ' if problem is None else 'BAD'} {name} [{kind}] {time.time() - began:.1f}s, sql {sum(SQL_SECONDS):.1f}s" + (f"\n   {problem}" if problem else ""), flush=True)
         bad += problem is not None
     print(f"{bad} differing", flush=True)
     return bad
