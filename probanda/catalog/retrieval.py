@@ -170,7 +170,7 @@ PARTS = {
     "rwebs": "SELECT p.query_id, p.part, w.n, w.title, w.url, w.content, w.score, sha256('web|' || p.part_id || '|' || w.position || '|' || w.url) AS chunk_id, "
     "row_number() OVER (PARTITION BY p.query_id ORDER BY p.part, w.n) AS r FROM parts p JOIN web w ON w.query_id = p.query_id WHERE p.use_web AND w.n <= 3 AND "
     + S.norm("sub_question") + " <> ''",
-    "found": "SELECT query_id, rank, chunk_id, document_id, title, chunk_text, score, semantic_score, keyword_score, concept_id, NULL AS url, 'local' AS source_type FROM rlocal UNION ALL "
+    "found": "SELECT query_id, rank, chunk_id, document_id, title, chunk_text, score, semantic_score, keyword_score, concept_id, CAST(NULL AS VARCHAR) AS url, 'local' AS source_type FROM rlocal UNION ALL "
     "SELECT w.query_id, w.r + coalesce(c, 0), w.chunk_id, NULL, w.title, w.content, w.score, w.score, 0.0, NULL, w.url, 'web' FROM rwebs w "
     "LEFT JOIN (SELECT query_id, count(*) AS c FROM rlocal GROUP BY 1) USING (query_id)",
 }

@@ -130,13 +130,13 @@ FRAGMENTS: dict[str, tuple[list[str], str]] = {
     "retrieved": (
         ["aranked", "aweb"],
         "SELECT query_id, rank, chunk_id, document_id, title, chunk_text, score, semantic_score, keyword_score, concept_id, "
-        "NULL AS url, 'local' AS source_type FROM aranked UNION ALL "
+        "CAST(NULL AS VARCHAR) AS url, 'local' AS source_type FROM aranked UNION ALL "
         "SELECT w.query_id, w.n + coalesce(l.c, 0), sha256('web|' || w.query_id || '|' || w.position || '|' || w.url), NULL, w.title, w.content, "
         "w.score, w.score, 0.0, NULL, w.url, 'web' FROM aweb w LEFT JOIN (SELECT query_id, count(*) AS c FROM aranked GROUP BY 1) l USING (query_id)",
     ),
     "edges": (
         ["docs"],
-        "SELECT edge_id AS id, 'concept' AS st, concept_id AS sid, 'document' AS tt, document_id AS tid, 'derived_from' AS rel, doc_id AS at FROM docs "
+        "SELECT edge_id AS id, 'concept' AS st, concept_id AS sid, 'document' AS tt, document_id AS tid, 'derived_from' AS rel, doc_id AS made FROM docs "
         "UNION ALL SELECT sha256('related_to|' || a.concept_id || '|' || b.concept_id), 'concept', a.concept_id, 'concept', b.concept_id, 'related_to', a.doc_id "
         "FROM alldocs a JOIN alldocs b ON b.doc_id = a.doc_id + 20 "
         "UNION ALL SELECT sha256('belongs_to|' || document_id || '|' || source), 'document', document_id, 'project', source, 'belongs_to', doc_id FROM alldocs "
@@ -156,7 +156,7 @@ FRAGMENTS: dict[str, tuple[list[str], str]] = {
     "qconcepts": (["retrieved"], "SELECT DISTINCT query_id, concept_id FROM retrieved WHERE concept_id <> ''"),
     "line_of": (
         ["concept_ends"],
-        "SELECT concept_id, at, id, st || ':' || sid || ' --' || rel || '--> ' || tt || ':' || tid AS line FROM concept_ends",
+        "SELECT concept_id, made, id, st || ':' || sid || ' --' || rel || '--> ' || tt || ':' || tid AS line FROM concept_ends",
     ),
     "skey": (
         ["retrieved"],
@@ -183,7 +183,7 @@ FRAGMENTS: dict[str, tuple[list[str], str]] = {
         "UNION ALL SELECT query_id, 1, 0, 'current_message', message FROM clear "
         "UNION ALL SELECT query_id, 2, 1, 'retrieved_knowledge', string_agg('[' || coalesce(nullif(title, ''), nullif(document_id, ''), 'unknown source') || '] ' || chunk_text, chr(10) || chr(10) ORDER BY rank) FROM retrieved GROUP BY query_id "
         "UNION ALL SELECT query_id, 3, 2, 'dialogue_history', history FROM clear JOIN history ON session_id = query_id "
-        "UNION ALL SELECT query_id, 4, 3, 'concept_graph', string_agg(line, chr(10) ORDER BY concept_id, at, id) FROM qconcepts JOIN line_of USING (concept_id) GROUP BY query_id "
+        "UNION ALL SELECT query_id, 4, 3, 'concept_graph', string_agg(line, chr(10) ORDER BY concept_id, made, id) FROM qconcepts JOIN line_of USING (concept_id) GROUP BY query_id "
         "UNION ALL SELECT query_id, 5, 4, 'project_state', 'Project: Project ' || project_id || chr(10) || 'Documents from ' || project_id FROM clear WHERE project_id IN (SELECT source FROM documents)",
     ),
     # sequential rule spelled as a recursion over the sections of each query
