@@ -137,7 +137,7 @@ def retrieval_telemetry(spark: SparkSession, sf: str) -> DataFrame:
 
 def gathered(i: Inputs, web: bool = True, max_tokens: int | None = None) -> ask.Evidence:
     limit = {} if max_tokens is None else {"max_tokens": max_tokens}
-    return ask.gather(i.asked, i.knowledge, i.history, i.web_results if web else None, **limit)
+    return ask.Evidence(i.asked, i.knowledge, i.history, i.web_results if web else None, **limit)
 
 
 @query("web_evidence", "E5", S.with_("retrieved", f"SELECT {_SHOWN}, url FROM retrieved"))

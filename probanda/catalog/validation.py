@@ -37,7 +37,7 @@ def _starved(i: Inputs) -> ask.Evidence:
     asked = i.asked.withColumn("min_score", F.when(hungry, 2.0).otherwise(V.MIN_SCORE)).withColumn(
         "use_web", F.col("use_web") & ~hungry
     )
-    return ask.gather(asked, i.knowledge, i.history, i.web_results)
+    return ask.Evidence(asked, i.knowledge, i.history, i.web_results)
 
 
 def starved(select: str) -> str:

@@ -32,11 +32,18 @@ def nfc(text: Column) -> Column:
     return F.when(text.rlike("[^\\x00-\\x7F]"), composed).otherwise(text)
 
 
-def strip(text: Column) -> Column:
-    """Whitespace off both ends.  The built-in trim is far cheaper than a pattern but
-    indexes every byte of its input, so very long texts take the pattern."""
+def strip(text: Column, at_most: Column | None = None) -> Column:
+    """Whitespace off both ends.
+
+    The built-in trim is far cheaper than a pattern but indexes every byte of its input.
+    Where texts of any length may come, ``at_most`` gives a bound of this one's length,
+    and very long ones take the pattern.
+    """
+    trimmed = F.btrim(text, F.lit(WS_LITERAL))
+    if at_most is None:
+        return trimmed
     by_pattern = F.regexp_replace(text, f"^{WS}+|{WS}+\\z", "")
-    return F.when(F.length(text) > LONG_TEXT, by_pattern).otherwise(F.btrim(text, F.lit(WS_LITERAL)))
+    return F.when(at_most > LONG_TEXT, by_pattern).otherwise(trimmed)
 
 
 def clean_text(text: Column) -> Column:
@@ -44,7 +51,7 @@ def clean_text(text: Column) -> Column:
     out = F.regexp_replace(nfc(text), "\\r\\n?", "\n")
     out = F.regexp_replace(out, "[ \\t]{2,}|\\t", " ")
     out = F.regexp_replace(out, "\\n{3,}", "\n\n")
-    return strip(out)
+    return strip(out, F.length(text))
 
 
 def normalize_query(text: Column) -> Column:

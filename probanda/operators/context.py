@@ -87,7 +87,8 @@ def context_sections(
     )
     out = policies.unionByName(current).unionByName(knowledge)
     if history is not None:
-        turns = base.join(history_digest(history, limit), "session_id")
+        told = history.join(base.select("session_id").distinct(), "session_id", "left_semi")
+        turns = base.join(history_digest(told, limit), "session_id")
         out = out.unionByName(section(turns, 3, 2, "dialogue_history", F.col("n_chars"), F.col("prefix")))
     if edge_digest is not None:
         near = concept_graph_digest(retrieved, edge_digest, limit)

@@ -52,18 +52,21 @@ def concept_edges(retrieved: DataFrame, edges: DataFrame) -> DataFrame:
     return wanted.join(found, "concept_id")
 
 
-def concept_edge_digest(edges: DataFrame, limit: int) -> DataFrame:
+def concept_edge_digest(edges: DataFrame, limit: int, concepts: DataFrame | None = None) -> DataFrame:
     """Per concept: number of edges, full text length and the first ``limit`` characters
     of its edge text.  What a query needs of a concept with very many edges is this row,
-    not the edges."""
-    ends = edges.select(*EDGE_COLUMNS)
-    source_end = ends.where("source_type = 'concept'").withColumn("concept_id", F.col("source_id"))
-    target_end = ends.where(
-        "target_type = 'concept' and not (source_type = 'concept' and source_id = target_id)"
-    ).withColumn("concept_id", F.col("target_id"))
-    lines = source_end.unionByName(target_end).select(
-        "concept_id", "created_at", "id", edge_line().alias("line")
-    )
+    not the edges.  ``concepts(concept_id)``, distinct, restricts the work to those."""
+    if concepts is not None:
+        entities = concepts.select(F.lit("concept").alias("entity_type"), F.col("concept_id").alias("entity_id"))
+        ends = edges_of(entities, edges).withColumnRenamed("entity_id", "concept_id")
+    else:
+        table = edges.select(*EDGE_COLUMNS)
+        source_end = table.where("source_type = 'concept'").withColumn("concept_id", F.col("source_id"))
+        target_end = table.where(
+            "target_type = 'concept' and not (source_type = 'concept' and source_id = target_id)"
+        ).withColumn("concept_id", F.col("target_id"))
+        ends = source_end.unionByName(target_end)
+    lines = ends.select("concept_id", "created_at", "id", edge_line().alias("line"))
     return text_digest(lines, ["concept_id"], ["created_at", "id"], "line", "\n", limit, SHORTEST_EDGE_LINE)
 
 

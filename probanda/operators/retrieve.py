@@ -153,14 +153,11 @@ def web_evidence(
 
 
 def append_web(local: DataFrame, web: DataFrame) -> DataFrame:
-    """Web rows after the local rows of their query."""
-    counts = local.groupBy("query_id").agg(F.count("*").cast("int").alias("n_local"))
-    shifted = (
-        web.join(counts, "query_id", "left")
-        .withColumn("rank", F.col("rank") + F.coalesce("n_local", F.lit(0)))
-        .select(*RETRIEVED)
-    )
-    return local.select(*RETRIEVED).unionByName(shifted)
+    """Web rows after the local rows of their query.  Both sides are bounded per query,
+    and one renumbering of their union reads each of them once."""
+    order = Window.partitionBy("query_id").orderBy(F.col("source_type") == "web", "rank")
+    both = local.select(*RETRIEVED).unionByName(web.select(*RETRIEVED))
+    return both.withColumn("rank", F.row_number().over(order))
 
 
 def explode_sub_questions(questions: DataFrame) -> DataFrame:

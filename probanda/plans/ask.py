@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as V
+from ..functions import intent as I
 from ..operators import compare, context, graph, prompts, reason, retrieve, sessions, validate
 from ..operators.ledger import Ledger, record_turns
 from ..wording import DEFAULT_WORDING, Wording
@@ -26,36 +28,59 @@ class Knowledge:
 
 @dataclass
 class Evidence:
-    queries: DataFrame
-    retrieved: DataFrame
-    packed: DataFrame
-    reasons: DataFrame
-    intents: DataFrame
-
-
-def gather(
-    queries: DataFrame,
-    knowledge: Knowledge,
-    history: DataFrame | None = None,
-    web_results: DataFrame | None = None,
-    max_tokens: int = V.CONTEXT_TOKENS,
-) -> Evidence:
-    """Everything up to the prompt, for every query that needs no clarification.
+    """Evidence for every query that needs no clarification; later stages are planned
+    when first asked for.
 
     queries(query_id, query, embedding, session_id, project_id, use_web[, document_id,
-    top_k, min_score]).  ``retrieved`` is kept, five branches read it.
+    top_k, min_score]).
     """
-    clear = queries.where(~reason.I.needs_clarification(F.col("query")))
-    local = retrieve.retrieve(clear, knowledge.chunks, knowledge.documents)
-    web = retrieve.web_evidence(clear, web_results)
-    retrieved = retrieve.append_web(local, web).persist()
-    digest = graph.concept_edge_digest(knowledge.edges, max_tokens * V.CHARS_PER_TOKEN)
-    sections = context.context_sections(clear, retrieved, history, digest, knowledge.projects, max_tokens)
-    packed = context.pack_sections(sections, max_tokens)
-    budgets = context.context_totals(packed, max_tokens)
-    reasons = reason.reasoning(clear, retrieved, knowledge.concepts, digest, budgets)
-    intents = reason.intents(queries, reason.evidence_summary(retrieved))
-    return Evidence(clear, retrieved, packed, reasons, intents)
+
+    all_queries: DataFrame
+    knowledge: Knowledge
+    history: DataFrame | None = None
+    web_results: DataFrame | None = None
+    max_tokens: int = V.CONTEXT_TOKENS
+
+    @cached_property
+    def queries(self) -> DataFrame:
+        return self.all_queries.where(~I.needs_clarification(F.col("query")))
+
+    @cached_property
+    def retrieved(self) -> DataFrame:
+        """Local then web rows; kept, because several branches read it."""
+        local = retrieve.retrieve(self.queries, self.knowledge.chunks, self.knowledge.documents)
+        web = retrieve.web_evidence(self.queries, self.web_results)
+        return retrieve.append_web(local, web).persist()
+
+    @cached_property
+    def edge_digest(self) -> DataFrame:
+        """Edges of the retrieved concepts only, one row per concept; kept likewise."""
+        near = graph.retrieved_concepts(self.retrieved).select("concept_id").distinct()
+        limit = self.max_tokens * V.CHARS_PER_TOKEN
+        return graph.concept_edge_digest(self.knowledge.edges, limit, near).persist()
+
+    @cached_property
+    def packed(self) -> DataFrame:
+        sections = context.context_sections(
+            self.queries, self.retrieved, self.history, self.edge_digest, self.knowledge.projects, self.max_tokens
+        )
+        return context.pack_sections(sections, self.max_tokens)
+
+    @cached_property
+    def reasons(self) -> DataFrame:
+        budgets = context.context_totals(self.packed, self.max_tokens)
+        rows = reason.reasoning(self.queries, self.retrieved, self.knowledge.concepts, self.edge_digest, budgets)
+        return rows.persist()
+
+    @cached_property
+    def intents(self) -> DataFrame:
+        return reason.intents(self.all_queries, reason.evidence_summary(self.retrieved))
+
+    def release(self) -> None:
+        """Drop what was kept."""
+        for name in ("reasons", "edge_digest", "retrieved"):
+            if name in self.__dict__:
+                self.__dict__[name].unpersist()
 
 
 def prompts_for(

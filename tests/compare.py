@@ -64,7 +64,7 @@ def main(argv: list[str]) -> int:
     import probanda.catalog as C
 
     sf_dir = f"/root/testdata/{argv[0]}"
-    spark = build_session(master="local[8]", **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8"})
+    spark = build_session(master="local[8]", **{"spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     bad = 0
