@@ -1,6 +1,6 @@
 """Registered queries over the given tables, each with its SQL twin where SQL can say it."""
 
-from . import assembly, comparison, ledger, retrieval, scans, text, validation, vectors  # noqa: F401
+from . import assembly, comparison, ledger, retrieval, scans, telemetry, text, validation, vectors  # noqa: F401
 from .registry import REGISTRY
 
 __all__ = ["REGISTRY"]

@@ -127,13 +127,20 @@ def answer_sources(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("query_id", F.array_join(shown, " ").alias("sources"))
 
 
+_RESOLVED = (
+    "SELECT event_id, sid, sid IS NOT NULL AND sid IN (SELECT CAST(conv_id AS VARCHAR) FROM conversations) AS known FROM "
+    "(SELECT event_id, CASE WHEN event_id % 4 > 0 THEN CAST(user_id AS VARCHAR) END AS sid FROM events)"
+)
+
+
 @query(
     "resolve_sessions",
     "M3",
-    "SELECT request_id, CASE WHEN known THEN sid ELSE sha256('session|' || request_id) END AS session_id, NOT known AS was_created, n_events FROM (SELECT event_id AS request_id, sid, sid IS NOT NULL AND sid IN (SELECT CAST(conv_id AS VARCHAR) FROM conversations) AS known "
-    "FROM (SELECT event_id, CASE WHEN event_id % 4 > 0 THEN CAST(user_id AS VARCHAR) END AS sid FROM events)), (SELECT count(*) AS n_events FROM (SELECT CASE WHEN event_id % 4 > 0 THEN CAST(user_id AS VARCHAR) END AS sid FROM events) WHERE sid IS NULL OR sid NOT IN (SELECT CAST(conv_id AS VARCHAR) FROM conversations))",
+    f"SELECT event_id AS request_id, CASE WHEN known THEN sid ELSE sha256('session|' || event_id) END AS session_id, NOT known AS was_created FROM ({_RESOLVED}) "
+    f"UNION ALL SELECT -1, 'ConversationStarted ' || count(*), NULL FROM ({_RESOLVED}) WHERE NOT known",
 )
 def resolve_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """The resolved requests, and one row with the number of sessions announced."""
     i = Inputs(spark, sf)
     requests = i.events.select(
         F.col("event_id").alias("request_id"),
@@ -141,9 +148,12 @@ def resolve_sessions(spark: SparkSession, sf: str) -> DataFrame:
     )
     known = i.history.select(F.col("session_id").alias("id")).distinct()
     resolved, events = sessions.resolve_sessions(requests, known)
-    # the number of ConversationStarted events, next to the sessions they announce
-    n_events = events.where("name = 'ConversationStarted'").agg(F.count("*").alias("n_events"))
-    return resolved.join(F.broadcast(n_events))
+    announced = events.groupBy("name").agg(F.count("*").alias("n")).select(
+        F.lit(-1).cast("long").alias("request_id"),
+        F.concat_ws(" ", "name", "n").alias("session_id"),
+        F.lit(None).cast("boolean").alias("was_created"),
+    )
+    return resolved.select("request_id", "session_id", "was_created").unionByName(announced)
 
 
 def _interactions(i: Inputs) -> DataFrame:

@@ -27,6 +27,8 @@ def build_session(app: str = "probanda", master: str | None = None, **conf: str)
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # recording the Python call site of every column costs more than planning
         "spark.python.sql.dataFrameDebugging.enabled": "false",
+        # adaptive execution reports the whole plan text again after every stage
+        "spark.sql.maxPlanStringLength": "20000",
         **conf,
     }
     for key, value in settings.items():
