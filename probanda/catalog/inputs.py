@@ -24,6 +24,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = ship_package(spark), sf_dir
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # the zone of the given times
         self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
