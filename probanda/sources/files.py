@@ -23,7 +23,9 @@ def upload_columns(files: DataFrame) -> DataFrame:
 
 
 def read_uploads(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """Every file below ``path``.  Unknown types are kept: validation names them."""
+    """Every file below ``path``.  Unknown types are kept: validation names them.  Spark's
+    file sources pass over files without a byte; uploads that come as a table keep them
+    and validation rejects them as empty."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     return upload_columns(reader.load(path))
 
