@@ -113,7 +113,7 @@ class Inputs:
 
     @cached_property
     def knowledge(self) -> Knowledge:
-        return Knowledge(self.chunks, self.documents, self.concepts, self.edges, self.projects)
+        return Knowledge(self.chunks, self.concepts, self.edges, self.projects)
 
     # --- queries ---------------------------------------------------------------
     def _queries(self, text: Column) -> DataFrame:

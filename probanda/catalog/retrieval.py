@@ -29,7 +29,7 @@ _SHOWN = "query_id, rank, chunk_id, title, sha256(chunk_text) AS text_hash, scor
 
 def run_hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     i = Inputs(spark, sf)
-    return _shown(retrieve.retrieve(i.queries, i.chunks, i.documents))
+    return _shown(retrieve.retrieve(i.queries, i.chunks))
 
 
 query(
@@ -52,7 +52,7 @@ def hybrid_search_limits(spark: SparkSession, sf: str) -> DataFrame:
     """Own top_k and min_score per query, in blocks far smaller than the query table."""
     i = Inputs(spark, sf)
     q = i.queries.withColumns({"top_k": F.col("item_id") % 7 + 1, "min_score": (F.col("item_id") % 4) / 10})
-    found = retrieve.retrieve(q, i.chunks, i.documents, block_queries=16)
+    found = retrieve.retrieve(q, i.chunks, block_queries=16)
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
 
 
@@ -74,7 +74,7 @@ def search_in_document(spark: SparkSession, sf: str) -> DataFrame:
         T.stable_id(F.lit("document"), F.concat("source", F.lit("/"), "doc_id", F.lit(".txt"))).alias("document_id"),
     )
     q = i.queries.withColumn("target", wanted).join(targets, "target", "left")
-    found = retrieve.retrieve(q, i.chunks, i.documents)
+    found = retrieve.retrieve(q, i.chunks)
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
 
 
@@ -112,7 +112,7 @@ def _repeated(i: Inputs) -> DataFrame:
 )
 def reuse_identical_queries(spark: SparkSession, sf: str) -> DataFrame:
     i = Inputs(spark, sf)
-    found = retrieve.retrieve_reusing(_repeated(i), i.chunks, i.documents)
+    found = retrieve.retrieve_reusing(_repeated(i), i.chunks)
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "score", "reused")
 
 
@@ -132,7 +132,7 @@ def retrieval_telemetry(spark: SparkSession, sf: str) -> DataFrame:
         {"query_id": F.concat(F.lit("blank"), "query_id"), "query": F.lit(" \n ")}
     )
     q = _repeated(i).unionByName(blank)
-    return retrieve.retrieval_telemetry(q, retrieve.retrieve_reusing(q, i.chunks, i.documents))
+    return retrieve.retrieval_telemetry(q, retrieve.retrieve_reusing(q, i.chunks))
 
 
 def gathered(i: Inputs, web: bool = True, max_tokens: int | None = None) -> ask.Evidence:
@@ -307,7 +307,7 @@ def retrieval_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     q = i.queries.withColumn("own", own).join(most.withColumnRenamed("document_id", "own"), "own", "left").withColumn(
         "top_k", (F.coalesce("count", F.lit(0)) + 1).cast("int")
     )
-    found = retrieve.retrieve(q, i.chunks, i.documents)
+    found = retrieve.retrieve(q, i.chunks)
     others = found.join(q.select("query_id", "own"), "query_id").where("document_id <> own or document_id is null")
     best = others.groupBy("query_id").agg(F.min_by("document_id", "rank").alias("document_id"))
     top = best.join(labelled, "document_id").select("query_id", F.lit(1).alias("rank"), "found_label")

@@ -116,15 +116,9 @@ class Ingested:
     rejected: DataFrame
 
 
-def ingest(
-    uploads: DataFrame,
-    parsers: dict[str, Parser] | None = None,
-    size: int = V.CHUNK_SIZE,
-    overlap: int = V.CHUNK_OVERLAP,
-    carry: list[str] | None = None,
-) -> Ingested:
-    """uploads(path, filename, content, created_at, ingest_order[, title, project_id]).
-    Columns named in ``carry`` go along to the chunks.
+def check_uploads(uploads: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFrame:
+    """uploads(path, filename, content, created_at, ingest_order[, title, project_id, …])
+    to validated rows with ids and cleaned text, without the raw bytes.
 
     Ids hash the upload path, so equal bytes uploaded twice stay two documents and a
     retried task writes the same rows again.
@@ -132,13 +126,26 @@ def ingest(
     for optional in ("title", "project_id"):
         if optional not in uploads.columns:
             uploads = uploads.withColumn(optional, F.lit(None).cast("string"))
-    checked = validate_uploads(uploads, parsers).withColumns(
-        {
-            "title": F.coalesce(F.nullif("title", F.lit("")), "filename"),
-            "document_id": T.stable_id(F.lit("document"), F.col("path")),
-            "concept_id": T.stable_id(F.lit("concept"), F.col("path")),
-        }
+    return (
+        validate_uploads(uploads, parsers)
+        .withColumns(
+            {
+                "title": F.coalesce(F.nullif("title", F.lit("")), "filename"),
+                "document_id": T.stable_id(F.lit("document"), F.col("path")),
+                "concept_id": T.stable_id(F.lit("concept"), F.col("path")),
+            }
+        )
+        .drop("content")
     )
+
+
+def derive_tables(
+    checked: DataFrame,
+    size: int = V.CHUNK_SIZE,
+    overlap: int = V.CHUNK_OVERLAP,
+    carry: list[str] | None = None,
+) -> Ingested:
+    """The tables of checked uploads.  Columns named in ``carry`` go along to the chunks."""
     accepted = checked.where("reject_reason is null")
     documents = accepted.select(
         F.col("document_id").alias("id"),
@@ -166,9 +173,10 @@ def ingest(
         F.lit("derived_from").alias("relationship_type"),
         "created_at",
     )
-    chunks = chunk_documents(
-        accepted.select("document_id", "concept_id", "ingest_order", "text", *(carry or [])), "text", size, overlap
-    ).withColumns(
+    kept = accepted.select(
+        "document_id", F.col("title").alias("document_title"), "concept_id", "ingest_order", "text", *(carry or [])
+    )
+    chunks = chunk_documents(kept, "text", size, overlap).withColumns(
         {
             "chunk_id": T.stable_id(F.col("document_id"), F.col("chunk_index")),
             "tokens": T.tokens(F.col("chunk_text")),
@@ -180,6 +188,16 @@ def ingest(
     return Ingested(documents, concepts, edges, chunks, rejected)
 
 
+def ingest(
+    uploads: DataFrame,
+    parsers: dict[str, Parser] | None = None,
+    size: int = V.CHUNK_SIZE,
+    overlap: int = V.CHUNK_OVERLAP,
+    carry: list[str] | None = None,
+) -> Ingested:
+    return derive_tables(check_uploads(uploads, parsers), size, overlap, carry)
+
+
 def ingest_events(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """One DocumentImported per document and one EmbeddingCreated per chunk."""
     imported = documents.select(

@@ -45,12 +45,16 @@ def window_counts(requests: DataFrame, window_us: int) -> DataFrame:
     """(identity, at_us, n_now, in_window): requests at that time, and in the window that
     ends there.  Each request enters at its time and leaves just after the window."""
     moments = requests.groupBy("identity", "at_us").agg(F.count("*").alias("n"))
-    enter = moments.select("identity", "at_us", F.col("n").alias("change"), F.col("n").alias("n_now"))
-    leave = moments.select(
-        "identity", (F.col("at_us") + window_us + 1).alias("at_us"), (-F.col("n")).alias("change"), F.lit(0).alias("n_now")
-    )
-    steps = enter.unionByName(leave).groupBy("identity", "at_us").agg(
-        F.sum("change").alias("change"), F.sum("n_now").alias("n_now")
+
+    def step(at: Column, change: Column, now: Column) -> Column:
+        return F.struct(at.alias("at_us"), change.alias("change"), now.alias("n_now"))
+
+    n, at = F.col("n"), F.col("at_us")
+    both = F.array(step(at, n, n), step(at + window_us + 1, -n, F.lit(0).cast("long")))
+    steps = (
+        moments.select("identity", F.explode(both).alias("s"))
+        .groupBy("identity", "s.at_us")
+        .agg(F.sum("s.change").alias("change"), F.sum("s.n_now").alias("n_now"))
     )
     return (
         running_total(steps, ["identity"], "at_us", "change", "in_window")

@@ -2,7 +2,8 @@
 
 The chunk table is never shuffled and no (query, chunk) pair leaves a task: queries go
 to the tasks in bounded blocks, each Arrow batch is scored as one matrix product, and a
-task hands on at most ``top_k`` rows per query.  A final window merges the tasks.
+task hands on at most ``top_k`` rows per query.  The tasks' rows are merged in two steps,
+so that no task sorts rows of one query from all over the cluster.
 
 A block holds at most BLOCK_QUERIES queries.  A larger query table is hashed into more
 blocks, each of which scans the chunk table once; nothing is dropped or sampled.
@@ -23,13 +24,14 @@ from .. import fixed_values as V
 
 BLOCK_QUERIES = 2048
 BATCH_ROWS = 1024
+MERGE_SLOTS = 64
 
 SCORED = (
     "query_id string, chunk_id string, document_id string, ingest_order long, chunk_index int, "
-    "concept_id string, chunk_text string, score double, semantic_score double, "
+    "concept_id string, document_title string, chunk_text string, score double, semantic_score double, "
     "keyword_score double, top_k int"
 )
-_PAYLOAD = ["chunk_id", "document_id", "ingest_order", "chunk_index", "concept_id", "chunk_text"]
+_PAYLOAD = ["chunk_id", "document_id", "ingest_order", "chunk_index", "concept_id", "document_title", "chunk_text"]
 _BEST_FIRST = [
     ("q", "ascending"),
     ("score", "descending"),
@@ -194,6 +196,8 @@ def rank_chunks(
     """
     spark = chunks.sparkSession
     columns = [*_PAYLOAD, "tokens", "embedding"]
+    if "document_title" not in chunks.columns:
+        chunks = chunks.withColumn("document_title", F.lit(None).cast("string"))
     table = chunks.where("embedding is not null").select(*columns)
     wanted = queries.where("embedding is not null").select(
         "query_id", "embedding", "tokens", "document_id", "top_k", "min_score"
@@ -216,8 +220,17 @@ def rank_chunks(
             parts.append(scan.mapInArrow(task, SCORED))
     if not parts:
         return spark.createDataFrame([], SCORED + ", rank int")
-    scored = reduce(DataFrame.unionByName, parts)
-    order = Window.partitionBy("query_id").orderBy(
-        F.col("score").desc(), "ingest_order", "chunk_index", "chunk_id"
-    )
-    return scored.withColumn("rank", F.row_number().over(order)).where("rank <= top_k")
+    return _merge(reduce(DataFrame.unionByName, parts))
+
+
+def _merge(scored: DataFrame) -> DataFrame:
+    """Rank the tasks' rows of each query, first within slots by chunk, then over what
+    the slots keep: at most MERGE_SLOTS · top_k rows meet in one task, however many
+    tasks scanned the table."""
+    best_first = [F.col("score").desc(), "ingest_order", "chunk_index", "chunk_id"]
+    slot = F.pmod(F.xxhash64("chunk_id"), F.lit(MERGE_SLOTS))
+    rank = F.row_number()
+    in_slot = rank.over(Window.partitionBy("query_id", "_slot").orderBy(*best_first))
+    kept = scored.withColumn("_slot", slot).withColumn("rank", in_slot).where("rank <= top_k").drop("_slot", "rank")
+    overall = rank.over(Window.partitionBy("query_id").orderBy(*best_first))
+    return kept.withColumn("rank", overall).where("rank <= top_k")

@@ -43,12 +43,12 @@ def prepare_queries(queries: DataFrame) -> DataFrame:
 def add_titles(ranked: DataFrame, documents: DataFrame) -> DataFrame:
     """Left lookup of document titles; a missing document leaves a null title."""
     titles = documents.select(F.col("id").alias("document_id"), F.col("title").alias("document_title"))
-    return ranked.join(titles, "document_id", "left")
+    return ranked.drop("document_title").join(titles, "document_id", "left")
 
 
-def _local(ranked: DataFrame, documents: DataFrame) -> DataFrame:
+def _local(ranked: DataFrame, documents: DataFrame | None) -> DataFrame:
     return (
-        add_titles(ranked, documents)
+        (ranked if documents is None else add_titles(ranked, documents))
         .withColumns(
             {
                 "score": T.six(F.col("score")),
@@ -63,15 +63,19 @@ def _local(ranked: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def retrieve(
-    queries: DataFrame, chunks: DataFrame, documents: DataFrame, block_queries: int = BLOCK_QUERIES
+    queries: DataFrame, chunks: DataFrame, documents: DataFrame | None = None, block_queries: int = BLOCK_QUERIES
 ) -> DataFrame:
-    """Top chunks of every query by 0.7·cosine + 0.3·keyword share."""
+    """Top chunks of every query by 0.7·cosine + 0.3·keyword share.
+
+    Documents never change once imported, so ingest keeps their title with each chunk
+    and no lookup is needed.  For chunks stored without titles pass ``documents``.
+    """
     ranked = rank_chunks(prepare_queries(queries), chunks, block_queries=block_queries)
     return _local(ranked, documents)
 
 
 def retrieve_reusing(
-    queries: DataFrame, chunks: DataFrame, documents: DataFrame, block_queries: int = BLOCK_QUERIES
+    queries: DataFrame, chunks: DataFrame, documents: DataFrame | None = None, block_queries: int = BLOCK_QUERIES
 ) -> DataFrame:
     """As ``retrieve``, scoring each distinct (text, top_k, document, min_score) once.
 

@@ -38,27 +38,40 @@ def exploded_sources(answers: DataFrame) -> DataFrame:
 def session_summaries(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """Messages, answered messages, distinct sources and concepts of every session.
 
-    Distinct counts run over (session, key) pairs first, so a session with a large share
-    of all turns is reduced by many tasks.
+    One pass: each joined row is taken apart into what it counts for, equal items are
+    counted per session before sessions meet, so a session with a large share of all
+    turns is reduced by many tasks.
     """
     rows = conversation_history(questions, typed_sources(answers))
-    counts = rows.groupBy("session_id").agg(
-        F.count("*").alias("message_count"), F.count("answer_id").alias("verified_count")
+
+    def item(kind: str, key: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+
+    def source(s: Column) -> Column:
+        named = F.coalesce(F.nullif(s["document_id"], F.lit("")), F.nullif(s["url"], F.lit("")), F.nullif(s["title"], F.lit("")))
+        return item("source", named)
+
+    used = F.coalesce("sources", F.array().cast(SOURCE_LIST))
+    none = F.lit(None).cast("string")
+    items = F.concat(
+        F.array(item("message", none), item("verified", F.when(F.col("answer_id").isNotNull(), F.lit("")))),
+        F.transform(used, source),
+        F.transform(used, lambda s: item("concept", F.nullif(s["concept_id"], F.lit("")))),
     )
-    used = rows.select("session_id", F.explode("sources").alias("s"))
-    key = F.coalesce(F.nullif("s.document_id", F.lit("")), F.nullif("s.url", F.lit("")), F.nullif("s.title", F.lit("")))
-    seen = (
-        used.select("session_id", F.lit("source").alias("kind"), key.alias("key"))
-        .unionByName(used.select("session_id", F.lit("concept").alias("kind"), F.nullif("s.concept_id", F.lit("")).alias("key")))
-        .where("key is not null")
-        .distinct()
-        .groupBy("session_id")
-        .agg(
-            F.count_if(F.col("kind") == "source").alias("source_count"),
-            F.count_if(F.col("kind") == "concept").alias("concept_count"),
-        )
+    counted = (
+        rows.select("session_id", F.explode(items).alias("i"))
+        .where("i.kind = 'message' or i.key is not null")
+        .groupBy("session_id", "i.kind", "i.key")
+        .agg(F.count("*").alias("n"))
     )
-    return counts.join(seen, "session_id", "left").na.fill(0, ["source_count", "concept_count"])
+
+    def total(kind: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).alias(f"{kind}_count")
+
+    def distinct(kind: str) -> Column:
+        return F.count_if(F.col("kind") == kind).alias(f"{kind}_count")
+
+    return counted.groupBy("session_id").agg(total("message"), total("verified"), distinct("source"), distinct("concept"))
 
 
 def previous_turns(turns: DataFrame, span: int = 4096) -> DataFrame:

@@ -17,13 +17,14 @@ from ..wording import DEFAULT_WORDING, Wording
 
 @dataclass
 class Knowledge:
-    """The stored tables questions are asked of."""
+    """The stored tables questions are asked of.  ``documents`` is needed only for
+    chunks stored without their titles."""
 
     chunks: DataFrame
-    documents: DataFrame
     concepts: DataFrame
     edges: DataFrame
     projects: DataFrame | None = None
+    documents: DataFrame | None = None
 
 
 @dataclass

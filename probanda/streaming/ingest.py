@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators.ingest import Parser, ingest, ingest_events
+from ..operators.ingest import Parser
+from ..plans.ingest import store_uploads
 from ..sources.files import BINARY_FILE_SCHEMA, upload_columns
-from .sink import batch_sink
 
 
 def stream_uploads(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -36,19 +36,11 @@ def ingest_stream(
     embed: Callable[[DataFrame], DataFrame] | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Run the batch ingest on each micro-batch: documents, concepts, edges, chunks,
+    """Store each micro-batch as a batch of its own: documents, concepts, edges, chunks,
     rejected and bus_events below ``out``."""
 
-    def branches(batch: DataFrame) -> dict[str, DataFrame]:
-        done = ingest(batch, parsers)
-        chunks = embed(done.chunks) if embed else done.chunks
-        return {
-            f"{out}/documents": done.documents,
-            f"{out}/concepts": done.concepts,
-            f"{out}/edges": done.edges,
-            f"{out}/chunks": chunks,
-            f"{out}/rejected": done.rejected,
-            f"{out}/bus_events": ingest_events(done.documents, done.chunks),
-        }
-
-    return batch_sink(uploads, checkpoint, branches, trigger=trigger)
+    def store(batch: DataFrame, batch_id: int) -> None:
+        store_uploads(batch, out, batch_id, parsers, embed)
+
+    writer = uploads.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -2,6 +2,7 @@
 
 from probanda import streaming as ST
 from probanda.operators import ingest
+from probanda.plans.ingest import store_uploads
 from probanda.sources import files
 
 
@@ -37,3 +38,16 @@ def test_streamed_files_equal_batch(spark, tmp_path):
     assert sorted(got) == sorted(wanted) and len(got) == 4
     names = [r["name"] for r in ST.read_batches(spark, f"{out}/bus_events").collect()]
     assert names.count("DocumentImported") == 2 and names.count("EmbeddingCreated") == 4
+
+
+def test_stored_tables(spark, tmp_path):
+    rows = [(f"p/{i}.txt", f"{i}.txt", bytearray(b"word " * 300 * (i % 3)), i) for i in range(9)]
+    uploads = spark.createDataFrame(rows, "path string, filename string, content binary, ingest_order long").selectExpr(
+        "*", "timestamp_seconds(ingest_order) as created_at")
+    out = str(tmp_path / "store")
+    for n in (0, 1, 1):  # a batch stored again replaces itself
+        store_uploads(uploads.where(f"ingest_order % 2 = {n}"), out, n)
+    counts = [ST.read_batches(spark, f"{out}/{t}").count() for t in ("documents", "rejected", "chunks", "bus_events")]
+    assert counts == [6, 3, 3 * 2 + 3 * 4, 6 + 18]
+    titles = {r["document_title"] for r in ST.read_batches(spark, f"{out}/chunks").collect()}
+    assert titles == {f"{i}.txt" for i in range(9) if i % 3}

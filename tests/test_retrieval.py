@@ -127,7 +127,7 @@ def knowledge(spark):
         "id string, source_type string, source_id string, target_type string, target_id string, relationship_type string, created_at timestamp",
     )
     projects = spark.createDataFrame([("p", "Plan", "text")], "id string, name string, description string")
-    return ask.Knowledge(chunks, document_table(spark, ["A", "B"]), concepts, edges, projects)
+    return ask.Knowledge(chunks, concepts, edges, projects, document_table(spark, ["A", "B"]))
 
 
 def one_query(spark, text="what does storage keep", **more):
