@@ -17,8 +17,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give a table that arrives in fewer splits than there are cores to all cores.  A
     large table already has more splits and is not shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    scanned = len(df.inputFiles())
-    return df.repartition(cores, *keys) if scanned < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 class Inputs:

@@ -63,12 +63,14 @@ TRACES = (
 
 
 @query(
-    "trace_of_request",
+    "traces_of_failed_requests",
     "N1",
-    f"SELECT trace_id, seq, stage, event_type, epoch_us(ts) AS at_us FROM ({TRACES}) WHERE trace_id = 't7'",
+    f"SELECT trace_id, seq, stage, event_type, epoch_us(ts) AS at_us FROM ({TRACES}) WHERE trace_id IN (SELECT trace_id FROM ({TRACES}) WHERE event_type = 'failure' AND stage = 'reason')",
 )
-def trace_of_request(spark: SparkSession, sf: str) -> DataFrame:
-    rows = telemetry.trace(Inputs(spark, sf).trace_events, "t7")
+def traces_of_failed_requests(spark: SparkSession, sf: str) -> DataFrame:
+    events = Inputs(spark, sf).trace_events
+    failed = events.where("event_type = 'failure' and stage = 'reason'")
+    rows = telemetry.trace(events, failed)
     return rows.select("trace_id", "seq", "stage", "event_type", F.unix_micros("timestamp").alias("at_us"))
 
 

@@ -6,7 +6,9 @@ task hands on at most ``top_k`` rows per query.  The tasks' rows are merged in t
 so that no task sorts rows of one query from all over the cluster.
 
 A block holds at most BLOCK_QUERIES queries.  A larger query table is hashed into more
-blocks, each of which scans the chunk table once; nothing is dropped or sampled.
+blocks, each of which scans the chunk table once; nothing is dropped or sampled.  Inside
+a block, queries with long texts are scored in groups whose query × token table stays
+within MAX_CELLS.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from .. import fixed_values as V
 
 BLOCK_QUERIES = 2048
 BATCH_ROWS = 1024
+MAX_CELLS = 16_000_000
 MERGE_SLOTS = 64
 
 SCORED = (
@@ -126,43 +129,74 @@ def _candidates(scores: np.ndarray, keep: np.ndarray, top_k: np.ndarray) -> tupl
     return np.nonzero(keep & (masked >= kth))
 
 
+class _Best:
+    """The best rows of one block so far, in one task."""
+
+    def __init__(self, block: QueryBlock, semantic_weight: float, keyword_weight: float):
+        self.block, self.weights = block, (semantic_weight, keyword_weight)
+        self.rows: pa.Table | None = None
+        self.floor = np.full(len(block.ids), -np.inf)
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        block, (semantic_weight, keyword_weight) = self.block, self.weights
+        semantic = _semantic(block, batch.column("embedding"))
+        if keyword_weight:
+            keyword = _keyword(block, batch.column("tokens"))
+        else:
+            keyword = np.zeros_like(semantic)
+        scores = np.floor((semantic_weight * semantic + keyword_weight * keyword) * 1e6 + 0.5) / 1e6
+        keep = (scores >= block.min_score) & (scores >= self.floor)
+        allowed = _allowed(block, batch.column("document_id"))
+        if allowed is not None:
+            keep &= allowed
+        rows, cols = _candidates(scores, keep, block.top_k)
+        if not len(rows):
+            return
+        found = pa.Table.from_batches([batch.select(_PAYLOAD)]).take(pa.array(rows))
+        found = found.append_column("q", pa.array(cols.astype(np.int64)))
+        found = found.append_column("score", pa.array(scores[rows, cols]))
+        found = found.append_column("semantic_score", pa.array(semantic[rows, cols]))
+        found = found.append_column("keyword_score", pa.array(keyword[rows, cols]))
+        self.rows = _best(found if self.rows is None else pa.concat_tables([self.rows, found]), block.top_k)
+        counts = np.bincount(self.rows["q"].to_numpy(), minlength=len(self.floor))
+        last = np.cumsum(counts) - 1
+        full = counts >= block.top_k
+        self.floor[full] = self.rows["score"].to_numpy()[last[full]]
+
+    def emit(self) -> Iterator[pa.RecordBatch]:
+        if self.rows is None:
+            return
+        q = self.rows["q"].to_numpy()
+        out = self.rows.append_column("query_id", pa.array([self.block.ids[i] for i in q], pa.string()))
+        out = out.append_column("top_k", pa.array(self.block.top_k[q].astype(np.int32)))
+        yield from out.select([f.strip().split(" ")[0] for f in SCORED.split(",")]).to_batches()
+
+
 def score_batches(
-    batches: Iterator[pa.RecordBatch], block: QueryBlock, semantic_weight: float, keyword_weight: float
+    batches: Iterator[pa.RecordBatch], blocks: list[QueryBlock], semantic_weight: float, keyword_weight: float
 ) -> Iterator[pa.RecordBatch]:
-    best: pa.Table | None = None
-    floor = np.full(len(block.ids), -np.inf)
+    bests = [_Best(block, semantic_weight, keyword_weight) for block in blocks]
     for whole in batches:
         for offset in range(0, whole.num_rows, BATCH_ROWS):
-            batch = whole.slice(offset, BATCH_ROWS)
-            semantic = _semantic(block, batch.column("embedding"))
-            if keyword_weight:
-                keyword = _keyword(block, batch.column("tokens"))
-            else:
-                keyword = np.zeros_like(semantic)
-            scores = np.floor((semantic_weight * semantic + keyword_weight * keyword) * 1e6 + 0.5) / 1e6
-            keep = (scores >= block.min_score) & (scores >= floor)
-            allowed = _allowed(block, batch.column("document_id"))
-            if allowed is not None:
-                keep &= allowed
-            rows, cols = _candidates(scores, keep, block.top_k)
-            if not len(rows):
-                continue
-            found = pa.Table.from_batches([batch.select(_PAYLOAD)]).take(pa.array(rows))
-            found = found.append_column("q", pa.array(cols.astype(np.int64)))
-            found = found.append_column("score", pa.array(scores[rows, cols]))
-            found = found.append_column("semantic_score", pa.array(semantic[rows, cols]))
-            found = found.append_column("keyword_score", pa.array(keyword[rows, cols]))
-            best = _best(found if best is None else pa.concat_tables([best, found]), block.top_k)
-            counts = np.bincount(best["q"].to_numpy(), minlength=len(floor))
-            last = np.cumsum(counts) - 1
-            full = counts >= block.top_k
-            floor[full] = best["score"].to_numpy()[last[full]]
-    if best is None:
-        return
-    q = best["q"].to_numpy()
-    out = best.append_column("query_id", pa.array([block.ids[i] for i in q], pa.string()))
-    out = out.append_column("top_k", pa.array(block.top_k[q].astype(np.int32)))
-    yield from out.select([f.strip().split(" ")[0] for f in SCORED.split(",")]).to_batches()
+            for best in bests:
+                best.add(whole.slice(offset, BATCH_ROWS))
+    for best in bests:
+        yield from best.emit()
+
+
+def bounded_groups(rows: list, max_cells: int) -> Iterator[list]:
+    """Split so that queries times distinct tokens of a group stays within max_cells; a
+    query alone always forms a group."""
+    group, vocabulary = [], set()
+    for row in sorted(rows, key=lambda r: len(r["tokens"])):
+        wider = vocabulary | set(row["tokens"])
+        if group and len(wider) * (len(group) + 1) > max_cells:
+            yield group
+            group, wider = [], set(row["tokens"])
+        group.append(row)
+        vocabulary = wider
+    if group:
+        yield group
 
 
 def query_blocks(queries: DataFrame, block_queries: int = BLOCK_QUERIES) -> Iterator[list]:
@@ -209,7 +243,8 @@ def rank_chunks(
             [r for r in rows if r["document_id"] is not None],
         )
         for group in filter(None, groups):
-            shared = spark.sparkContext.broadcast(QueryBlock.from_rows(group))
+            blocks = [QueryBlock.from_rows(g) for g in bounded_groups(group, MAX_CELLS)]
+            shared = spark.sparkContext.broadcast(blocks)
             scan = table
             if group[0]["document_id"] is not None:
                 scan = scan.where(F.col("document_id").isin(sorted({r["document_id"] for r in group})))

@@ -10,9 +10,14 @@ from .. import fixed_values as V
 from ..functions.text import six
 
 
-def trace(events: DataFrame, trace_id: str) -> DataFrame:
-    """Events of one request in arrival order."""
-    return events.where(F.col("trace_id") == trace_id).orderBy("timestamp", "seq")
+def trace(events: DataFrame, wanted: str | DataFrame) -> DataFrame:
+    """Events of one request, or of every request in a table of trace ids, in arrival
+    order."""
+    if isinstance(wanted, DataFrame):
+        events = events.join(wanted.select("trace_id").distinct(), "trace_id", "left_semi")
+    else:
+        events = events.where(F.col("trace_id") == wanted)
+    return events.orderBy("trace_id", "timestamp", "seq")
 
 
 def timeline(events: DataFrame) -> DataFrame:

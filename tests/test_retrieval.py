@@ -55,8 +55,9 @@ def test_golden_scores(spark):
     }
 
 
-@pytest.mark.parametrize("block", [3, 2048])
-def test_matches_brute_force_with_hot_document(spark, block):
+@pytest.mark.parametrize("block,cells", [(3, 16_000_000), (2048, 16_000_000), (2048, 12)])
+def test_matches_brute_force_with_hot_document(spark, monkeypatch, block, cells):
+    monkeypatch.setattr(ranking, "MAX_CELLS", cells)
     rng = random.Random(11)
     words = "alpha beta gamma delta eps".split()
     chunks, vectors = [], {}
