@@ -6,7 +6,7 @@ what is new, several times, restarting from its checkpoint in between.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -23,10 +23,19 @@ from .telemetry import LIMIT, STATUS_SQL, WINDOW_SECONDS, admission_sql
 SLICES = 3
 
 
-def replay(slices: Iterable[DataFrame], folder: str, start: Callable[[], StreamingQuery]) -> None:
-    for rows in slices:
-        rows.write.mode("append").parquet(folder)
-        start().awaitTermination()
+def replay(slices: list[DataFrame], folder: str, start: Callable[[], StreamingQuery]) -> None:
+    """State is spread over no more partitions than the cluster has cores: every one of
+    them is a store of its own that each micro-batch opens and commits."""
+    spark = slices[0].sparkSession
+    setting, cores = "spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(int(before), cores)))
+    try:
+        for rows in slices:
+            rows.write.mode("append").parquet(folder)
+            start().awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
 
 
 def in_time(rows: DataFrame, at: Column) -> list[DataFrame]:

@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import ship_package
+
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
@@ -37,6 +39,7 @@ def _embed_udf(load: Callable[[], Embedder]):
 def embed(df: DataFrame, text: str, load: Callable[[], Embedder]) -> DataFrame:
     """Adds embedding and embed_error.  ``load`` runs once per task and returns the
     function that embeds a list of texts; a failing text gets an error, not a failed job."""
+    ship_package(df.sparkSession)
     made = df.withColumn("_made", _embed_udf(load)(F.col(text)))
     return made.select(*df.columns, "_made.embedding", "_made.embed_error")
 

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed_values as V
+from ..session import ship_package
 
 MICROS = 1_000_000
 
@@ -109,6 +110,7 @@ def admit(
     contended bursts need the sequential rule; their rows stream through it in time
     order, with the admitted times of one window as the only state held.
     """
+    ship_package(requests.sparkSession)
     window_us = int(window_seconds * MICROS)
     columns = requests.columns
     rows = with_bursts(requests, window_seconds, limit)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as V
 from ..functions import text as T
+from ..session import ship_package
 from ..wording import DEFAULT_WORDING, Wording
 from .assembly import joined, ordered_text
 from .context import POLICY_TEXT, turn_line
@@ -161,5 +162,6 @@ def generate(
                 rows = [one(t) for t in values]
             yield pd.DataFrame(rows, columns=["response_text", "generate_error"])
 
+    ship_package(prompts.sparkSession)
     made = prompts.withColumn("_made", run(F.col(prompt)))
     return made.select(*prompts.columns, "_made.response_text", "_made.generate_error")

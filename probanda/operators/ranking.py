@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import fixed_values as V
+from ..session import ship_package
 
 BLOCK_QUERIES = 2048
 BATCH_ROWS = 1024
@@ -228,7 +229,7 @@ def rank_chunks(
     Queries with a document filter form blocks of their own, whose scan is restricted to
     those documents by a pushed-down IN list.
     """
-    spark = chunks.sparkSession
+    spark = ship_package(chunks.sparkSession)
     columns = [*_PAYLOAD, "tokens", "embedding"]
     if "document_title" not in chunks.columns:
         chunks = chunks.withColumn("document_title", F.lit(None).cast("string"))

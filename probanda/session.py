@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 
@@ -38,7 +40,9 @@ def build_session(app: str = "probanda", master: str | None = None, **conf: str)
 
 def ship_package(spark: SparkSession) -> SparkSession:
     """Give the Python workers this package, once per application, so its functions can
-    run in tasks on machines (or from folders) where it is not installed."""
+    run in tasks on machines (or from folders) where it is not installed.  Workers that
+    do not see added files get the functions themselves."""
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])
     context = spark.sparkContext
     if getattr(context, "_probanda_shipped", False):
         return spark

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..session import ship_package
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """Keep streaming state on local disk with changes in the checkpoint, not on the heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """Keep streaming state on local disk with changes in the checkpoint, not on the heap;
+    called before any stateful stream is planned."""
+    ship_package(spark).conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
 def batch_sink(
