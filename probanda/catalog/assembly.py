@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as V
-from ..functions import text as T
 from ..operators import context, graph, prompts, sessions
 from ..plans import ask
 from ..wording import DEFAULT_WORDING as W
@@ -23,7 +22,7 @@ def _packing(budget: int) -> str:
     return S.with_(
         "packing",
         "SELECT query_id, name, used AS estimated_tokens, cut AS truncated, length(content) AS n, sha256(content) AS content_hash FROM "
-        "(SELECT * EXCLUDE (cut), priority > 0 AND used < greatest(1, 0) AS x, used <> orig AS cut FROM (SELECT p.*, n.tokens AS orig FROM packing p JOIN numbered n USING (query_id, name)) WHERE kept)",
+        "(SELECT * EXCLUDE (cut), used <> orig AS cut FROM (SELECT p.*, n.tokens AS orig FROM packing p JOIN numbered n USING (query_id, name)) WHERE kept)",
         budget=budget,
     )
 

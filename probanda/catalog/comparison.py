@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import text as T
 from ..operators import compare, reason
 from . import sql as S
 from .inputs import Inputs

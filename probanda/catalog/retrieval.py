@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators import graph, reason, retrieve, sessions
+from ..operators import graph, retrieve, sessions
 from ..plans import ask
 from . import sql as S
 from .inputs import Inputs

@@ -11,7 +11,7 @@ from ..plans import ask
 from . import sql as S
 from .inputs import Inputs
 from .registry import query
-from .retrieval import gathered, investigated, with_research
+from .retrieval import investigated, with_research
 
 
 def template_responses(evidence: ask.Evidence) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .. import fixed_values as V
 from .assembly import text_digest
 
 EDGE_COLUMNS = [
