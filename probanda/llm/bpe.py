@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import ship, with_columns, without
 
 LONG_WORD = 256  # bytes; beyond, the heap
-CACHE_WORDS = 300_000  # words kept per task process
+CACHE_WORDS = 300_000  # words of each of the two generations a task process remembers
 CACHED_BYTES = 48
-NONE = 1 << 62
+NONE = 1 << 29  # above every rank
 
 # The splitting pattern of the byte-level vocabularies, and the code points
 # that became letters or numbers after Unicode 16, which the vocabulary's library follows.
@@ -73,44 +73,51 @@ class Vocabulary:
         back = {letter: b for b, letter in letters.items()}
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.single = [ids[letters[b]] for b in range(256)]
-        self.pieces = {i: bytes(back[c] for c in s) for s, i in ids.items()}
-        self.pieces |= {i: s.encode() for s, i in self.special.items()}
-        self.merges = {}
+        pieces = {i: bytes(back[c] for c in s) for s, i in ids.items()}
+        pieces |= {i: s.encode() for s, i in self.special.items()}
+        self.pieces = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
+        self.merges, self.made = {}, []  # pair of ids → rank; rank → id of the merged piece
         for rank, (a, b) in enumerate(data["model"]["merges"]):
-            self.merges[ids[a] << 32 | ids[b]] = rank << 32 | ids[a + b]
+            self.merges[ids[a] << 20 | ids[b]] = rank
+            self.made.append(ids[a + b])
 
 
 class Encoder(dict):
-    """Word → token ids; remembers short words, forgets all when full."""
+    """Word → token ids.  Remembers short words: when full, the memory becomes the old
+    generation, from which words still in use come back."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.v = vocabulary
+        self.v, self.old = vocabulary, {}
         self.plain, self.late = pattern(False), pattern(True)
         self.newer = regex.compile(f"[{NEWER}]")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        data = word.encode()
-        ids = tuple(self.scan(data) if len(data) <= LONG_WORD else self.heap(data))
-        if len(data) <= CACHED_BYTES:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
+        ids = self.old.get(word)
+        if ids is None:
+            data = word.encode()
+            ids = tuple(self.scan(data) if len(data) <= LONG_WORD else self.heap(data))
+            if len(data) > CACHED_BYTES:
+                return ids
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
         return ids
 
     def scan(self, data: bytes) -> list[int]:
-        merges = self.v.merges
-        part = [self.v.single[b] for b in data]  # one id per part, in order of its boundary
-        rank = [merges.get(a << 32 | b, NONE) for a, b in zip(part, part[1:])]
+        merges, single = self.v.merges, self.v.single
+        part = [single[b] for b in data]  # one id per part, in order of its boundary
+        rank = [merges.get(a << 20 | b, NONE) for a, b in zip(part, part[1:])]
         while rank and (least := min(rank)) != NONE:
             i = rank.index(least)
-            part[i] = least & 0xFFFFFFFF
+            part[i] = self.v.made[least]
             del part[i + 1], rank[i]
             if i < len(rank):
-                rank[i] = merges.get(part[i] << 32 | part[i + 1], NONE)
+                rank[i] = merges.get(part[i] << 20 | part[i + 1], NONE)
             if i:
-                rank[i - 1] = merges.get(part[i - 1] << 32 | part[i], NONE)
+                rank[i - 1] = merges.get(part[i - 1] << 20 | part[i], NONE)
         return part
 
     def heap(self, data: bytes) -> list[int]:
@@ -118,20 +125,20 @@ class Encoder(dict):
         part = [self.v.single[b] for b in data]
         n = len(part)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(m, i) for i in range(n - 1) if (m := merges.get(part[i] << 32 | part[i + 1])) is not None]
+        queue = [(m, i) for i in range(n - 1) if (m := merges.get(part[i] << 20 | part[i + 1])) is not None]
         heapq.heapify(queue)
         while queue:
             m, i = heapq.heappop(queue)
             j = after[i]
-            if part[i] < 0 or j >= n or merges.get(part[i] << 32 | part[j]) != m:
+            if part[i] < 0 or j >= n or merges.get(part[i] << 20 | part[j]) != m:
                 continue
-            part[i], part[j] = m & 0xFFFFFFFF, -1
+            part[i], part[j] = self.v.made[m], -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (m := merges.get(part[i] << 32 | part[k])) is not None:
+                if (m := merges.get(part[i] << 20 | part[k])) is not None:
                     heapq.heappush(queue, (m, i))
-            if (h := before[i]) >= 0 and (m := merges.get(part[h] << 32 | part[i])) is not None:
+            if (h := before[i]) >= 0 and (m := merges.get(part[h] << 20 | part[i])) is not None:
                 heapq.heappush(queue, (m, h))
         return [p for p in part if p >= 0]
 
