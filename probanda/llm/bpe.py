@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from array import array
 from itertools import chain
 
@@ -32,6 +33,7 @@ NONE = 1 << 29  # above every rank
 # The splitting pattern of the byte-level vocabularies, and the code points
 # that became letters or numbers after Unicode 16, which the vocabulary's library follows.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?L+| ?N+| ?[^\s]+|\s+(?!\S)|\s+"
+LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"  # of Latin-1
 NEWER = (
     r"՘֋-֌࢏౜೜₏₝-₟꟎-꟏꟒꟔꟝꟢꟱"
     r"꭬-꭭\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee"
@@ -80,6 +82,8 @@ class Vocabulary:
         for rank, (a, b) in enumerate(data["model"]["merges"]):
             self.merges[ids[a] << 20 | ids[b]] = rank
             self.made.append(ids[a + b])
+        at = self.single
+        self.first = [[self.merges.get(at[x] << 20 | at[y], NONE) for y in range(256)] for x in range(256)]
 
 
 class Encoder(dict):
@@ -90,6 +94,8 @@ class Encoder(dict):
         super().__init__()
         self.v, self.old = vocabulary, {}
         self.plain, self.late = pattern(False), pattern(True)
+        self.latin = re.compile(SPLIT.replace("L+", f"[{LETTERS}]+").replace("N+", f"[{NUMBERS}]+").replace(r"[^\s]", f"[^{SPACES}{LETTERS}{NUMBERS}]").replace(r"\s", f"[{SPACES}]").replace(r"\S", f"[^{SPACES}]"))
+        self.beyond = re.compile("[\u0100-\U0010ffff]")
         self.newer = regex.compile(f"[{NEWER}]")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
 
@@ -109,7 +115,8 @@ class Encoder(dict):
     def scan(self, data: bytes) -> list[int]:
         merges, single = self.v.merges, self.v.single
         part = [single[b] for b in data]  # one id per part, in order of its boundary
-        rank = [merges.get(a << 20 | b, NONE) for a, b in zip(part, part[1:])]
+        first = self.v.first
+        rank = [first[a][b] for a, b in zip(data, data[1:])]
         while rank and (least := min(rank)) != NONE:
             i = rank.index(least)
             part[i] = self.v.made[least]
@@ -143,8 +150,9 @@ class Encoder(dict):
         return [p for p in part if p >= 0]
 
     def words(self, text: str) -> list[str]:
-        late = not text.isascii() and self.newer.search(text)
-        return (self.late if late else self.plain).findall(text)
+        if not self.beyond.search(text):  # the same classes, by the quicker library
+            return self.latin.findall(text)
+        return (self.late if self.newer.search(text) else self.plain).findall(text)
 
     def encode_into(self, text: str, out: array) -> None:
         segments = self.cut.split(text) if self.cut and any(s in text for s in self.v.special) else [text]
