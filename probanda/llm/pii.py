@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import ship, stored, text_or_empty, without
-from .matching import FOUND, code_points, digits, listed, matches, matches_where
+from .matching import code_points, digits, listed, matches_where
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, pii, quality, simhash
+from . import bpe, decontaminate, language, licenses, pii, quality, secrets, shards, simhash, vectors
 from .common import table
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -21,10 +21,30 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
+def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.report(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.report(table(spark, sf_dir, "embeddings"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -35,7 +55,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_pii, op5_quality, op9_bpe, op10_simhash)
+    for f in (op1_decontamination, op2_pii, op3_licenses, op4_shards, op5_quality, op6_language, op7_secrets, op8_vectors, op9_bpe, op10_simhash)
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_licenses": licenses.SQL}
