@@ -32,7 +32,7 @@ SAMPLE = 16_384  # vectors the centres are fitted on: the least by hash
 CELL = 512  # vectors meant for one cell
 MOST_CELLS = 4096  # bounds the broadcast centres
 APART = 0.8  # centres closer than this cosine are one
-MARGIN = 0.15
+MARGIN = 0.08  # recall 1.0 at the given tables, and over 0.9 for pairs just above the threshold (tests)
 BLOCK = 1024
 ROUNDS = 8
 
@@ -107,33 +107,38 @@ def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     if len(left) and len(right):
         b = np.frombuffer(b"".join(right["v"])).reshape(len(right), -1)
         b_ids, b_n = right["u"].to_numpy(), right["n"].to_numpy()
-        callers = {h: np.array([h in v for v in right["visits"]]) for h in left["home"].unique() if h != cell}
-        for start in range(0, len(left), BLOCK):
-            part = left.iloc[start : start + BLOCK]
+        # (member, cell it visits) as one number
+        visits = [np.asarray(v, np.int64) for v in right["visits"]]
+        calls = np.repeat(np.arange(len(b)), [len(v) for v in visits]) << 32 | np.concatenate(visits)
+        for start in range(0, len(left), 256):
+            part = left.iloc[start : start + 256]
             a = np.frombuffer(b"".join(part["v"])).reshape(len(part), -1)
-            a_ids, a_n, homes = part["u"].to_numpy(), part["n"].to_numpy(), part["home"].to_numpy()
-            linked = (a @ b.T >= THRESHOLD) & (a_ids[:, None] != b_ids[None, :])
-            if not linked.any():
+            a_ids, a_n, homes = part["u"].to_numpy(), part["n"].to_numpy(), part["home"].to_numpy().astype(np.int64)
+            i, j = np.nonzero(a @ b.T >= THRESHOLD)
+            other = a_ids[i] != b_ids[j]
+            i, j = i[other], j[other]
+            if not len(i):
                 continue
-            # a member that calls at the caller's home finds the pair there, too
-            back = np.array([~callers[h] if h != cell else np.zeros(len(b), bool) for h in homes]) & linked
+            # a member that calls at the visitor's home finds the pair there, too
+            once = (homes[i] != cell) & ~np.isin(j.astype(np.int64) << 32 | homes[i], calls)
+            links = np.concatenate([np.bincount(i, b_n[j], len(a)), np.bincount(j[once], a_n[i[once]], len(b))]).astype(np.int64)
             ids = np.concatenate([a_ids, b_ids])
-            links = np.concatenate([linked @ b_n, back.T @ a_n])
-            root = local_roots(linked, a_ids, b_ids)
-            out.append(pd.DataFrame({"u": ids, "links": links, "root": root})[root < np.iinfo(np.int64).max])
+            seen = np.unique(np.concatenate([i, len(a) + j]))
+            root = local_roots(ids, i, len(a) + j)
+            out.append(pd.DataFrame({"u": ids[seen], "links": links[seen], "root": root[seen]}))
     return pd.concat(out) if out else pd.DataFrame({"u": [], "links": [], "root": []}).astype("int64")
 
 
-def local_roots(linked: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray) -> np.ndarray:
-    """Smallest id each linked row or column reaches inside this product; else the maximum."""
-    most = np.iinfo(np.int64).max
-    lab_a, lab_b = np.where(linked.any(1), a_ids, most), np.where(linked.any(0), b_ids, most)
+def local_roots(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest id that each place reaches over the links (i, j) of this product."""
+    root = ids.copy()
     while True:
-        new_a = np.minimum(lab_a, np.where(linked, lab_b[None, :], most).min(1))
-        new_b = np.minimum(lab_b, np.where(linked, new_a[:, None], most).min(0))
-        if (new_a == lab_a).all() and (new_b == lab_b).all():
-            return np.concatenate([new_a, new_b])
-        lab_a, lab_b = new_a, new_b
+        new = root.copy()
+        np.minimum.at(new, i, root[j])
+        np.minimum.at(new, j, new[i])
+        if (new == root).all():
+            return root
+        root = new
 
 
 def linked_entries(known: DataFrame) -> DataFrame:

@@ -59,6 +59,21 @@ def test_many_cells_and_blocks(spark, monkeypatch):
     assert sum(g[0] for g in got.values()) >= 0.9 * sum(t[0] for t in truth.values())
 
 
+def test_pairs_just_above_the_threshold(spark):
+    """Cosines of 0.9 to 0.92 across many cells of random vectors."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal(x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9001, 0.92, (4000, 1))
+    y = cosine * x + np.sqrt(1 - cosine**2) * side
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(np.vstack([x, y]))]
+    got = vectors.report(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert got.where("n_links > 0 AND vec_id >= 4000 AND component_id = vec_id - 4000").count() >= 0.9 * 4000
+
+
 def test_awkward_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
