@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..session import shared_dir, ship_package
 
-PART_BYTES = 4 << 20  # text handled at once inside a task
+PART_BYTES = 4 << 20  # characters of text handled at once inside a task
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +38,8 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def parts(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of a batch whose texts stay near PART_BYTES together (one long text is one
+def parts(batch: pa.RecordBatch, column: str, at_once: int = PART_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch whose texts stay near ``at_once`` characters together (one long text is one
     slice), with those texts; null becomes empty."""
     at = batch.schema.get_field_index(column)
     start = size = 0
@@ -48,14 +48,14 @@ def parts(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch,
         text = batch.column(at)[i].as_py() or ""
         texts.append(text)
         size += len(text) + 64
-        if size >= PART_BYTES:
+        if size >= at_once:
             yield batch.slice(start, i + 1 - start), texts
             start, size, texts = i + 1, 0, []
     if texts:
         yield batch.slice(start), texts
 
 
-def with_columns(df: DataFrame, added: T.StructType, text: str, run: Callable[[list[str]], list[pa.Array]], keep: list[str] | None = None) -> DataFrame:
+def with_columns(df: DataFrame, added: T.StructType, text: str, run: Callable[[list[str]], list[pa.Array]], keep: list[str] | None = None, at_once: int = PART_BYTES) -> DataFrame:
     """Add columns computed from the text column, one Arrow slice after another.  ``keep``
     lists the columns to pass through (all, if absent)."""
     df = without(df, *added.names)
@@ -64,7 +64,7 @@ def with_columns(df: DataFrame, added: T.StructType, text: str, run: Callable[[l
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece, texts in parts(batch, text):
+            for piece, texts in parts(batch, text, at_once):
                 columns = [piece.column(piece.schema.get_field_index(c)) for c in kept]
                 yield pa.RecordBatch.from_arrays(columns + run(texts), schema.names)
 

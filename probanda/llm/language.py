@@ -3,9 +3,9 @@
 Each byte is eight binary decisions (its bits from the top, given the bits before), each
 predicted in the contexts of the last 0 to ORDER bytes.  A node is one decision in one
 context; its two counts give a Krichevsky-Trofimov estimate, and weights computed from the
-leaves up mix the estimates of all depths.  Counts, weights and the mixtures are Spark
-aggregations and joins over the nodes.  A text is followed by an end byte; contexts at its
-start are filled with a start byte.
+leaves up mix the estimates of all depths.  Counts are Spark aggregations; the subtrees
+below two bytes of context, each of bounded size, are grouped tasks.  A text is followed by
+an end byte; contexts at its start are filled with a start byte.
 
 Scoring looks every (context, byte) up in tables that travel in blocks of at most
 BLOCK_NODES nodes, or one pair of last bytes, each block one pass inside the same scan.
@@ -33,8 +33,9 @@ from .common import parts, ship, stored, with_columns, without
 
 ORDER = 3
 BLOCK_NODES = 2_000_000
-FREQUENT = 200_000  # words whose counts travel with the tasks
-FLUSH = 400_000  # distinct words counted in a task before they are passed on
+FREQUENT = 100_000  # words whose counts travel with the tasks
+SLICE = 1 << 20  # characters whose grams are in memory at once
+FLUSH = 150_000  # distinct words counted in a task before they are passed on
 START, END = 0xFF, 0xFE  # never bytes of UTF-8
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -59,7 +60,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
 
         for batch in batches:
-            for _, texts in parts(batch, text):
+            for _, texts in parts(batch, text, SLICE):
                 for t in texts:
                     counts.update(tokens(t))
                 if len(counts) >= FLUSH:
@@ -96,9 +97,9 @@ def gram_counts(docs: DataFrame, order: int, text: str = "text") -> DataFrame:
     def task(batches):
         kept: list = []
         for batch in batches:
-            for _, texts in parts(batch, text):
+            for _, texts in parts(batch, text, SLICE):
                 kept.append(np.unique(grams(texts, order)[0], return_counts=True))
-                if len(kept) == 8:
+                if len(kept) == 32:
                     kept = [merge(kept)]
         if kept:
             keys, n = merge(kept)
@@ -107,69 +108,112 @@ def gram_counts(docs: DataFrame, order: int, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(task, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-@F.pandas_udf(T.DoubleType())
-def log_gamma(x: pd.Series) -> pd.Series:
-    return pd.Series([math.lgamma(v) for v in x])
-
-
-def estimate(nodes: DataFrame) -> DataFrame:
-    """Adds pe, the log of the Krichevsky-Trofimov probability of a node's counts."""
-    half = 2 * math.lgamma(0.5)
-    return nodes.withColumn("pe", log_gamma(F.col("n0") + 0.5) + log_gamma(F.col("n1") + 0.5) - half - log_gamma(F.col("n0") + F.col("n1") + 1.0))
-
-
-def decisions(counted: DataFrame) -> DataFrame:
-    """The eight decisions of every gram: gram, n, context, prefix (1 and the bits before) and bit."""
-    byte = F.col("gram").bitwiseAND(F.lit(255))
-    made = F.array(*[
-        F.struct(
-            F.shiftright(byte, k + 1).bitwiseOR(F.lit(1 << (7 - k))).cast("int").alias("prefix"),
-            F.shiftright(byte, k).bitwiseAND(F.lit(1)).cast("int").alias("bit"),
-        ) for k in range(7, -1, -1)
-    ])
-    each = counted.select("gram", "n", F.shiftright("gram", 8).alias("context"), F.explode(made).alias("d"))
-    return each.select("gram", "n", "context", "d.prefix", "d.bit")
-
-
-def tree(counted: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
-    """From gram counts: grams with the log10 probability of the byte, and nodes (depth,
-    context, prefix) with the probability of bit 1 where no deeper node is known."""
-    made = stored(decisions(counted), "lm-decisions")
-    leaf = made.groupBy("context", "prefix").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("n1"))
-    levels = {order: stored(estimate(leaf).withColumns({"pw": F.col("pe"), "weight": F.lit(1.0)}), "lm-nodes")}
-    for depth in range(order - 1, -1, -1):
-        up = levels[depth + 1].groupBy(F.shiftright("context", 8).alias("context"), "prefix").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("pw").alias("below"))
-        most = F.greatest("pe", "below")
-        up = estimate(up).withColumn("pw", most + F.log(F.exp(F.col("pe") - most) + F.exp(F.col("below") - most)) - math.log(2))
-        levels[depth] = stored(up.withColumn("weight", F.exp(F.col("pe") - F.col("pw") - math.log(2))).drop("below"), "lm-nodes")
-    one = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)
-    # mixed: the share of the estimates so far; rest: the weight left for deeper nodes
-    path = levels[0].select("context", "prefix", (F.col("weight") * one).alias("mixed"), (1 - F.col("weight")).alias("rest"))
-    known = path.select(F.lit(0).alias("depth"), "context", "prefix", (F.col("mixed") + F.col("rest") / 2).alias("p"))
-    for depth in range(1, order + 1):
-        above = path.select(F.col("context").alias("parent"), "prefix", "mixed", "rest")
-        node = levels[depth].withColumn("parent", F.shiftright("context", 8)).join(above, ["parent", "prefix"])
-        mixed, rest = F.col("mixed") + F.col("rest") * F.col("weight") * one, F.col("rest") * (1 - F.col("weight"))
-        path = stored(node.select("context", "prefix", mixed.alias("mixed"), rest.alias("rest")), "lm-path")
-        known = known.union(path.select(F.lit(depth), "context", "prefix", F.col("mixed") + F.col("rest") / 2))
-    chance = F.when(F.col("bit") == 1, F.col("mixed")).otherwise(1 - F.col("mixed"))
-    byte = made.join(path, ["context", "prefix"]).groupBy("gram").agg(F.sum(F.log10(chance)).alias("logp"))
-    return stored(byte, "lm-grams"), stored(known, "lm-known")
-
-
-def node_key(depth: Column, context: Column, prefix: Column) -> Column:
-    return F.shiftleft(depth.cast("long"), 48) + F.shiftleft(context, 8) + prefix
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    values, where = np.unique(x, return_inverse=True)
+    return np.array([math.lgamma(v) for v in values.tolist()])[where] if len(x) else np.zeros(0)
+
+
+class Level:
+    """The nodes of one depth: keys (context << 8 | prefix), counts, the log of their
+    Krichevsky-Trofimov probability (pe), of the mixture from here on (pw), and the weight
+    of stopping here.  ``below``: summed pw of the nodes one deeper; None at the last depth."""
+
+    def __init__(self, keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray | None):
+        self.keys, self.n0, self.n1 = keys, n0, n1
+        self.one = (n1 + 0.5) / (n0 + n1 + 1)
+        self.pe = log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - 2 * math.lgamma(0.5) - log_gamma(n0 + n1 + 1)
+        self.pw = self.pe if below is None else np.logaddexp(self.pe, below) - math.log(2)
+        self.weight = np.ones(len(keys)) if below is None else np.exp(self.pe - self.pw - math.log(2))
+
+    def up(self) -> Level:
+        """One byte of context less."""
+        keys, self.above = np.unique(self.keys >> 16 << 8 | self.keys & 255, return_inverse=True)
+        return Level(keys, *(np.bincount(self.above, x, len(keys)) for x in (self.n0, self.n1, self.pw)))
+
+    def mix(self, mixed, rest) -> None:
+        """Given the share of estimates above each node and the weight left for it."""
+        self.mixed, self.rest = mixed + rest * self.weight * self.one, rest * (1 - self.weight)
+
+    def alone(self) -> np.ndarray:
+        """Probability of bit 1 where no deeper node is known."""
+        return self.mixed + self.rest / 2
+
+
+def leaves(keys: np.ndarray, n: np.ndarray) -> tuple[Level, np.ndarray, np.ndarray]:
+    """The deepest level of some grams; which leaf each of their eight decisions is, and its bit."""
+    byte, context = keys & 255, keys >> 8
+    steps = [(context << 8 | byte >> (k + 1) | 1 << (7 - k), byte >> k & 1) for k in range(7, -1, -1)]
+    nodes, which = np.unique(np.concatenate([s for s, _ in steps]), return_inverse=True)
+    bits = np.concatenate([bit for _, bit in steps])
+    times = np.tile(n, 8)
+    counts = [np.bincount(which, times * (bits == b), len(nodes)) for b in (0, 1)]
+    return Level(nodes, counts[0], counts[1], None), which.reshape(8, -1), bits.reshape(8, -1)
+
+
+def subtree(keys: np.ndarray, n: np.ndarray, order: int):
+    """The levels order, order - 1 … 2 of grams that share the last two bytes."""
+    leaf, which, bits = leaves(keys, n)
+    levels = [leaf]
+    for _ in range(order - 2):
+        levels.append(levels[-1].up())
+    return levels, which, bits
+
+
+def tree(counted: DataFrame, order: int) -> DataFrame:
+    """(key, value, depth): for grams (depth -1) the log10 probability of the byte, for nodes
+    the probability of bit 1 where no deeper node is known.
+
+    Subtrees below two bytes of context are one group each, of at most 256^(order - 1)
+    grams.  The at most 256 x 255 nodes above them come to the driver, whose mixtures go
+    back as a table of that size."""
+    pair = F.shiftright("gram", 8 * (order - 1)).alias("pair")
+
+    def tops(group: pd.DataFrame) -> pd.DataFrame:
+        level = subtree(group["gram"].to_numpy(), group["n"].to_numpy(), order)[0][-1]
+        return pd.DataFrame({"top": level.keys >> 16 << 8 | level.keys & 255, "n0": level.n0, "n1": level.n1, "pw": level.pw})
+
+    first = counted.groupBy(pair).applyInPandas(tops, "top long, n0 double, n1 double, pw double")
+    first = first.groupBy("top").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("pw").alias("pw")).orderBy("top").toPandas()
+    level1 = Level(first["top"].to_numpy(np.int64), *(first[c].to_numpy() for c in ("n0", "n1", "pw")))
+    level0 = level1.up()
+    level0.mix(0.0, 1.0)
+    level1.mix(level0.mixed[level1.above], level0.rest[level1.above])
+    spark = counted.sparkSession
+    shared = spark.sparkContext.broadcast((level1.keys, level1.mixed, level1.rest))
+
+    def values(group: pd.DataFrame) -> pd.DataFrame:
+        keys = group["gram"].to_numpy()
+        levels, which, bits = subtree(keys, group["n"].to_numpy(), order)
+        known, mixed, rest = shared.value
+        at = np.searchsorted(known, levels[-1].keys >> 16 << 8 | levels[-1].keys & 255)
+        mixed, rest = mixed[at], rest[at]
+        out = []
+        for depth, level in enumerate(reversed(levels), 2):
+            level.mix(mixed, rest)
+            out.append(pd.DataFrame({"key": level.keys, "value": level.alone(), "depth": depth}))
+            if depth < order:
+                deeper = levels[order - depth - 1].above
+                mixed, rest = level.mixed[deeper], level.rest[deeper]
+        one = levels[0].mixed[which]
+        out.append(pd.DataFrame({"key": keys, "value": np.log10(np.where(bits == 1, one, 1 - one)).sum(0), "depth": -1}))
+        return pd.concat(out)
+
+    above = [(int(k), float(v), depth) for depth, level in ((0, level0), (1, level1)) for k, v in zip(level.keys, level.alone())]
+    below = counted.groupBy(pair).applyInPandas(values, "key long, value double, depth int")
+    return stored(below.union(spark.createDataFrame(above, "key long, value double, depth int")), "lm-tree")
 
 
 class Tables:
     """One block of the model: a hash table of grams and a sorted table of nodes."""
 
-    def __init__(self, grams_: pd.DataFrame, nodes: pd.DataFrame, order: int, owned: np.ndarray | None):
+    def __init__(self, rows: pa.Table, order: int, owned: np.ndarray | None):
         self.order, self.owned = order, owned  # owned: by the last two bytes, or None for all
-        bits = max(10, int(2 * len(grams_)).bit_length())
+        keys, values, depth = (rows[c].to_numpy() for c in ("key", "value", "depth"))
+        node_keys, node_p = (keys + (depth.astype(np.int64) << 48))[depth >= 0], values[depth >= 0]
+        keys, logp = keys[depth < 0], values[depth < 0]
+        bits = max(10, int(2 * len(keys)).bit_length())
         self.shift = np.uint64(64 - bits)
         self.keys, self.logp = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
-        keys, logp = grams_["gram"].to_numpy(np.int64), grams_["logp"].to_numpy(np.float64)
         at = self.slot(keys)
         while len(keys):
             free = self.keys[at] == -1
@@ -177,8 +221,8 @@ class Tables:
             here = self.keys[at] == keys
             self.logp[at[here]] = logp[here]
             keys, logp, at = keys[~here], logp[~here], (at[~here] + 1) & (len(self.keys) - 1)
-        order_ = np.argsort(nodes["key"].to_numpy(np.int64))
-        self.node_keys, self.node_p = nodes["key"].to_numpy(np.int64)[order_], nodes["p"].to_numpy(np.float64)[order_]
+        ascending = np.argsort(node_keys)
+        self.node_keys, self.node_p = node_keys[ascending], node_p[ascending]
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
@@ -223,14 +267,14 @@ class Tables:
         return total
 
 
-def blocks(grams_: DataFrame, nodes: DataFrame, order: int):
+def blocks(model: DataFrame, order: int):
     """The model in Tables of bounded size, split by the last two bytes of the context."""
-    last = F.expr("CASE WHEN depth >= 2 THEN cast(shiftright(context, 8 * (depth - 2)) AS int) END")
-    keyed = nodes.select(node_key(F.col("depth"), F.col("context"), F.col("prefix")).alias("key"), "p", last.alias("last"))
-    if nodes.count() <= BLOCK_NODES:
-        yield Tables(grams_.toPandas(), keyed.select("key", "p").toPandas(), order, None)
+    if model.count() <= BLOCK_NODES:
+        yield Tables(model.toArrow(), order, None)
         return
-    sizes = keyed.where("last IS NOT NULL").groupBy("last").count().orderBy("last").collect()  # 65,536 rows at most
+    # a gram's key is a node's key with the byte in place of the prefix
+    last = F.when(F.col("depth") < 0, F.shiftright("key", 8 * (order - 1))).when(F.col("depth") >= 2, F.expr("shiftright(key, 8 * (depth - 1))")).cast("int")
+    sizes = model.groupBy(last.alias("last")).count().where("last IS NOT NULL").orderBy("last").collect()  # 65,536 rows at most
     groups, load = [[]], 0
     for r in sizes:
         if groups[-1] and load + r["count"] > BLOCK_NODES:
@@ -246,8 +290,7 @@ def blocks(grams_: DataFrame, nodes: DataFrame, order: int):
         if i == len(groups) - 1:
             owned |= ~taken  # contexts nobody has seen
         # the groups are ranges, as the sizes came in order
-        part = grams_.where(F.shiftright("gram", 8 * (order - 1)).between(group[0], group[-1]))
-        yield Tables(part.toPandas(), keyed.where(F.col("last").isNull() | F.col("last").between(group[0], group[-1])).select("key", "p").toPandas(), order, owned)
+        yield Tables(model.where(last.isNull() | last.between(group[0], group[-1])).toArrow(), order, owned)
 
 
 def model_score(docs: DataFrame, training: DataFrame, text: str = "text", name: str = "lm_score", order: int = ORDER) -> DataFrame:
@@ -255,9 +298,8 @@ def model_score(docs: DataFrame, training: DataFrame, text: str = "text", name:
     counted = stored(gram_counts(ship(training), order, text), "lm-counts")
     if counted.isEmpty():
         return docs.withColumn(name, F.coalesce(F.octet_length(text), F.lit(0)).cast("double") * (8 * math.log10(0.5)) + 8 * math.log10(0.5))
-    grams_, nodes = tree(counted, order)
     out, columns = docs, []
-    for k, tables in enumerate(blocks(grams_, nodes, order)):
+    for k, tables in enumerate(blocks(tree(counted, order), order)):
         columns.append(f"__lm{k}")
         out = score_pass(out, tables, text, columns[-1])
     return out.withColumn(name, sum((F.col(c) for c in columns[1:]), F.col(columns[0]))).drop(*columns)
@@ -270,7 +312,7 @@ def score_pass(docs: DataFrame, tables: Tables, text: str, name: str) -> DataFra
         keys, starts = grams(texts, shared.value.order)
         return [pa.array(np.add.reduceat(shared.value.scores(keys), starts), pa.float64())]
 
-    return with_columns(docs, T.StructType().add(name, T.DoubleType()), text, run)
+    return with_columns(docs, T.StructType().add(name, T.DoubleType()), text, run, at_once=SLICE)
 
 
 def frequent_words(counts: DataFrame) -> tuple[dict[bytes, int], int]:
@@ -284,8 +326,8 @@ def frequent_words(counts: DataFrame) -> tuple[dict[bytes, int], int]:
         least = r["n"]
     if least is None:
         return {}, 1 << 62
-    rows = counts.where(F.col("n") >= least).toPandas()
-    return dict(zip(map(bytes, rows["token"]), rows["n"].tolist())), least
+    rows = counts.where(F.col("n") >= least).toArrow()
+    return dict(zip(rows["token"].to_pylist(), rows["n"].to_pylist())), least
 
 
 def base_parts(docs: DataFrame, words: dict[bytes, int], text: str) -> DataFrame:
