@@ -23,11 +23,12 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .common import parts, ship, stored, with_columns, without
 
@@ -293,26 +294,28 @@ def blocks(model: DataFrame, order: int):
         yield Tables(model.where(last.isNull() | last.between(group[0], group[-1])).toArrow(), order, owned)
 
 
-def model_score(docs: DataFrame, training: DataFrame, text: str = "text", name: str = "lm_score", order: int = ORDER) -> DataFrame:
-    """Adds the log10 probability of each text."""
-    counted = stored(gram_counts(ship(training), order, text), "lm-counts")
+Step = tuple[T.StructType, Callable[[list[str]], list[pa.Array]]]
+
+
+def model_steps(docs: DataFrame, training: DataFrame, text: str, order: int) -> list[Step]:
+    """One step per block of the model, each a column of partial sums.  Without anything to
+    learn from the model is one empty block."""
+    counted = stored(gram_counts(training, order, text), "lm-counts")
     if counted.isEmpty():
-        return docs.withColumn(name, F.coalesce(F.octet_length(text), F.lit(0)).cast("double") * (8 * math.log10(0.5)) + 8 * math.log10(0.5))
-    out, columns = docs, []
-    for k, tables in enumerate(blocks(tree(counted, order), order)):
-        columns.append(f"__lm{k}")
-        out = score_pass(out, tables, text, columns[-1])
-    return out.withColumn(name, sum((F.col(c) for c in columns[1:]), F.col(columns[0]))).drop(*columns)
+        tables = [Tables(pa.table({"key": pa.array([], pa.int64()), "value": pa.array([], pa.float64()), "depth": pa.array([], pa.int32())}), order, None)]
+    else:
+        tables = blocks(tree(counted, order), order)
+    return [model_step(docs.sparkSession, t, f"__lm{k}") for k, t in enumerate(tables)]
 
 
-def score_pass(docs: DataFrame, tables: Tables, text: str, name: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
+def model_step(spark: SparkSession, tables: Tables, name: str) -> Step:
+    shared = spark.sparkContext.broadcast(tables)
 
     def run(texts: list[str]) -> list[pa.Array]:
         keys, starts = grams(texts, shared.value.order)
         return [pa.array(np.add.reduceat(shared.value.scores(keys), starts), pa.float64())]
 
-    return with_columns(docs, T.StructType().add(name, T.DoubleType()), text, run, at_once=SLICE)
+    return T.StructType().add(name, T.DoubleType()), run
 
 
 def frequent_words(counts: DataFrame) -> tuple[dict[bytes, int], int]:
@@ -330,9 +333,9 @@ def frequent_words(counts: DataFrame) -> tuple[dict[bytes, int], int]:
     return dict(zip(rows["token"].to_pylist(), rows["n"].to_pylist())), least
 
 
-def base_parts(docs: DataFrame, words: dict[bytes, int], text: str) -> DataFrame:
-    """Adds what the frequent words give, and the other words with their numbers."""
-    shared = docs.sparkSession.sparkContext.broadcast({w: math.log10(n + 0.1) for w, n in words.items()})
+def base_step(spark: SparkSession, words: dict[bytes, int]) -> Step:
+    """What the frequent words give, and the other words with their numbers."""
+    shared = spark.sparkContext.broadcast({w: math.log10(n + 0.1) for w, n in words.items()})
     schema = T.StructType().add("n_tokens", T.LongType()).add("known_here", T.LongType()).add("sum_here", T.DoubleType())
     schema = schema.add("rare", T.ArrayType(T.BinaryType())).add("times", T.ArrayType(T.IntegerType()))
 
@@ -350,13 +353,13 @@ def base_parts(docs: DataFrame, words: dict[bytes, int], text: str) -> DataFrame
             times.append(list(others.values()))
         return [pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(total, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))]
 
-    return with_columns(docs, schema, text, run, [c for c in docs.columns if c != text])
+    return schema, run
 
 
 OUTPUTS = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
-def score(docs: DataFrame, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, text: str = "text", order: int = ORDER) -> DataFrame:
     """Adds held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte;
     the text itself is dropped from the result."""
     docs = ship(without(docs, *OUTPUTS))
@@ -365,8 +368,16 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
     counts = stored(word_counts(training, text), "word-counts")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     words, least = frequent_words(counts)
-    rows = model_score(docs.withColumn("__bytes", F.coalesce(F.octet_length(text), F.lit(0))), training, text)
-    rows = base_parts(rows, words, text).withColumn("__row", F.monotonically_increasing_id())
+    rows = docs.withColumn("__bytes", F.coalesce(F.octet_length(text), F.lit(0)))
+    model, (base_schema, base_run) = model_steps(docs, training, text, order), base_step(docs.sparkSession, words)
+    for schema, run in model[:-1]:
+        rows = with_columns(rows, schema, text, run, at_once=SLICE)
+    schema, run = model[-1]  # the last block and the words in one pass
+    rows = with_columns(
+        rows, T.StructType([*schema, *base_schema]), text, lambda texts: run(texts) + base_run(texts), [c for c in rows.columns if c != text], SLICE
+    )
+    parts_of_model = [F.col(schema.names[0]) for schema, _ in model]
+    rows = rows.withColumn("lm_score", sum(parts_of_model[1:], parts_of_model[0])).withColumn("__row", F.monotonically_increasing_id())
     rows = stored(rows, "word-scores")
     pairs = rows.select("__row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("__row", F.col("w.rare").alias("token"), F.col("w.times").alias("times"))
     met = pairs.join(counts.where(F.col("n") < least), "token", "left").groupBy("__row").agg(
