@@ -136,18 +136,20 @@ def confident_patterns(seen: DataFrame) -> DataFrame:
 
 
 def added(found: DataFrame) -> DataFrame:
-    """doc_id, text_hash and the spans that confident patterns add."""
+    """__id, __hash (doc_id and text hash) and __added, the spans of confident patterns."""
     seen = found.select("doc_id", "text_hash", F.explode("seen").alias("s")).select("doc_id", "text_hash", "s.*")
     patterns = confident_patterns(seen)
     hits = seen.where("NOT seed").select("doc_id", "text_hash", "start", "end", F.explode("patterns").alias("pattern")).join(patterns, "pattern", "left_semi")
     spans = hits.select("doc_id", "text_hash", F.struct(F.lit("context").alias("kind"), "start", "end").alias("span")).distinct()
-    return spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("span")).alias("__added"))
+    by_row = spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("span")).alias("__added"))
+    # written, so that the size is known where texts are joined: few spans need no shuffle
+    return stored(by_row.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}), "added-spans")
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, base_spans and spans (base and added) of every row."""
     found = stored(occurrences(docs, text), "personal-data")
-    more = added(found).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__added")
+    more = added(found)
     both = found.join(more, found["doc_id"].eqNullSafe(more["__id"]) & (found["text_hash"] == more["__hash"]), "left")
     return both.select("doc_id", "base_spans", F.concat("base_spans", F.coalesce("__added", F.array().cast(SPANS))).alias("spans"))
 
@@ -170,7 +172,7 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     there, follows.  Only spans that context added are joined; texts are not shuffled for
     the base kinds."""
     columns = docs.columns
-    more = added(stored(occurrences(docs, text), "personal-data")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__added")
+    more = added(stored(occurrences(docs, text), "personal-data"))
     own = find_base(docs.withColumn("__own", F.xxhash64(text_or_empty(text))), text).withColumnRenamed("base_spans", "__base")
     rows = own.join(more, own["doc_id"].eqNullSafe(more["__id"]) & (own["__own"] == more["__hash"]), "left")
     base_spans = F.transform("__base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
