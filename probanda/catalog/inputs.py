@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as V
 from ..functions import text as T
+from ..functions import vectors as VF
 from ..operators import ingest as ingest_ops
 from ..plans.ask import Knowledge
 from ..session import ship_package
@@ -59,11 +60,12 @@ class Inputs:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        """Chunks with the vector of their document; null where it has none."""
+        """Every chunk of every document, with the vector of its document; where that has
+        none, with one made from the chunk's text."""
         vectors = self.vectors.select(F.col("vec_id").alias("ingest_order"), "embedding")
-        # without a vector a chunk is not ranked, so only those documents are cut
-        with_vector = self.uploads.join(vectors, "ingest_order")
-        return ingest_ops.ingest(with_vector, carry=["embedding"]).chunks
+        given = self.uploads.join(vectors, "ingest_order", "left")
+        chunks = ingest_ops.ingest(given, carry=["embedding"]).chunks
+        return chunks.withColumn("embedding", F.coalesce("embedding", VF.digest_embedding(F.col("chunk_text"))))
 
     @cached_property
     def documents(self) -> DataFrame:

@@ -95,7 +95,9 @@ FRAGMENTS: dict[str, tuple[list[str], str]] = {
     ),
     "vchunks": (
         ["chunks", "vecs"],
-        "SELECT c.*, v.embedding FROM chunks c JOIN vecs v ON v.vec_id = c.doc_id",
+        "SELECT c.* EXCLUDE (digest), coalesce(v.embedding, list_transform(range(1, 65), "
+        "lambda i: CAST(instr('0123456789abcdef', substr(digest, i, 1)) AS DOUBLE) - 8.5)) AS embedding "
+        "FROM (SELECT *, sha256(chunk_text) AS digest FROM chunks) c LEFT JOIN vecs v ON v.vec_id = c.doc_id",
     ),
     "queries": (
         ["vecs"],

@@ -28,3 +28,10 @@ def length_embedding(text: Column) -> Column:
     """A tiny deterministic embedder for fixtures: [len % 7, len % 3, 1]."""
     n = F.length(text)
     return F.array((n % 7).cast("double"), (n % 3).cast("double"), F.lit(1.0))
+
+
+def digest_embedding(text: Column) -> Column:
+    """A stand-in vector of width 64: the hexadecimal digits of the text's digest, centred."""
+    digest = F.sha2(text, 256)
+    place = lambda i: F.instr(F.lit("0123456789abcdef"), F.substring(digest, i, F.lit(1)))
+    return F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: place(i).cast("double") - 8.5)
