@@ -82,11 +82,11 @@ def previous_turns(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "edge_text",
     "I3",
-    S.with_("line_of", "SELECT concept_id, count(*) AS n_items, sum(length(line) + 1)::BIGINT - 1 AS n_chars, sha256(left(string_agg(line, chr(10) ORDER BY made, id), 16000)) AS text_hash FROM line_of GROUP BY 1"),
+    S.with_("line_of", "SELECT concept_id, count(*) AS n_items, sum(length(line) + 1)::BIGINT - 1 AS n_chars, sha256(string_agg(line, chr(10) ORDER BY made, id)) AS text_hash FROM line_of GROUP BY 1"),
 )
 def edge_text(spark: SparkSession, sf: str) -> DataFrame:
-    rows = graph.concept_edge_digest(Inputs(spark, sf).edges, 16000)
-    return rows.select("concept_id", "n_items", "n_chars", _hashed("prefix", "text_hash"))
+    rows = graph.concept_edge_text(Inputs(spark, sf).edges)
+    return rows.select("concept_id", "n_items", "n_chars", _hashed("text", "text_hash"))
 
 
 @query(

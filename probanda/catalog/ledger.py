@@ -68,6 +68,30 @@ def turn_memory(spark: SparkSession, sf: str) -> DataFrame:
     return records.select("tier", "scope_id", F.sha2("content", 256).alias("content_hash"))
 
 
+@query(
+    "failed_turns",
+    "M1",
+    _turns(
+        "SELECT query_id, failed, answer IS NOT NULL AND NOT failed AS delivered, "
+        f"CASE WHEN failed THEN {S.quoted(V.INTERNAL_ERROR_TEXT)} ELSE answer END AS reply, "
+        "CASE WHEN failed OR answer IS NULL THEN 0 ELSE 1 END::BIGINT AS answers, CASE WHEN failed THEN 0 ELSE 1 END::BIGINT AS dialogues, confidence "
+        "FROM (SELECT *, NOT clarified AND CAST(query_id AS INT) % 3 = 1 AS failed FROM turns)"
+    ),
+)
+def failed_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """The generator fails for some queries."""
+    i = Inputs(spark, sf)
+    evidence = gathered(i)
+    given = template_responses(evidence)
+    failing = given.withColumn("response_text", F.when(F.col("query_id").cast("int") % 3 != 1, F.col("response_text")))
+    made = ask.settle(i.asked, evidence, failing)[1]
+    answers = made.answers.groupBy("question_id").agg(F.count("*").alias("answers"))
+    dialogue = made.interactions.where("tier = 'dialogue'").select(F.substring_index("interaction_id", "|", -1).alias("question_id"))
+    dialogue = dialogue.groupBy("question_id").agg(F.count("*").alias("dialogues"))
+    rows = made.turns.join(answers, "question_id", "left").join(dialogue, "question_id", "left").na.fill(0, ["answers", "dialogues"])
+    return rows.select("query_id", "failed", "delivered", "reply", "answers", "dialogues", "confidence")
+
+
 @query(
     "turn_events",
     "M1",

@@ -95,6 +95,10 @@ RESEARCH_FALLBACK_TEXT = (
 RESEARCH_EMPTY_TEXT = "No evidence was found in the knowledge base to research this question."
 PROMPT_EMPTY_TEXT = "No evidence was retrieved for this query."
 NOT_DELIVERED_TEXT = "[not delivered -- failed validation/reflection]"
+INTERNAL_ERROR_TEXT = (
+    "I ran into an internal problem while processing this and stopped safely "
+    "rather than guess or continue with a broken result. Please try again."
+)
 UNKNOWN_SOURCE = "unknown source"
 CITATION_VIOLATION = "citation '%s' does not match any retrieved source"
 CLAIM_VIOLATION = "response claims confidence %s but computed confidence was %s"

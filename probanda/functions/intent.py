@@ -63,8 +63,12 @@ def plan_steps() -> Column:
     return F.when(on("clarification_required"), F.array(F.lit("clarify"))).otherwise(steps)
 
 
-def state_path(clarify: Column) -> Column:
+def state_path(clarify: Column, failed: Column | None = None) -> Column:
+    """States a turn goes through; one whose generation failed stops there."""
     def path(names: list[str]) -> Column:
         return F.array(*[F.lit(n) for n in names])
 
-    return F.when(clarify, path(V.CLARIFY_STATE_PATH)).otherwise(path(V.FULL_STATE_PATH))
+    full = path(V.FULL_STATE_PATH)
+    if failed is not None:
+        full = F.when(failed, path(V.FULL_STATE_PATH[: V.FULL_STATE_PATH.index("generate") + 1])).otherwise(full)
+    return F.when(clarify, path(V.CLARIFY_STATE_PATH)).otherwise(full)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .assembly import text_digest
+from .assembly import joined, text_digest
 
 EDGE_COLUMNS = [
     "id", "source_type", "source_id", "target_type", "target_id", "relationship_type", "created_at",
@@ -51,6 +51,24 @@ def concept_edges(retrieved: DataFrame, edges: DataFrame) -> DataFrame:
     return wanted.join(found, "concept_id")
 
 
+def concept_ends(edges: DataFrame) -> DataFrame:
+    """Every edge once for each concept it touches, in one scan of the edges."""
+    ends = F.array_distinct(F.array_compact(F.array(*[F.when(F.col(f"{end}_type") == "concept", F.col(f"{end}_id")) for end in ("source", "target")])))
+    return edges.select(*EDGE_COLUMNS, F.explode(ends).alias("concept_id"))
+
+
+def concept_edge_text(edges: DataFrame) -> DataFrame:
+    """(concept_id, n_items, n_chars, text): the whole edge text of every concept, in order
+    of creation.  Lines of one hour are joined first, so the lines of a concept with very
+    many edges are assembled by many tasks; only its finished text is one row."""
+    lines = concept_ends(edges).select("concept_id", "created_at", "id", edge_line().alias("line"))
+    pieces = lines.groupBy("concept_id", F.date_trunc("hour", "created_at").alias("hour")).agg(
+        F.count("*").alias("n_items"), joined(["created_at", "id"], "line", "\n").alias("piece")
+    )
+    whole = pieces.groupBy("concept_id").agg(F.sum("n_items").alias("n_items"), joined(["hour"], "piece", "\n").alias("text"))
+    return whole.select("concept_id", "n_items", F.length("text").cast("long").alias("n_chars"), "text")
+
+
 def concept_edge_digest(edges: DataFrame, limit: int, concepts: DataFrame | None = None) -> DataFrame:
     """Per concept: number of edges, full text length and the first ``limit`` characters
     of its edge text.  What a query needs of a concept with very many edges is this row,
@@ -59,12 +77,7 @@ def concept_edge_digest(edges: DataFrame, limit: int, concepts: DataFrame | None
         entities = concepts.select(F.lit("concept").alias("entity_type"), F.col("concept_id").alias("entity_id"))
         ends = edges_of(entities, edges).withColumnRenamed("entity_id", "concept_id")
     else:
-        table = edges.select(*EDGE_COLUMNS)
-        source_end = table.where("source_type = 'concept'").withColumn("concept_id", F.col("source_id"))
-        target_end = table.where(
-            "target_type = 'concept' and not (source_type = 'concept' and source_id = target_id)"
-        ).withColumn("concept_id", F.col("target_id"))
-        ends = source_end.unionByName(target_end)
+        ends = concept_ends(edges)
     lines = ends.select("concept_id", "created_at", "id", edge_line().alias("line"))
     return text_digest(lines, ["concept_id"], ["created_at", "id"], "line", "\n", limit, SHORTEST_EDGE_LINE)
 

@@ -199,7 +199,10 @@ def ingest(
 
 
 def ingest_events(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One DocumentImported per document and one EmbeddingCreated per chunk."""
+    """One DocumentImported per document and one EmbeddingCreated per chunk that has its
+    vector; chunks not yet embedded (no such column) count all."""
+    if "embedding" in chunks.columns:
+        chunks = chunks.where("embedding is not null")
     imported = documents.select(
         F.lit("DocumentImported").alias("name"),
         F.to_json(F.struct(F.col("id").alias("document_id"), "title")).alias("payload"),

@@ -22,21 +22,32 @@ class Ledger:
 
 
 def record_turns(
-    queries: DataFrame, intents: DataFrame, reasons: DataFrame, chat: DataFrame, sources: DataFrame
+    queries: DataFrame,
+    intents: DataFrame,
+    reasons: DataFrame,
+    chat: DataFrame,
+    sources: DataFrame,
+    failed: DataFrame | None = None,
 ) -> Ledger:
     """queries(query_id, query, session_id, project_id, asked_at), ``intents`` as read
     after retrieval, ``chat`` as from ``validate.delivered_chat``, ``sources`` as from
     ``sessions.answer_sources``.
 
     A query that needs clarification is answered with the fixed text and skips
-    retrieval, reasoning and checks.
+    retrieval, reasoning and checks.  A query in ``failed(query_id)`` got no response from
+    the generator: its question is kept and its reasoning told, but there is no answer and
+    no memory; the reply is a fixed text.
     """
+    if failed is None:
+        failed = queries.select("query_id").where("false")
     rows = (
         queries.select("query_id", "query", "session_id", "project_id", "asked_at")
         .join(intents.select("query_id", "clarification_required", "should_memory_change"), "query_id")
         .join(reasons.select("query_id", "overall"), "query_id", "left")
         .join(chat.select("query_id", "delivered_text"), "query_id", "left")
         .join(sources, "query_id", "left")
+        .join(failed.select("query_id").distinct().withColumn("failed", F.lit(True)), "query_id", "left")
+        .withColumn("failed", F.coalesce(F.col("failed") & ~F.col("clarification_required"), F.lit(False)))
     )
     clarify = F.col("clarification_required")
     question_id = T.stable_id(F.lit("question"), F.col("session_id"), F.col("query_id"))
@@ -49,11 +60,15 @@ def record_turns(
         "should_memory_change",
         clarify.alias("clarified"),
         question_id.alias("question_id"),
-        F.when(clarify, V.CLARIFICATION_TEXT).otherwise(F.col("delivered_text")).alias("answer"),
+        "failed",
+        F.when(clarify, V.CLARIFICATION_TEXT).when(~F.col("failed"), F.col("delivered_text")).alias("answer"),
         F.when(~clarify, F.col("overall")).alias("confidence"),
         F.when(~clarify, F.col("sources")).alias("sources"),
-        I.state_path(clarify).alias("state_path"),
-    )
+        I.state_path(clarify, F.col("failed")).alias("state_path"),
+    ).withColumns({
+        "delivered": F.col("answer").isNotNull(),
+        "reply": F.when(F.col("failed"), V.INTERNAL_ERROR_TEXT).otherwise(F.col("answer")),
+    })
     questions = turns.select(
         F.col("question_id").alias("id"),
         "session_id",
@@ -71,7 +86,7 @@ def record_turns(
     )
     # An empty answer that passed its checks is stored, but remembered as not delivered.
     told = F.coalesce(F.nullif("answer", F.lit("")), F.lit(V.NOT_DELIVERED_TEXT))
-    dialogue = turns.select(
+    dialogue = turns.where("not failed").select(
         F.concat_ws("|", F.lit("dialogue"), "question_id").alias("interaction_id"),
         F.concat(F.lit("Q: "), "query", F.lit("\nA: "), told).alias("content"),
         F.lit("dialogue").alias("tier"),

@@ -103,7 +103,11 @@ def respond(
 
 
 def settle(queries: DataFrame, evidence: Evidence, responses: DataFrame) -> tuple[DataFrame, Ledger]:
-    """Check responses and record the turns: (verdicts, ledger)."""
+    """Check responses and record the turns: (verdicts, ledger).
+
+    Every table made here reads ``responses``, so pass stored ones: a plan that still holds
+    the model call would make it again for each table.
+    """
     checked = validate.verdicts(responses.where("response_text is not null"), evidence.reasons)
     ledger = record_turns(
         queries,
@@ -111,6 +115,7 @@ def settle(queries: DataFrame, evidence: Evidence, responses: DataFrame) -> tupl
         evidence.reasons,
         validate.delivered_chat(checked),
         sessions.answer_sources(evidence.retrieved),
+        responses.where("response_text is null"),
     )
     return checked, ledger
 

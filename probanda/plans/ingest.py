@@ -32,7 +32,9 @@ def store_uploads(
         "edges": done.edges,
         "chunks": embed(done.chunks) if embed else done.chunks,
         "rejected": done.rejected,
-        "bus_events": ingest_events(done.documents, done.chunks),
     }
     for name, rows in tables.items():
         rows.write.mode("overwrite").parquet(f"{out}/{name}/{folder}")
+    # from the stored chunks: events tell what was embedded, and the embedder runs once
+    chunks = spark.read.parquet(f"{out}/chunks/{folder}")
+    ingest_events(done.documents, chunks).write.mode("overwrite").parquet(f"{out}/bus_events/{folder}")
