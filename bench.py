@@ -25,6 +25,7 @@ HEADLINE = [
     "confidence",
     "context_packing",
     "validation_verdicts",
+    "research_prompts",
     "session_summaries",
     "admission_limit",
     "sliding_request_counts",

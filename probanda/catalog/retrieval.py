@@ -207,7 +207,7 @@ def sub_question_search(spark: SparkSession, sf: str) -> DataFrame:
 )
 def conversation_history(spark: SparkSession, sf: str) -> DataFrame:
     i = Inputs(spark, sf)
-    rows = sessions.conversation_history(i.questions, i.answers).orderBy("session_id", "asked_at", "question_id")
+    rows = sessions.in_session_order(sessions.conversation_history(i.questions, i.answers))
     return rows.select(
         F.col("session_id").cast("long").alias("conv_id"), "question_id", F.sha2("question_text", 256).alias("question_hash"),
         "answer_id", F.sha2("answer_text", 256).alias("answer_hash"), "confidence",

@@ -84,7 +84,8 @@ def build_prompts(
     """
     rows = reasons.join(evidence_block(retrieved, redact=True), "query_id", "left")
     if sessions is not None and history is not None:
-        told = sessions.select("query_id", "session_id").join(history_text(history), "session_id")
+        asked = history.join(sessions.select("session_id").distinct(), "session_id", "left_semi")
+        told = sessions.select("query_id", "session_id").join(history_text(asked), "session_id")
         rows = rows.join(told.select("query_id", "history"), "query_id", "left")
     else:
         rows = rows.withColumn("history", F.lit(None).cast("string"))

@@ -136,11 +136,12 @@ def web_evidence(
     order = Window.partitionBy("query_id").orderBy("position", "url")
     best = (
         web_results.withColumn("query_id", F.col("query_id").cast("string"))
+        .join(asking, "query_id", "left_semi")
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= max_results)
     )
     score = T.six(F.coalesce("score", F.lit(0.0)))
-    return best.join(asking, "query_id", "left_semi").select(
+    return best.select(
         "query_id",
         "rank",
         T.stable_id(F.lit("web"), F.col("query_id"), F.col("position"), F.coalesce("url", F.lit(""))).alias("chunk_id"),

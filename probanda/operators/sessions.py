@@ -9,8 +9,7 @@ from ..schemas import SOURCE_LIST
 
 
 def conversation_history(questions: DataFrame, answers: DataFrame) -> DataFrame:
-    """Every question with its answers, or without one.  Sort by session_id, asked_at
-    and question_id to read it."""
+    """Every question with its answers, or without one."""
     replies = answers.select(
         F.col("id").alias("answer_id"), "question_id", F.col("text").alias("answer_text"), "confidence", "sources"
     )
@@ -21,6 +20,11 @@ def conversation_history(questions: DataFrame, answers: DataFrame) -> DataFrame:
     return asked.join(replies, "question_id", "left")
 
 
+def in_session_order(history: DataFrame) -> DataFrame:
+    """The rows of a session lie together, in the order they were asked."""
+    return history.repartition("session_id").sortWithinPartitions("session_id", "asked_at", "question_id")
+
+
 def typed_sources(answers: DataFrame) -> DataFrame:
     """answers with ``sources`` as an array, whether it was stored so or as JSON text."""
     if dict(answers.dtypes)["sources"] == "string":

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import fixed_values as V
 from ..functions import intent as I
 from ..operators import compare, context, graph, prompts, reason, retrieve, sessions, validate
+from ..operators.admit import admit
 from ..operators.ledger import Ledger, record_turns
 from ..wording import DEFAULT_WORDING, Wording
 
@@ -42,6 +43,10 @@ class Evidence:
     web_results: DataFrame | None = None
     max_tokens: int = V.CONTEXT_TOKENS
 
+    def __post_init__(self) -> None:
+        """Only admitted queries are answered; the others are in ``quarantined``."""
+        self.all_queries, self.quarantined = admit(self.all_queries)
+
     @cached_property
     def queries(self) -> DataFrame:
         return self.all_queries.where(~I.needs_clarification(F.col("query")))

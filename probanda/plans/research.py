@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import compare, memory, prompts, reason, retrieve, validate
+from ..operators.admit import admit
 from ..wording import DEFAULT_WORDING, Wording
 from .ask import Knowledge
 
@@ -35,6 +36,7 @@ def investigate(
     ``embed_parts`` turns the parts table into one with a vector per part; without it a
     part uses its question's vector.  ``web_results`` is keyed by part id.
     """
+    questions = admit(questions)[0]
     parts = retrieve.explode_sub_questions(questions)
     if embed_parts is not None:
         parts = embed_parts(parts)
