@@ -179,3 +179,26 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def _words(text: str) -> str:
+    upper = "".join(map(chr, range(65, 91)))
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+SQL = f"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words("text")} AS w FROM benchmark),
+starts AS (SELECT item, w, unnest(range(1, greatest(1, len(w) - {WINDOW - 1}) + 1)) AS i FROM items WHERE len(w) > 0),
+patterns AS (SELECT DISTINCT item, len(w[i:i + {WINDOW - 1}]) AS m, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS k FROM starts),
+docs AS (SELECT doc_id, {_words("text")} AS w FROM documents),
+placed AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs),
+ahead AS (SELECT doc_id, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS next FROM placed),
+met AS (
+  SELECT a.doc_id, a.i, p.m, p.item FROM (
+    SELECT doc_id, i, m, array_to_string(next[1:m], ' ') AS k FROM ahead JOIN (SELECT DISTINCT m FROM patterns) ON len(next) >= m) a
+  JOIN patterns p USING (m, k)),
+hits AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + m)) AS place FROM met) GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM met GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)"""

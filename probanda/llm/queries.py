@@ -58,4 +58,4 @@ QUERIES = {
     for f in (op1_decontamination, op2_pii, op3_licenses, op4_shards, op5_quality, op6_language, op7_secrets, op8_vectors, op9_bpe, op10_simhash)
 }
 
-SQL: dict[str, str] = {"op3_licenses": licenses.SQL}
+SQL: dict[str, str] = {"op1_decontamination": decontaminate.SQL, "op3_licenses": licenses.SQL}

@@ -1,11 +1,17 @@
 import hashlib
 import re
+import sys
+from pathlib import Path
 
 import pytest
 from helpers import awkward, documents, empty
 
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+from compare import connect, difference
+
 from probanda.llm import decontaminate
-from probanda.llm.queries import QUERIES
+from probanda.llm.queries import QUERIES, SQL
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -57,6 +63,11 @@ def test_given_tables_equal_brute_force(spark):
     assert len(got) == 200
 
 
+def test_query_equals_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    assert difference(QUERIES["op1_decontamination"](spark, sf), connect(sf), SQL["op1_decontamination"]) is None
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     items = spark.createDataFrame([(1, "alpha beta gamma"), (None, "delta"), (None, None), (1, "alpha beta gamma")], "item_id long, text string")
