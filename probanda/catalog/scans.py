@@ -201,6 +201,44 @@ def integrity_report(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_ENTITIES = {
+    "projects": "SELECT DISTINCT source AS id FROM documents WHERE source <> 'src3'",
+    "documents": "SELECT CAST(doc_id AS VARCHAR) AS id, source AS project_id FROM documents",
+    "sessions": "SELECT DISTINCT CAST(conv_id AS VARCHAR) AS id FROM conversations WHERE conv_id % 4 <> 1",
+    "questions": "SELECT 'q' || conv_id || '.' || turn AS id, CAST(conv_id AS VARCHAR) AS session_id FROM conversations WHERE role = 'user'",
+    "answers": "SELECT 'a' || conv_id || '.' || turn AS id, 'q' || conv_id || '.' || (turn - 1) AS question_id FROM conversations WHERE role = 'assistant'",
+}
+
+
+@query(
+    "entity_integrity",
+    "A6",
+    " UNION ALL ".join(
+        [
+            f"SELECT '{t}' AS table_name, 'duplicate_key' AS problem, 'id' AS columns, count(*) AS bad_keys, CAST(coalesce(sum(n), 0) AS BIGINT) AS bad_rows "
+            f"FROM (SELECT count(*) AS n FROM ({rows}) GROUP BY id HAVING count(*) > 1)"
+            for t, rows in _ENTITIES.items()
+        ]
+        + [
+            f"SELECT '{c}', 'orphan', '{col}', count(*), CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT {col}, count(*) AS n FROM ({_ENTITIES[c]}) "
+            f"WHERE {col} IS NOT NULL AND {col} NOT IN (SELECT id FROM ({_ENTITIES[p]})) GROUP BY 1)"
+            for c, col, p in [("documents", "project_id", "projects"), ("questions", "session_id", "sessions"), ("answers", "question_id", "questions")]
+        ]
+    ),
+)
+def entity_integrity(spark: SparkSession, sf: str) -> DataFrame:
+    """The declared references over tables in which some parents are missing."""
+    i = Inputs(spark, sf)
+    docs, talks = i.table("documents"), i.table("conversations")
+    return entities.entity_integrity({
+        "projects": docs.where("source <> 'src3'").select(F.col("source").alias("id")).distinct(),
+        "documents": docs.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("project_id")),
+        "sessions": talks.where("conv_id % 4 <> 1").select(F.col("conv_id").cast("string").alias("id")).distinct(),
+        "questions": i.questions.select("id", "session_id"),
+        "answers": i.answers.select("id", "question_id"),
+    })
+
+
 @query(
     "current_settings",
     "A7",

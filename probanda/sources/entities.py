@@ -75,6 +75,13 @@ def integrity_report(
     return reduce(DataFrame.unionByName, parts)
 
 
+def entity_integrity(tables: dict[str, DataFrame]) -> DataFrame:
+    """The integrity report of entity tables by name: ids that repeat, and every declared
+    reference whose two tables are given."""
+    declared = [(c, col, p, "id") for c, col, p in schemas.REFERENCES if c in tables and p in tables and col in tables[c].columns]
+    return integrity_report(tables, {name: ["id"] for name in tables}, declared)
+
+
 def allowed_value_report(table: DataFrame, column: str, allowed: list[str]) -> DataFrame:
     bad: Column = ~F.coalesce(F.col(column).isin(allowed), F.lit(False))
     return table.where(bad).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("rows"))
