@@ -2,10 +2,11 @@
 
 Base kinds are found by pattern and checked.  Their occurrences are seeds: the words before
 them (and around them) are lexical patterns.  Identifier-like tokens are candidates.  On
-the graph of patterns and distinct instances, confidence goes to and fro ROUNDS times:
-a pattern has the mean confidence of its instances, damped where it has few; an instance
-that is no seed has the noisy-or of its patterns.  Candidates behind patterns of at least
-CONFIDENCE that SEEDS different seeds support are added as kind ``context``.
+the graph of patterns and distinct instances, a pattern that at least SEEDS different seeds
+support, so that its confidence (seeds over seeds and DAMPING) is CONFIDENCE or more, makes
+seeds of all its candidates; these count for their other patterns, until no new pattern or
+seed appears.  Instances nobody knows yet say nothing against a pattern.  Candidates behind
+confident patterns are added as kind ``context``.
 
 Patterns are written so that each character is looked at a bounded number of times: runs
 are entered only at their beginning (or where the match before ended), and repeated groups
@@ -24,10 +25,9 @@ from .common import ship, stored, text_or_empty, without
 from .matching import code_points, digits, listed, matches_where
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
 CONFIDENCE = 0.8
 SEEDS = 5
-DAMPING = 1.0  # instances a pattern is charged with besides its own
+DAMPING = 1.0  # instances a pattern is charged with besides its seeds
 CONTEXT = 64  # code points looked at on either side
 
 _LABEL = r"[A-Za-z0-9-]"
@@ -121,18 +121,25 @@ def confident_patterns(seen: DataFrame) -> DataFrame:
     edge = seen.select(F.explode("patterns").alias("pattern"), "instance", "seed")
     # an instance that is a seed anywhere is one everywhere
     edges = stored(edge.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pattern-edges")
-    supported = edges.where("seed").groupBy("pattern").count().where(F.col("count") >= SEEDS).select("pattern")
-    edges = edges.join(supported, "pattern", "left_semi")
-    scored = edges.withColumn("trust", F.col("seed").cast("double"))
-    patterns = None
-    for turn in range(ROUNDS):
-        patterns = scored.groupBy("pattern").agg((F.sum("trust") / (F.count("*") + DAMPING)).alias("confidence"))
-        patterns = stored(patterns, "pattern-confidence")
-        if turn < ROUNDS - 1:
-            doubt = F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999999))))
-            believed = edges.where("NOT seed").join(patterns, "pattern").groupBy("instance").agg((1 - F.exp(doubt)).alias("belief"))
-            scored = edges.join(believed, "instance", "left").withColumn("trust", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("belief", F.lit(0.0))))
-    return patterns.where(F.col("confidence") >= CONFIDENCE).select("pattern")
+    n = F.col("n")
+    trusted = (n >= SEEDS) & (n / (n + DAMPING) >= CONFIDENCE)
+    support = stored(edges.where("seed").groupBy("pattern").agg(F.count("*").alias("n")), "pattern-support")
+    fresh = stored(support.where(trusted).select("pattern"), "confident-patterns")
+    patterns, promoted = fresh, None
+    open_edges = edges.where("NOT seed").select("pattern", "instance")
+    while not fresh.isEmpty():
+        instances = open_edges.join(fresh, "pattern", "left_semi").select("instance").distinct()
+        if promoted is not None:
+            instances = instances.join(promoted, "instance", "left_anti")
+        instances = stored(instances, "promoted")
+        if instances.isEmpty():
+            break
+        promoted = instances if promoted is None else stored(promoted.union(instances), "promoted")
+        more = open_edges.join(instances, "instance", "left_semi").groupBy("pattern").agg(F.count("*").alias("n"))
+        support = stored(support.union(more).groupBy("pattern").agg(F.sum("n").alias("n")), "pattern-support")
+        fresh = stored(support.where(trusted).select("pattern").join(patterns, "pattern", "left_anti"), "confident-patterns")
+        patterns = stored(patterns.union(fresh), "confident-patterns")
+    return patterns
 
 
 def added(found: DataFrame) -> DataFrame:

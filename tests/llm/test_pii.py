@@ -76,6 +76,26 @@ def test_patterns_discover_identifiers(spark):
     assert masked[101] == "other words before ZZ-11-9999 here"
 
 
+def test_discovered_identifiers_induce_patterns(spark):
+    """A second and a third generation, each behind words no earlier one has."""
+    first = [(i, f"so my badge number {w}{i}@mail.example.com thanks") for i, w in enumerate("abcdefgh")]
+    ids = [f"QX-77-{i}234" for i in range(6)]
+    more = [f"ZK-11-{i}234" for i in range(6)]
+    rows = first + [(100 + i, f"so my badge number {x} thanks") for i, x in enumerate(ids)]
+    rows += [(200 + i, f"they know agent file {x} by heart") for i, x in enumerate([*ids, *more])]
+    rows += [(300 + i, f"gate opened to {x} today") for i, x in enumerate([*more, "LL-99-1234"])]
+    rows += [(400, "nothing is said about WW-55-1234 here")]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].startswith("context:") for i in got if 100 <= i < 400) and got[400] == ""
+
+
+def test_more_unseen_identifiers_than_seeds(spark):
+    rows = [(i, f"so my badge number {w}{i}@mail.example.com thanks") for i, w in enumerate("abcdefgh")]
+    rows += [(100 + i, f"so my badge number QX-77-{i:04d} thanks") for i in range(200)]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == "context:19:29" for i in range(100, 300))
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     assert sorted(map(str, (r.text for r in pii.mask(docs).collect()))) == sorted(map(str, (r.text for r in docs.collect())))
