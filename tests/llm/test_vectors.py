@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from helpers import empty
 
 from probanda.llm import vectors
@@ -74,6 +75,23 @@ def test_pairs_just_above_the_threshold(spark):
     assert got.where("n_links > 0 AND vec_id >= 4000 AND component_id = vec_id - 4000").count() >= 0.9 * 4000
 
 
+@pytest.mark.parametrize("width, cell", [(8, 20), (16, 20), (32, 4), (64, 2)])
+def test_every_pair_is_met(spark, monkeypatch, width, cell):
+    """Pairs just above the threshold, few dimensions, up to 2,000 cells: as brute force."""
+    monkeypatch.setattr(vectors, "CELL", cell)
+    monkeypatch.setattr(vectors, "BLOCK", 500)
+    rng = np.random.default_rng(width)
+    x = rng.standard_normal((2000, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal(x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9001, 0.92, (2000, 1))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(np.vstack([x, cosine * x + np.sqrt(1 - cosine**2) * side]))]
+    got = vectors.report(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute(rows)
+
+
 def test_awkward_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
