@@ -1,10 +1,14 @@
 """Licence recognition by sentences and ordered rules.
 
-A text is cut into sentences, each normalised (lower case, words and digits only) and looked
-up among known licence sentences.  The identifiers of a text's known sentences, in order,
-form a sequence, on which rules are tried in their order: longer and more special ones come
-first, and what a rule has taken is not matched again.  Known sentences that no rule takes
-are left over and listed as such.
+A text is normalised (lower case, words and digits only) with its breaks kept: line ends, and
+blanks after sentence stops.  A known sentence is found from break to break, the longest
+first, and may have breaks inside, so wrapped lines, comment marks and the colon of an SPDX
+line do not hide it.  The identifiers of a text's known sentences, in order, form a
+sequence, on which rules are tried in their order: longer and more special ones come first,
+and what a rule has taken is not matched again.  Known sentences that no rule takes are left
+over and listed as such.  n_sentences counts the pieces between breaks.
+
+The SQL twin knows sentences without breaks inside, and of the tables SENTENCES and RULES.
 
 Cases: null and empty texts have no sentences; repeated rows give equal results; an empty
 table gives an empty table; columns named like the outputs are replaced.
@@ -60,12 +64,104 @@ RULES = [
     ("NOASSERTION", ["reserved"]),
 ]
 
+def _notices(*names: str) -> list[str]:
+    return [f"{by}licensed under the {n}" for n in names for by in ("", "this work is ", "this project is ", "this software is ")] + [f"released under the {n}" for n in names]
+
+
+_PROGRAM = "this {} is free software you can redistribute it and or modify it under the terms of the gnu {} public license"
+_LATER = _PROGRAM + " as published by the free software foundation either version {} of the license or at your option any later version"
+
+# Further sentences.  No identifier is the end of another one.
+MORE_SENTENCES = {
+    "apache2-copy": ["you may obtain a copy of the license at https www apache org licenses license 2 0"],
+    "apache2-title": ["apache license version 2 0", "apache license version 2 0 january 2004"],
+    "mit-or-apache2": ["licensed under either of apache license version 2 0 or mit license at your option"],
+    "gnu-version3": ["gnu general public license version 3 29 june 2007"],
+    "gnu-version2": ["gnu general public license version 2", "gnu general public license version 2 june 1991", *_notices("gnu general public license version 2")],
+    "gnu-two": [_LATER.format("program", "general", 2)],
+    "gnu-two-only": [(_PROGRAM + " version 2 as published by the free software foundation").format("program", "general"), (_PROGRAM + " as published by the free software foundation version 2").format("program", "general")],
+    "gnu-lesser-two": [_LATER.format("library", "lesser general", "2 1")],
+    "gnu-lesser-three": [_LATER.format(what, "lesser general", 3) for what in ("library", "program")],
+    "gnu-lesser-title3": ["gnu lesser general public license version 3", "gnu lesser general public license version 3 29 june 2007"],
+    "gnu-lesser-title2": ["gnu lesser general public license version 2 1", "gnu lesser general public license version 2 1 february 1999"],
+    "gnu-library-lack": ["this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
+    "gnu-affero": [_LATER.format("program", "affero general", 3)],
+    "gnu-affero-title": ["gnu affero general public license version 3", "gnu affero general public license version 3 19 november 2007"],
+    "mpl2-header": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "mpl2-where": [f"if a copy of the mpl was not distributed with this file you can obtain one at {h} mozilla org mpl 2 0" for h in ("http", "https")],
+    "mpl2-name": ["mozilla public license version 2 0", *_notices("mozilla public license 2 0", "mozilla public license version 2 0")],
+    "isc-name": ["isc license", *_notices("isc license")],
+    "isc-permit": [f"permission to use copy modify and {o}distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies" for o in ("", "or ")],
+    "zlib-permit": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+    "unlicense-public": ["this is free and unencumbered software released into the public domain"],
+    "boost-name": ["boost software license version 1 0", "boost software license version 1 0 august 17th 2003", "distributed under the boost software license version 1 0", *_notices("boost software license version 1 0")],
+    "epl2-terms": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0", "eclipse public license v 2 0"],
+    "cc0-name": ["cc0 1 0 universal", "licensed under cc0 1 0", "this work is licensed under cc0 1 0"],
+    "ccbysa4-name": ["licensed under cc by sa 4 0", "this work is licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
+    "bsd3-name": ["bsd 3 clause license", *_notices("bsd 3 clause license")],
+    "bsd2-name": ["bsd 2 clause license", *_notices("bsd 2 clause license")],
+    "bsd-may-not": [f"neither the name of the {who} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission" for who in ("author", "organization", "project", "university", "company")],
+}
+
+# SPDX identifiers, for lines that name them.
+SPDX = (
+    "MIT MIT-0 Apache-2.0 BSD-2-Clause BSD-3-Clause 0BSD ISC Zlib BSL-1.0 Unlicense MPL-2.0 EPL-1.0 EPL-2.0 CDDL-1.0 Artistic-2.0 PostgreSQL Python-2.0 WTFPL "
+    "CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-NC-ND-4.0 CC-BY-3.0 CC-BY-SA-3.0 OFL-1.1 EUPL-1.2 "
+    "GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later"
+).split()
+
+# Ordered rules, tried after RULES.
+MORE_RULES = [
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-may-not"]),
+    ("GPL-2.0-or-later", ["gnu-two", "gpl-warranty"]),
+    ("GPL-2.0-or-later", ["gnu-two"]),
+    ("GPL-2.0-only", ["gnu-two-only", "gpl-warranty"]),
+    ("GPL-2.0-only", ["gnu-two-only"]),
+    ("AGPL-3.0-or-later", ["gnu-affero", "gpl-warranty"]),
+    ("AGPL-3.0-or-later", ["gnu-affero"]),
+    *((name, [first, *more]) for name, first in (("LGPL-2.1-or-later", "gnu-lesser-two"), ("LGPL-3.0-or-later", "gnu-lesser-three")) for more in (["gnu-library-lack"], ["gpl-warranty"], [])),
+    ("MPL-2.0", ["mpl2-header", "mpl2-where"]),
+    ("MPL-2.0", ["mpl2-header"]),
+    ("MPL-2.0", ["mpl2-name"]),
+    ("ISC", ["isc-name", "isc-permit"]),
+    ("ISC", ["isc-permit"]),
+    ("ISC", ["isc-name"]),
+    ("Zlib", ["zlib-permit"]),
+    ("Unlicense", ["unlicense-public"]),
+    ("BSL-1.0", ["boost-name"]),
+    ("EPL-2.0", ["epl2-terms"]),
+    ("CC0-1.0", ["cc0-name"]),
+    ("CC-BY-SA-4.0", ["ccbysa4-name"]),
+    ("MIT OR Apache-2.0", ["mit-or-apache2"]),
+    ("Apache-2.0", ["apache2-title"]),
+    ("GPL-3.0-only", ["gnu-version3"]),
+    ("GPL-2.0-only", ["gnu-version2"]),
+    ("LGPL-3.0-only", ["gnu-lesser-title3"]),
+    ("LGPL-2.1-only", ["gnu-lesser-title2"]),
+    ("AGPL-3.0-only", ["gnu-affero-title"]),
+    ("BSD-3-Clause", ["bsd3-name"]),
+    ("BSD-2-Clause", ["bsd2-name"]),
+    *((name, [f"spdx-{name.lower()}-line"]) for name in SPDX),
+]
+
 KNOWN = {text: name for name, texts in SENTENCES.items() for text in texts}
+_IDENTIFIER = "spdx license identifier "
+_LINES = {_IDENTIFIER + old.lower().replace("-", " ").replace(".", " "): f"spdx-{name.lower()}-line" for name in SPDX for old in {name, name.removesuffix("-only")}}
+EVERY = {**_LINES, **{text: name for name, texts in MORE_SENTENCES.items() for text in texts}, **KNOWN}
 BREAK = r"[\r\n]+|(?<=[.!?;:])[\x20\t-\r]+"  # between sentences
+#: Every known sentence from break (\x01) to break, with or without breaks inside.
+SENTENCE = "(?<=\x01 )(?:" + "|".join(t.replace(" ", "(?: \x01)? ") for t in sorted(EVERY, key=lambda t: (-len(t), t))) + ")(?= \x01)"
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^\\p{L}\\p{N}]+", " "))
+def normalised(text: Column) -> Column:
+    """Words and digits of a text with its breaks; licences of one SPDX line get one each."""
+    spdx = text.rlike("(?i)spdx-license")
+    low = F.lower(F.translate(text, "\x01", "\x02"))
+    low = F.when(spdx, F.regexp_replace(low, r"(gpl-[0-9.]+)\+", "$1-or-later")).otherwise(low)
+    words = F.regexp_replace(F.regexp_replace(low, BREAK, "\x01"), "[^\\p{L}\\p{N}\x01]+", " ")
+    words = F.regexp_replace(F.concat(F.lit("\x01"), words, F.lit("\x01")), "\x20?\x01[\x20\x01]*+", " \x01 ")
+    each = F.regexp_replace(words, f" (?:or|and|with) (?!later )(?<={_IDENTIFIER}(?:\x01 )?[a-z0-9 ]{{1,200}})", f" \x01 {_IDENTIFIER}")
+    return F.when(spdx, F.replace(each, F.lit(_IDENTIFIER), F.lit("\x01 " + _IDENTIFIER))).otherwise(words)
 
 
 def find(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -73,26 +169,26 @@ def find(docs: DataFrame, text: str = "text", carry: list[str] | None = None) ->
     and unmatched (known sentences no rule took).  ``carry``: columns kept (all, if absent)."""
     docs = ship(without(docs, "n_sentences", "sentences", "licenses", "unmatched"))
     kept = [c for c in docs.columns if carry is None or c in carry]
-    known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
-    cut = F.filter(F.split(text_or_empty(text), BREAK, -1), lambda s: s.rlike("[\\p{L}\\p{N}]"))
-    rows = docs.select(*kept, cut.alias("__cut"))
-    most = max(map(len, KNOWN)) * 2  # a longer sentence is none of the known ones
-    named = F.transform("__cut", lambda s: F.when((F.char_length(s) <= most) & F.lower(s).rlike(HINT), F.try_element_at(known, normalised(s))))
-    rows = rows.select(*kept, F.size("__cut").cast("long").alias("n_sentences"), F.array_compact(named).alias("sentences"))
+    known = F.create_map(*[F.lit(x) for pair in EVERY.items() for x in pair])
+    body = text_or_empty(text)
+    cut = F.filter(F.split(body, BREAK, -1), lambda s: s.rlike("[\\p{L}\\p{N}]"))
+    hits = F.when(F.lower(body).rlike(HINT), F.regexp_extract_all(normalised(body), F.lit(SENTENCE), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    rows = docs.select(*kept, F.size(cut).cast("long").alias("n_sentences"), hits.alias("__hits"))
+    rows = rows.select(*kept, "n_sentences", F.transform("__hits", lambda s: F.element_at(known, F.replace(s, F.lit("\x01 "), F.lit("")))).alias("sentences"))
     # every identifier is followed by a blank, taken ones become their rule's number
     rows = rows.withColumn("__left", F.array_join(F.transform("sentences", lambda s: F.concat(s, F.lit(" "))), ""))
     left = F.col("__left")
-    for i, (_, wanted) in enumerate(RULES):
+    for i, (_, wanted) in enumerate(RULES + MORE_RULES):
         left = F.replace(left, F.lit("".join(f"{w} " for w in wanted)), F.lit(f"#{i} "))
     rows = rows.withColumn("__done", F.split(F.trim(F.when(F.size("sentences") > 0, left).otherwise("")), " "))
     taken = F.filter("__done", lambda s: s.startswith("#"))
-    of = F.array(*[F.lit(name) for name, _ in RULES])
+    of = F.array(*[F.lit(name) for name, _ in RULES + MORE_RULES])
     licences = F.array_distinct(F.transform(taken, lambda s: F.element_at(of, F.substring(s, F.lit(2), F.lit(9)).cast("int") + 1)))
     return rows.select(*kept, "n_sentences", "sentences", licences.alias("licenses"), F.filter("__done", lambda s: (s != "") & ~s.startswith("#")).alias("unmatched"))
 
 
-#: A word that every known sentence has: the other sentences are not normalised.
-HINT = "license|cc by|permission|copyright|warrant|redistribut|free software|endorse|comply|compliance|reserved|cc.by"
+#: A word that every known sentence has: texts without one are not normalised.
+HINT = "license|cc by|permission|copyright|warrant|redistribut|free software|endorse|comply|compliance|reserved|cc.by|cc0|unencumbered|mpl"
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -38,6 +38,67 @@ def test_ordered_rules(spark):
     assert got == {1: ("MIT", ""), 2: ("CC-BY-NC-4.0,Apache-2.0", ""), 3: ("CC-BY-NC-4.0,MIT", ""), 4: ("", "apache2-comply"), 5: ("", "")}
 
 
+APACHE = """#   Licensed under the Apache License, Version 2.0 (the "License");
+#   you may not use this file except in compliance with the License.
+#   You may obtain a copy of the License at
+#
+#       http://www.apache.org/licenses/LICENSE-2.0
+#
+#   Unless required by applicable law or agreed to in writing, software
+#   distributed under the License is distributed on an "AS IS" BASIS,
+#   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT"""
+GPL = """/* This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version {} of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ */"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+
+
+def test_wrapped_notices_and_spdx_lines(spark):
+    want = [
+        (APACHE, "Apache-2.0"), (MIT, "MIT"), (GPL.format(3), "GPL-3.0-or-later"), (GPL.format(2), "GPL-2.0-or-later"), (BSD, "BSD-2-Clause"),
+        ("x = 1\n# SPDX-License-Identifier: MIT\n", "MIT"), ("/* SPDX-License-Identifier: GPL-2.0+ */", "GPL-2.0-or-later"), ("f(); // SPDX-License-Identifier: MPL-2.0\ng();", "MPL-2.0"),
+        ("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-3.0-or-later\n", "MIT,Apache-2.0,GPL-3.0-or-later"), ("// SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", "GPL-2.0-only"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.", "MPL-2.0"),
+        ("we spoke of the MIT license\nand of others", ""),
+    ]
+    got = {r.doc_id: (r.licenses, r.unmatched) for r in licenses.report(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(want)], "doc_id long, text string")).collect()}
+    assert got == {i: (w, "") for i, (_, w) in enumerate(want)}
+
+
+def test_no_identifier_ends_another():
+    names = set(licenses.EVERY.values())
+    assert [(a, b) for a in names for b in names if a != b and a.endswith(b)] == []
+    assert {n for _, wanted in licenses.MORE_RULES for n in wanted if not n.startswith("spdx-")} <= names
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     rows = licenses.find(docs)
