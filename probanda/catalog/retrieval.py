@@ -236,6 +236,24 @@ def edges_of_entities(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("entity_type", "entity_id", "id", F.col("relationship_type").alias("rel"))
 
 
+@query(
+    "edges_of_every_entity",
+    "E9",
+    S.with_(
+        "edges",
+        "SELECT e.entity_type, e.entity_id, g.id, g.rel FROM (SELECT DISTINCT 'concept' AS entity_type, concept_id AS entity_id FROM docs UNION ALL "
+        "SELECT DISTINCT 'document', document_id FROM docs UNION ALL SELECT DISTINCT 'project', source FROM documents) e "
+        "JOIN (SELECT st AS entity_type, sid AS entity_id, id, rel FROM edges UNION ALL SELECT tt, tid, id, rel FROM edges WHERE NOT (st = tt AND sid = tid)) g USING (entity_type, entity_id)",
+    ),
+)
+def edges_of_every_entity(spark: SparkSession, sf: str) -> DataFrame:
+    i = Inputs(spark, sf)
+    tables = (("concept", i.concepts), ("document", i.documents), ("project", i.projects))
+    concepts, documents, projects = (t.select(F.lit(kind).alias("entity_type"), F.col("id").alias("entity_id")) for kind, t in tables)
+    found = graph.edges_of(concepts.unionByName(documents).unionByName(projects).distinct(), i.edges)
+    return found.select("entity_type", "entity_id", "id", F.col("relationship_type").alias("rel"))
+
+
 @query(
     "edges_of_retrieved_concepts",
     "E10",
