@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, licenses, pii, quality, secrets, shards, simhash, vectors
+from . import bpe, decontaminate, language, licenses, phrases, pii, quality, secrets, shards, simhash, vectors
 from .common import table
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -53,9 +53,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_pii, op3_licenses, op4_shards, op5_quality, op6_language, op7_secrets, op8_vectors, op9_bpe, op10_simhash)
+    for f in (op1_decontamination, op2_pii, op3_licenses, op4_shards, op5_quality, op6_language, op7_secrets, op8_vectors, op9_bpe, op10_simhash, op13_phrases)
 }
 
-SQL: dict[str, str] = {"op1_decontamination": decontaminate.SQL, "op3_licenses": licenses.SQL}
+SQL: dict[str, str] = {"op1_decontamination": decontaminate.SQL, "op3_licenses": licenses.SQL, "op13_phrases": phrases.SQL}
