@@ -16,7 +16,7 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 SQL_SECONDS: list[float] = []
-TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 def connect(sf_dir: str):
