@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, divergence, language, licenses, phrases, pii, quality, secrets, shards, simhash, vectors
+from . import bpe, decontaminate, divergence, language, licenses, neighbours, phrases, pii, quality, secrets, shards, simhash, vectors
 from .common import table
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -57,13 +57,17 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.report(table(spark, sf_dir, "documents"))
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.report(table(spark, sf_dir, "embeddings"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.report(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_pii, op3_licenses, op4_shards, op5_quality, op6_language, op7_secrets, op8_vectors, op9_bpe, op10_simhash, op11_divergence, op13_phrases)
+    for f in (op1_decontamination, op2_pii, op3_licenses, op4_shards, op5_quality, op6_language, op7_secrets, op8_vectors, op9_bpe, op10_simhash, op11_divergence, op12_neighbours, op13_phrases)
 }
 
 SQL: dict[str, str] = {"op1_decontamination": decontaminate.SQL, "op3_licenses": licenses.SQL, "op11_divergence": divergence.SQL, "op13_phrases": phrases.SQL}
