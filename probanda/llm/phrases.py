@@ -8,10 +8,13 @@ the next length a block is semi-joined with the frequent groups and merge-joined
 itself by adjacent position; groups are counted in the block, then over all blocks.  Both
 parts of a frequent phrase are frequent, so this meets every one.
 
-Frequent groups reach the blocks as a Bloom filter of at most MOST_BITS bits: what it lets
-through wrongly costs work and is dropped by the count that follows; no count is estimated.
-A piece that goes on beyond a block leaves its last words to the next one, which joins with
-them but does not count what lies within them.
+Most groups are rare, so a first count goes by hashes: sums of the blocks' counts by hash
+are never below the count of a phrase, and groups whose hash has too few are left out
+before their text is made, written or shuffled.  The hashes that remain reach the blocks as
+a Bloom filter of at most MOST_BITS bits.  What either lets through wrongly costs work and
+is dropped by the count of whole phrases that follows; no result is estimated.  A piece that
+goes on beyond a block leaves its last words to the next one, which joins with them but does
+not count what lies within them.
 
 Cases: null text is empty and gives nothing; null lang is ``und``; empty and white-space
 texts have no words; texts of any length are read in slices; repeated rows count each time;
@@ -24,6 +27,7 @@ from __future__ import annotations
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +45,10 @@ BLOCK = 1 << 19  # words of a block
 BUFFERED = 1 << 21  # words held by a task over all languages
 SLICE = 1 << 20  # bytes of text split at once
 MOST_BITS = 1 << 27  # of the filter: 16 MB
-BITS_EACH, PROBES, SEED = 12, 3, 42
+BITS_EACH, PROBES = 12, 3
+PIECE = 1 << 20  # hashes meant to be summed in one task
 
-RELATION = "lang string, carry int, at binary, of binary, groups array<struct<phrase:string,n:bigint>>"
+RELATION = "lang string, carry int, at binary, of binary, groups array<struct<phrase:string,n:bigint>>, hashes binary, ends binary"
 #: A-Z lower-cased, everything that ends a piece a line feed.
 _BYTES = bytes(10 if chr(b) in ".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BLANK = (b" ", b"\t", b"\n")
@@ -70,7 +75,9 @@ class Words:
     def row(self, lang: str) -> pa.RecordBatch:
         lengths = np.frombuffer(self.lengths, np.int32)
         at = np.arange(len(self.ids), dtype=np.int32) + np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-        return relation(lang, self.carry, at, np.frombuffer(self.ids, np.int32), list(self.number), 1)
+        seed, digest = xxhash.xxh64_intdigest(lang.encode()), xxhash.xxh64_intdigest
+        hashes = np.array([digest(w, seed) for w in self.number], np.uint64)
+        return relation(lang, Occurrences(self.carry, 1, at, np.frombuffer(self.ids, np.int32), hashes, hashes), list(self.number))
 
     def last(self) -> list[bytes]:
         """The end of the open piece that later phrases can begin with."""
@@ -79,15 +86,60 @@ class Words:
         return [names[i] for i in self.ids[len(self.ids) - own :]]
 
 
-def relation(lang: str, carry: int, at: np.ndarray, of: np.ndarray, names: list[bytes], size: int) -> pa.RecordBatch:
-    """One block.  An occurrence that ends within the carried words is not counted."""
-    n = np.bincount(of[at + size > carry], minlength=len(names))
+@dataclass
+class Occurrences:
+    """A block of a relation: position and group of each row, hash of each group and of its
+    last word."""
+
+    carry: int
+    size: int
+    at: np.ndarray
+    of: np.ndarray
+    hashes: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def read(cls, batch: pa.RecordBatch, i: int, size: int) -> "Occurrences":
+        carry, steps, of, hashes, ends = (batch.column(c)[i] for c in ("carry", "at", "of", "hashes", "ends"))
+        at = np.cumsum(np.frombuffer(steps.as_buffer(), np.int32), dtype=np.int32)
+        return cls(carry.as_py(), size, at, np.frombuffer(of.as_buffer(), np.int32), np.frombuffer(hashes.as_buffer(), np.uint64), np.frombuffer(ends.as_buffer(), np.uint64))
+
+    def counts(self) -> np.ndarray:
+        """Occurrences of each group, without those that end within the carried words."""
+        return np.bincount(self.of[self.at + self.size > self.carry], minlength=len(self.hashes))
+
+    def semi_join(self, kept: np.ndarray) -> "Occurrences":
+        """The rows of kept groups; groups keep their numbers."""
+        alive = kept[self.of] if len(kept) else np.zeros(0, bool)
+        return replace(self, at=self.at[alive], of=self.of[alive])
+
+    def merge_join(self) -> tuple["Occurrences", np.ndarray, np.ndarray]:
+        """The relation of one word more, and the two groups that each of its groups joins."""
+        first = np.flatnonzero(self.at[1:] == self.at[:-1] + 1)
+        n = max(1, len(self.hashes))
+        both, of = np.unique(self.of[first].astype(np.int64) * n + self.of[first + 1], return_inverse=True)
+        left, right = both // n, both % n
+        hashes = self.hashes[left] * _FACTOR + self.ends[right]
+        return Occurrences(self.carry, self.size + 1, self.at[first], of, hashes, self.ends[right]), left, right
+
+
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_STEPS = np.arange(1, PROBES + 1, dtype=np.uint64) * _FACTOR
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit hashes evenly."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def relation(lang: str, rows: Occurrences, names: list[bytes]) -> pa.RecordBatch:
     phrases = pa.array(names, pa.binary()).view(pa.string())
-    each = pa.StructArray.from_arrays([phrases, pa.array(n, pa.int64())], ["phrase", "n"])
+    each = pa.StructArray.from_arrays([phrases, pa.array(rows.counts(), pa.int64())], ["phrase", "n"])
     groups = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), each)
-    steps = np.diff(at, prepend=np.int32(0)).astype(np.int32)
-    columns = [pa.array([lang]), pa.array([carry], pa.int32()), pa.array([steps.tobytes()]), pa.array([of.astype(np.int32).tobytes()]), groups]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "carry", "at", "of", "groups"])
+    steps = np.diff(rows.at, prepend=np.int32(0)).astype(np.int32)
+    blobs = [pa.array([x.tobytes()]) for x in (steps, rows.of.astype(np.int32))] + [groups] + [pa.array([x.tobytes()]) for x in (rows.hashes, rows.ends)]
+    return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([rows.carry], pa.int32()), *blobs], ["lang", "carry", "at", "of", "groups", "hashes", "ends"])
 
 
 def windows(text: bytes) -> Iterator[bytes]:
@@ -130,54 +182,97 @@ def occurrences(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
     return rows.mapInArrow(task, RELATION)
 
 
+@dataclass
 class Filter:
-    """Bloom filter of (lang, phrase)."""
+    """Bloom filter of the hashes that occur often enough."""
 
-    def __init__(self, bits: int, words: np.ndarray):
-        self.bits, self.words = bits, words
+    pieces: int
+    bits: int
+    words: np.ndarray
 
-    def has(self, lang: str, names: list[bytes]) -> np.ndarray:
-        prefix, digest = lang.encode() + b"\t", xxhash.xxh64_intdigest
-        h = np.array([digest(prefix + x, SEED) for x in names], np.uint64)
-        low, high, found = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32), np.ones(len(h), bool)
-        for k in range(PROBES):
-            spot = (low + np.uint64(k) * high) & np.uint64(self.bits - 1)
+    def spots(self, keys: np.ndarray) -> Iterator[np.ndarray]:
+        for step in _STEPS:
+            yield mixed(keys + step) & np.uint64(self.bits - 1)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        found = np.ones(len(hashes), bool)
+        for spot in self.spots(keys_of(hashes, self.pieces)):
             found &= (self.words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
         return found
 
     @classmethod
-    def of(cls, frequent: DataFrame) -> "Filter":
-        bits = 1 << 16
-        while bits < min(MOST_BITS, BITS_EACH * frequent.count()):
+    def of(cls, keys: DataFrame, pieces: int) -> "Filter":
+        """keys(key): the hashes as ``keys_of`` has them."""
+        bits, wanted = 1 << 16, keys.count()
+        while bits < min(MOST_BITS, BITS_EACH * wanted):
             bits *= 2
-        h = F.xxhash64(F.concat_ws("\t", "lang", "phrase"))  # seed 42
-        low, high = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)
-        spots = F.array(*[(low + F.lit(k) * high).bitwiseAND(F.lit(bits - 1)) for k in range(PROBES)])
-        spots = frequent.select(F.explode(spots).alias("spot"))
-        rows = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(spot & 63))")).alias("set")).toArrow()
-        words = np.zeros(bits >> 6, np.uint64)
-        words[rows["word"].to_numpy()] = rows["set"].to_numpy().view(np.uint64)
-        return cls(bits, words)
+        empty = cls(pieces, bits, np.zeros(bits >> 6, np.uint64))
+
+        def task(batches):
+            for batch in batches:
+                for spot in empty.spots(batch.column(0).to_numpy().view(np.uint64)):
+                    one = np.uint64(1) << (spot & np.uint64(63))
+                    yield pa.RecordBatch.from_arrays([pa.array((spot >> np.uint64(6)).view(np.int64)), pa.array(one.view(np.int64))], ["word", "bit"])
+
+        rows = keys.mapInArrow(task, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        empty.words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+        return empty
 
 
-def longer(blocks: DataFrame, size: int, frequent: Filter) -> DataFrame:
-    """The relation of phrases of ``size`` words from that of one word less."""
-    shared = blocks.sparkSession.sparkContext.broadcast(frequent)
+def keys_of(hashes: np.ndarray, pieces: int) -> np.ndarray:
+    """The number of the piece (a power of two of them) and 32 bits of a hash."""
+    return mixed(hashes) >> np.uint64(33 - pieces.bit_length())
+
+
+def common_hashes(blocks: DataFrame, size: int, pieces: int, least: int, alive: Filter | None = None) -> Filter:
+    """Filter of the hashes of phrases of ``size`` words that occur ``least`` times.  From
+    the relation of that size, or of one word less (``alive``: semi-joined before)."""
+    shared = blocks.sparkSession.sparkContext.broadcast(alive)
 
     def task(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, carry, at, of, groups = (batch.column(k)[i] for k in range(5))
-                names = groups.values.field(0).view(pa.binary()).to_pylist()
-                at, of = np.cumsum(np.frombuffer(at.as_buffer(), np.int32), dtype=np.int32), np.frombuffer(of.as_buffer(), np.int32)
-                alive = shared.value.has(lang.as_py(), names)[of] if names else np.zeros(0, bool)
-                at, of = at[alive], of[alive]
-                first = np.flatnonzero(at[1:] == at[:-1] + 1)
-                both, of_both = np.unique(of[first].astype(np.int64) * max(1, len(names)) + of[first + 1], return_inverse=True)
-                ends = [x[x.rfind(b" ") + 1 :] for x in names]
-                joined = [names[a] + b" " + ends[b] for a, b in zip((both // max(1, len(names))).tolist(), (both % max(1, len(names))).tolist())]
-                if joined:
-                    yield relation(lang.as_py(), carry.as_py(), at[first], of_both, joined, size)
+                rows = Occurrences.read(batch, i, max(1, size - 1))
+                if size > 1:
+                    rows = (rows if shared.value is None else rows.semi_join(shared.value.has(rows.hashes))).merge_join()[0]
+                n = rows.counts()
+                keys, n = keys_of(rows.hashes, pieces)[n > 0], n[n > 0].astype(np.uint32)
+                order = np.argsort(keys)
+                keys, n = keys[order], n[order]
+                piece, first = np.unique((keys >> np.uint64(32)).astype(np.int32), return_index=True)
+                cuts = pa.py_buffer((4 * np.append(first, len(keys))).astype(np.int32))
+                blob = lambda x: pa.Array.from_buffers(pa.binary(), len(piece), [None, cuts, pa.py_buffer(x)])  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(piece), blob(keys.astype(np.uint32)), blob(n)], ["piece", "low", "n"])
+
+    def summed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        low, n = (np.frombuffer(b"".join(table[c].to_pylist()), np.uint32) for c in ("low", "n"))
+        low, where = np.unique(low, return_inverse=True)
+        often = low[np.bincount(where, n) >= least].astype(np.int64)
+        return pa.table({"key": (key[0].as_py() << 32) + often})
+
+    parts = blocks.select("carry", "at", "of", "hashes", "ends").mapInArrow(task, "piece int, low binary, n binary")
+    return Filter.of(stored(parts.groupBy("piece").applyInArrow(summed, "key long"), f"common-{size}"), pieces)
+
+
+def longer(blocks: DataFrame, size: int, common: Filter, alive: Filter | None) -> DataFrame:
+    """The relation of phrases of ``size`` words from that of one word less: the groups that
+    ``common`` lets through."""
+    shared = blocks.sparkSession.sparkContext.broadcast((common, alive))
+
+    def task(batches):
+        common, alive = shared.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                old = Occurrences.read(batch, i, size - 1)
+                rows, left, right = (old if alive is None else old.semi_join(alive.has(old.hashes))).merge_join()
+                kept = common.has(rows.hashes)
+                if kept.any():
+                    number = np.cumsum(kept) - 1
+                    rows = rows.semi_join(kept)
+                    rows = replace(rows, of=number[rows.of], hashes=rows.hashes[kept], ends=rows.ends[kept])
+                    names = batch.column("groups")[i].values.field(0).view(pa.binary()).to_pylist()
+                    joined = [names[a] + b" " + names[b].rpartition(b" ")[2] for a, b in zip(left[kept].tolist(), right[kept].tolist())]
+                    yield relation(batch.column("lang")[i].as_py(), rows, joined)
 
     return blocks.mapInArrow(task, RELATION)
 
@@ -192,20 +287,24 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     """(lang, phrase, f, size) of all phrases of up to LONGEST words with f >= least, and
     (lang, n) with all occurrences of words."""
     blocks = stored(occurrences(docs, text, lang), "phrases-1", **_WRITE)
-    counts = counted(blocks)
-    totals = stored(blocks.select("lang", F.aggregate("groups", F.lit(0).cast("long"), lambda a, g: a + g["n"]).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
-    found = None
-    for size in range(1, LONGEST + 1):
-        if size > 1:
-            blocks = longer(blocks, size, Filter.of(frequent))
-            if size < LONGEST:
-                blocks = stored(blocks, f"phrases-{size}", **_WRITE)
-            counts = counted(blocks)
-        frequent = stored(counts.where(F.col("f") >= least).withColumn("size", F.lit(size)), f"frequent-{size}")
-        found = frequent if found is None else found.union(frequent)
+    words = F.aggregate("groups", F.lit(0).cast("long"), lambda a, g: a + g["n"])
+    totals = stored(blocks.select("lang", words.alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
+    pieces = 16
+    while pieces < (totals.agg(F.sum("n")).first()[0] or 0) / PIECE:
+        pieces *= 2
+    found = often(blocks, 1, least)
+    alive = common_hashes(blocks, 1, pieces, least)
+    for size in range(2, LONGEST + 1):
+        common = common_hashes(blocks, size, pieces, least, alive)
+        blocks = stored(longer(blocks, size, common, alive), f"phrases-{size}", **_WRITE)
+        found, alive = found.union(often(blocks, size, least)), None  # those blocks hold common groups alone
     return found, totals
 
 
+def often(blocks: DataFrame, size: int, least: int) -> DataFrame:
+    return stored(counted(blocks).where(F.col("f") >= least).withColumn("size", F.lit(size)), f"frequent-{size}")
+
+
 #: Blocks are large rows: small row groups keep a reader's batch small.
 _WRITE = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
 

@@ -2,6 +2,7 @@ import re
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from helpers import awkward, empty
 
@@ -66,16 +67,23 @@ def test_one_endless_piece(spark, monkeypatch):
     assert rows_of(phrases.collocations(docs)) == brute(rows, 30, 2000)
 
 
-def test_filter_lets_every_frequent_phrase_through(spark):
-    rows = [("en", f"w{i} w{i + 1}") for i in range(3000)] + [("fr", "Ünï"), ("", "x")]
-    found = phrases.Filter.of(spark.createDataFrame(rows, "lang string, phrase string"))
-    assert all(found.has(lang, [p.encode()])[0] for lang, p in rows)
-    assert found.has("de", [p.encode() for _, p in rows]).mean() < 0.1
+def test_filter_lets_every_common_hash_through(spark):
+    rng = np.random.default_rng(1)
+    hashes = rng.integers(0, 1 << 64, 4000, np.uint64)
+    keys = phrases.keys_of(hashes[:2000], 64)
+    found = phrases.Filter.of(spark.createDataFrame([(int(k),) for k in keys], "key long"), 64)
+    assert found.has(hashes[:2000]).all() and found.has(hashes[2000:]).mean() < 0.1
+    assert len(set(keys)) == 2000 and keys.max() < 64 << 32
 
 
-def test_a_full_filter_changes_nothing(spark, monkeypatch):
-    """Beyond its size the filter lets more through; the counts stay exact."""
-    monkeypatch.setattr(phrases.Filter, "has", lambda self, lang, names: phrases.np.ones(len(names), bool))
+@pytest.mark.parametrize("which", ["filter", "hashes"])
+def test_what_comes_through_wrongly_changes_nothing(spark, monkeypatch, which):
+    """A full filter, or hashes that collide: more comes through, the counts stay exact."""
+    if which == "filter":
+        full = np.full(1 << 10, (1 << 64) - 1, np.uint64)
+        monkeypatch.setattr(phrases.Filter, "of", lambda keys, pieces: phrases.Filter(pieces, 1 << 16, full))
+    else:
+        monkeypatch.setattr(phrases, "_FACTOR", np.uint64(0))
     rows = prose(5, 200, "a b c d".split())
     docs = spark.createDataFrame(rows, "lang string, text string")
     assert rows_of(phrases.collocations(docs, least=20, best=10)) == brute(rows, 20, 10)
