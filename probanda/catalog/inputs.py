@@ -61,11 +61,12 @@ class Inputs:
     @cached_property
     def chunks(self) -> DataFrame:
         """Every chunk of every document, with the vector of its document; where that has
-        none, with one made from the chunk's text."""
+        none, with one made from the chunk's text.  Kept: a search reads vectors first and
+        texts later."""
         vectors = self.vectors.select(F.col("vec_id").alias("ingest_order"), "embedding")
         given = self.uploads.join(vectors, "ingest_order", "left")
         chunks = ingest_ops.ingest(given, carry=["embedding"]).chunks
-        return chunks.withColumn("embedding", F.coalesce("embedding", VF.digest_embedding(F.col("chunk_text"))))
+        return chunks.withColumn("embedding", F.coalesce("embedding", VF.digest_embedding(F.col("chunk_text")))).persist()
 
     @cached_property
     def documents(self) -> DataFrame:

@@ -44,7 +44,7 @@ query(
     "E1",
     S.with_(
         "queries scored",
-        "SELECT query_id, CAST(rn AS BIGINT) AS rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index, chunk_id) AS rn "
+        f"SELECT query_id, CAST(rn AS BIGINT) AS rank, chunk_id, {S.six('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index, chunk_id) AS rn "
         "FROM (SELECT s.*, q.item_id FROM scored s JOIN queries q USING (query_id) WHERE score >= (q.item_id % 4) / 10)) WHERE rn <= 1 + item_id % 7",
     ),
 )
@@ -61,7 +61,7 @@ def hybrid_search_limits(spark: SparkSession, sf: str) -> DataFrame:
     "E2",
     S.with_(
         "queries docs scored",
-        "SELECT query_id, CAST(rn AS BIGINT) AS rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index, chunk_id) AS rn "
+        f"SELECT query_id, CAST(rn AS BIGINT) AS rank, chunk_id, {S.six('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index, chunk_id) AS rn "
         "FROM (SELECT s.* FROM scored s JOIN queries q USING (query_id) WHERE score >= 0 AND (q.item_id % 2 = 1 OR s.doc_id = q.item_id * 2 + 1))) WHERE rn <= 5",
     ),
 )

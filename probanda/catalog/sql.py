@@ -263,18 +263,18 @@ FRAGMENTS: dict[str, tuple[list[str], str]] = {
 
 
 def _score(source: str, keys: str) -> str:
-    """Rounded combined score of every query of ``source`` with every vector chunk."""
+    """Combined score of every query of ``source`` with every vector chunk."""
     names = ", ".join(f"q.{k.strip()}" for k in keys.split(","))
     kw = "CASE WHEN len(q.qtok) > 0 AND len(c.tokens) > 0 THEN len(list_intersect(q.qtok, c.tokens)) / len(q.qtok) ELSE 0.0 END"
     return (
-        f"SELECT *, {six('0.7 * sem + 0.3 * kw')} AS score FROM (SELECT {names}, c.doc_id, c.document_id, c.concept_id, c.title, c.chunk_index, "
+        f"SELECT *, floor((0.7 * sem + 0.3 * kw) * 1e12 + 0.5) / 1e12 AS score FROM (SELECT {names}, c.doc_id, c.document_id, c.concept_id, c.title, c.chunk_index, "
         f"c.chunk_id, c.chunk_text, list_cosine_similarity(q.embedding, c.embedding) AS sem, {kw} AS kw FROM {source} q, vchunks c)"
     )
 
 
 def _rank(source: str, top_k: int = V.TOP_K) -> str:
     return (
-        f"SELECT * EXCLUDE (rn), CAST(rn AS BIGINT) AS rank, {six('sem')} AS semantic_score, {six('kw')} AS keyword_score FROM (SELECT *, row_number() OVER "
+        f"SELECT * EXCLUDE (rn, score), {six('score')} AS score, CAST(rn AS BIGINT) AS rank, {six('sem')} AS semantic_score, {six('kw')} AS keyword_score FROM (SELECT *, row_number() OVER "
         f"(PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index, chunk_id) AS rn FROM {source} WHERE score >= 0) WHERE rn <= {top_k}"
     )
 

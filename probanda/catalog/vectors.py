@@ -73,8 +73,8 @@ def cosine_similarity(spark: SparkSession, sf: str) -> DataFrame:
     "D4",
     S.with_(
         "queries vchunks",
-        "SELECT query_id, CAST(rn AS BIGINT) AS rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index, chunk_id) AS rn FROM "
-        f"(SELECT q.query_id, c.chunk_id, c.doc_id, c.chunk_index, {S.six('list_cosine_similarity(q.embedding, c.embedding)')} AS score FROM queries q, vchunks c)) WHERE rn <= 5",
+        f"SELECT query_id, CAST(rn AS BIGINT) AS rank, chunk_id, {S.six('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index, chunk_id) AS rn FROM "
+        f"(SELECT q.query_id, c.chunk_id, c.doc_id, c.chunk_index, floor(list_cosine_similarity(q.embedding, c.embedding) * 1e12 + 0.5) / 1e12 AS score FROM queries q, vchunks c)) WHERE rn <= 5",
     ),
 )
 def vector_top_k(spark: SparkSession, sf: str) -> DataFrame:

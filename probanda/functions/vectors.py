@@ -32,6 +32,5 @@ def length_embedding(text: Column) -> Column:
 
 def digest_embedding(text: Column) -> Column:
     """A stand-in vector of width 64: the hexadecimal digits of the text's digest, centred."""
-    digest = F.sha2(text, 256)
-    place = lambda i: F.instr(F.lit("0123456789abcdef"), F.substring(digest, i, F.lit(1)))
-    return F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: place(i).cast("double") - 8.5)
+    place = lambda c: F.ascii(c) - F.when(c > "9", 86).otherwise(47)
+    return F.transform(F.split(F.sha2(text, 256), ""), lambda c: place(c).cast("double") - 8.5)

@@ -1,272 +1,314 @@
-"""Exact scoring of many queries against a large chunk table.
-
-The chunk table is never shuffled and no (query, chunk) pair leaves a task: queries go
-to the tasks in bounded blocks, each Arrow batch is scored as one matrix product, and a
-task hands on at most ``top_k`` rows per query.  The tasks' rows are merged in two steps,
-so that no task sorts rows of one query from all over the cluster.
-
-A block holds at most BLOCK_QUERIES queries.  A larger query table is hashed into more
-blocks, each of which scans the chunk table once; nothing is dropped or sampled.  Inside
-a block, queries with long texts are scored in groups whose query × token table stays
-within MAX_CELLS.
+"""Exact best chunks of many queries over a chunk index.
+
+Queries stay a table: tasks pack them into block rows of at most BLOCK_QUERIES, and blocks
+meet the groups of the index in a join: broadcast where all blocks together are smaller
+than BROADCAST_BYTES, else by place, to which every block is sent once.  For each query and
+group the score is bounded from above (the angle to the group's centre less its widest
+member; the query's tokens among the group's).  A task asks each query's most promising
+group first, and passes over every group whose bound lies below the query's top_k-th score
+so far: exactly, ties included.
+
+Queries for one document meet only its chunks, by a join on document_id (without a shuffle
+of chunks where their table is bucketed by it).
+
+Ids and scores alone are shuffled to the merge; texts are joined to the winners.  Scores
+decide as they are (rounded at the twelfth decimal, against the order of floating-point
+sums) and are rounded to six where they are published.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from .. import fixed_values as V
-from ..session import ship_package
+from ..functions.text import keyword_score
+from ..session import shared_dir
+from .chunk_index import IDS, PLACES, ChunkIndex, indexed, searchable, unit_rows
 
-BLOCK_QUERIES = 2048
-BATCH_ROWS = 1024
-MAX_CELLS = 16_000_000
+BLOCK_QUERIES = 512
+BROADCAST_BYTES = 32 << 20
 MERGE_SLOTS = 64
+HELD = 100_000  # scored rows that a task holds back to drop those that better ones overtake
 
 SCORED = (
-    "query_id string, chunk_id string, document_id string, ingest_order long, chunk_index int, "
-    "concept_id string, document_title string, chunk_text string, score double, semantic_score double, "
-    "keyword_score double, top_k int"
+    "query_id string, chunk_id string, ingest_order long, chunk_index int, "
+    "score double, semantic_score double, keyword_score double, top_k int"
 )
-_PAYLOAD = ["chunk_id", "document_id", "ingest_order", "chunk_index", "concept_id", "document_title", "chunk_text"]
-_BEST_FIRST = [
-    ("q", "ascending"),
-    ("score", "descending"),
-    ("ingest_order", "ascending"),
-    ("chunk_index", "ascending"),
-    ("chunk_id", "ascending"),
-]
+SHOWN = ["document_id", "ingest_order", "chunk_index", "concept_id", "document_title", "chunk_text"]
+_NAMES = [f.split(" ")[0] for f in SCORED.split(", ")]
+_SLACK = 1e-9  # bounds are sums of rounded numbers too
+
+
+def decided(score):
+    """The score that decides: equal vectors give equal scores wherever they lie."""
+    return np.floor(score * 1e12 + 0.5) / 1e12
 
 
 @dataclass
 class QueryBlock:
-    """One bounded block of queries, ready for matrix products."""
+    """One block of queries, ready for matrix products."""
 
-    ids: list[str]
+    ids: pa.Array
     unit: np.ndarray
     vocabulary: pa.Array
     membership: np.ndarray
     n_tokens: np.ndarray
-    document: list[str | None]
     top_k: np.ndarray
     min_score: np.ndarray
 
     @classmethod
-    def from_rows(cls, rows) -> "QueryBlock":
-        sizes = {len(r["embedding"]) for r in rows}
-        if len(sizes) > 1:
+    def of(cls, rows: pa.StructArray) -> "QueryBlock":
+        vectors, tokens = rows.field("embedding"), rows.field("tokens")
+        lengths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+        if len(np.unique(lengths)) > 1:
             raise ValueError("embedding dimension mismatch among queries")
-        matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
+        matrix = pc.list_flatten(vectors).to_numpy(zero_copy_only=False).reshape(len(rows), -1)
         norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-        vocabulary = sorted({t for r in rows for t in r["tokens"]})
-        position = {t: i for i, t in enumerate(vocabulary)}
-        membership = np.zeros((len(vocabulary), len(rows)), dtype=np.float32)
-        for column, r in enumerate(rows):
-            membership[[position[t] for t in r["tokens"]], column] = 1
+        words = pc.list_flatten(tokens)
+        vocabulary = pc.unique(words)
+        membership = np.zeros((len(vocabulary), len(rows)), np.float32)
+        membership[pc.index_in(words, value_set=vocabulary).to_numpy(), pc.list_parent_indices(tokens).to_numpy()] = 1
         return cls(
-            ids=[r["query_id"] for r in rows],
-            unit=np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0),
-            vocabulary=pa.array(vocabulary, pa.string()),
-            membership=membership,
-            n_tokens=np.array([max(1, len(r["tokens"])) for r in rows], dtype=np.float64),
-            document=[r["document_id"] for r in rows],
-            top_k=np.array([r["top_k"] for r in rows], dtype=np.int64),
-            min_score=np.array([r["min_score"] for r in rows], dtype=np.float64),
+            rows.field("query_id"), np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0), vocabulary, membership,
+            np.maximum(1, pc.list_value_length(tokens).to_numpy(zero_copy_only=False)).astype(np.float64),
+            rows.field("top_k").to_numpy(zero_copy_only=False), rows.field("min_score").to_numpy(zero_copy_only=False),
         )
 
 
-def _semantic(block: QueryBlock, embeddings: pa.ListArray) -> np.ndarray:
-    lengths = pc.list_value_length(embeddings).to_numpy(zero_copy_only=False)
-    dim = block.unit.shape[1]
-    if (lengths != dim).any():
+@dataclass
+class Group:
+    """One group of the index."""
+
+    centre: np.ndarray
+    angle: float
+    vocabulary: pa.Array
+    vectors: np.ndarray
+    tokens: pa.ListArray
+    ids: pa.StructArray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, i: int) -> "Group":
+        get = lambda name: batch.column(name)[i]
+        width = get("width").as_py()
+        return cls(
+            np.frombuffer(get("centre").as_py()), get("angle").as_py(), get("vocabulary").values,
+            np.frombuffer(get("vectors").as_py()).reshape(-1, width), get("tokens").values, get("ids").values,
+        )
+
+
+@dataclass
+class Weights:
+    semantic: float = V.SEMANTIC_WEIGHT
+    keyword: float = V.KEYWORD_WEIGHT
+
+
+def bound(block: QueryBlock, group: Group, weights: Weights) -> np.ndarray:
+    """No member of the group scores higher with the query."""
+    if block.unit.shape[1] != group.vectors.shape[1]:
         raise ValueError("embedding dimension mismatch")
-    rows = pc.list_flatten(embeddings).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0) @ block.unit.T
-
-
-def _keyword(block: QueryBlock, tokens: pa.ListArray) -> np.ndarray:
-    n = len(tokens)
-    owner = pc.list_parent_indices(tokens).to_numpy()
-    ids = pc.index_in(pc.list_flatten(tokens), value_set=block.vocabulary)
-    known = ids.is_valid().to_numpy(zero_copy_only=False)
-    ids = ids.fill_null(0).to_numpy()[known]
-    used, local = np.unique(ids, return_inverse=True)
-    present = np.zeros((n, len(used)), dtype=np.float32)
-    present[owner[known], local] = 1
-    return (present @ block.membership[used]) / block.n_tokens
-
-
-def _allowed(block: QueryBlock, document_ids: pa.Array) -> np.ndarray | None:
-    if not any(d is not None for d in block.document):
-        return None
-    wanted = sorted({d for d in block.document if d is not None})
-    position = {d: i for i, d in enumerate(wanted)}
-    row = pc.index_in(document_ids, value_set=pa.array(wanted, pa.string())).fill_null(-1).to_numpy()
-    query = np.array([-2 if d is None else position[d] for d in block.document])
-    return (row[:, None] == query[None, :]) | (query == -2)[None, :]
-
-
-def _best(found: pa.Table, top_k: np.ndarray) -> pa.Table:
-    """The best rows of each query in the total order, at most its top_k."""
-    found = found.take(pc.sort_indices(found, sort_keys=_BEST_FIRST))
-    q = found["q"].to_numpy()
-    first = np.searchsorted(q, q, side="left")
-    return found.filter(pa.array(np.arange(len(q)) - first < top_k[q]))
-
-
-def _candidates(scores: np.ndarray, keep: np.ndarray, top_k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions that can still be among a query's best rows, ties included."""
-    masked = np.where(keep, scores, -np.inf)
-    k = int(min(top_k.max(), len(scores)))
-    kth = np.partition(masked, len(scores) - k, axis=0)[len(scores) - k]
-    return np.nonzero(keep & (masked >= kth))
-
-
-class _Best:
-    """The best rows of one block so far, in one task."""
-
-    def __init__(self, block: QueryBlock, semantic_weight: float, keyword_weight: float):
-        self.block, self.weights = block, (semantic_weight, keyword_weight)
-        self.rows: pa.Table | None = None
-        self.floor = np.full(len(block.ids), -np.inf)
-
-    def add(self, batch: pa.RecordBatch) -> None:
-        block, (semantic_weight, keyword_weight) = self.block, self.weights
-        semantic = _semantic(block, batch.column("embedding"))
-        if keyword_weight:
-            keyword = _keyword(block, batch.column("tokens"))
-        else:
-            keyword = np.zeros_like(semantic)
-        scores = np.floor((semantic_weight * semantic + keyword_weight * keyword) * 1e6 + 0.5) / 1e6
-        keep = (scores >= block.min_score) & (scores >= self.floor)
-        allowed = _allowed(block, batch.column("document_id"))
-        if allowed is not None:
-            keep &= allowed
-        rows, cols = _candidates(scores, keep, block.top_k)
-        if not len(rows):
-            return
-        found = pa.Table.from_batches([batch.select(_PAYLOAD)]).take(pa.array(rows))
-        found = found.append_column("q", pa.array(cols.astype(np.int64)))
-        found = found.append_column("score", pa.array(scores[rows, cols]))
-        found = found.append_column("semantic_score", pa.array(semantic[rows, cols]))
-        found = found.append_column("keyword_score", pa.array(keyword[rows, cols]))
-        self.rows = _best(found if self.rows is None else pa.concat_tables([self.rows, found]), block.top_k)
-        counts = np.bincount(self.rows["q"].to_numpy(), minlength=len(self.floor))
-        last = np.cumsum(counts) - 1
-        full = counts >= block.top_k
-        self.floor[full] = self.rows["score"].to_numpy()[last[full]]
+    away = np.arccos(np.clip(block.unit @ group.centre, -1, 1))
+    score = weights.semantic * np.cos(np.maximum(0, away - group.angle))
+    if weights.keyword and len(block.vocabulary):
+        there = pc.is_in(block.vocabulary, value_set=group.vocabulary).to_numpy(zero_copy_only=False)
+        score = score + weights.keyword * (there.astype(np.float32) @ block.membership) / block.n_tokens
+    return score + _SLACK
+
+
+def shared_tokens(block: QueryBlock, group: Group) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that queries of the block and members of the group have in common, and which
+    member has which."""
+    found = pc.index_in(pc.list_flatten(group.tokens), value_set=block.vocabulary)
+    known = found.is_valid().to_numpy(zero_copy_only=False)
+    used, local = np.unique(found.fill_null(0).to_numpy()[known], return_inverse=True)
+    present = np.zeros((len(group.vectors), len(used)), np.float32)
+    present[pc.list_parent_indices(group.tokens).to_numpy()[known], local] = 1
+    return used, present
+
+
+def scores(block: QueryBlock, group: Group, shared: tuple | None, asked: np.ndarray, weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Deciding, semantic and keyword scores: query × member."""
+    semantic = block.unit[asked] @ group.vectors.T
+    keyword = np.zeros_like(semantic)
+    if shared is not None:
+        used, present = shared
+        keyword = (block.membership[np.ix_(used, asked)].T @ present.T) / block.n_tokens[asked][:, None]
+    return decided(weights.semantic * semantic + weights.keyword * keyword), semantic, keyword
+
+
+class Best:
+    """The best scores of one block's queries so far, in one task."""
+
+    def __init__(self, block: QueryBlock):
+        self.scores = np.full((len(block.ids), int(block.top_k.max(initial=1))), -np.inf)
+
+    def add(self, asked: np.ndarray, found: np.ndarray) -> None:
+        k = self.scores.shape[1]
+        both = np.concatenate([self.scores[asked], found], axis=1)
+        self.scores[asked] = -np.sort(-both, axis=1)[:, :k] if both.shape[1] <= 64 else -np.sort(np.partition(-both, k - 1, axis=1)[:, :k], axis=1)
+
+    def floor(self, block: QueryBlock) -> np.ndarray:
+        return np.maximum(block.min_score, self.scores[np.arange(len(block.ids)), block.top_k - 1])
+
+
+class Search:
+    """What one task has found."""
+
+    def __init__(self, weights: Weights, tally: Counter | None = None):
+        self.weights, self.tally = weights, Counter() if tally is None else tally
+        self.best: dict[int, Best] = {}
+        self.held: list[tuple[int, QueryBlock, np.ndarray, pa.Table]] = []
+
+    def meet(self, number: int, block: QueryBlock, groups: list[Group]) -> None:
+        """A block of queries and some groups: most promising pairs first."""
+        best = self.best.setdefault(number, Best(block))
+        bounds = np.stack([bound(block, g, self.weights) for g in groups], axis=1)
+        first = bounds.argmax(axis=1)
+        self.tally["pairs"] += bounds.size
+        shared: dict[int, tuple | None] = {}
+        for turn in (True, False):
+            for g, group in enumerate(groups):
+                open_ = (first == g) == turn
+                asked = np.flatnonzero(open_ & (bounds[:, g] >= best.floor(block)))
+                if len(asked):
+                    self.tally["scored"] += len(asked)
+                    if g not in shared:
+                        shared[g] = shared_tokens(block, group) if self.weights.keyword and len(block.vocabulary) else None
+                    self.score(number, block, best, group, shared[g], asked)
+
+    def score(self, number: int, block: QueryBlock, best: Best, group: Group, shared: tuple | None, asked: np.ndarray) -> None:
+        found, semantic, keyword = scores(block, group, shared, asked, self.weights)
+        best.add(asked, found)
+        q, m = np.nonzero(found >= best.floor(block)[asked][:, None])
+        if len(q):
+            each = [
+                block.ids.take(pa.array(asked[q])), *[group.ids.field(c).take(pa.array(m)) for c in IDS],
+                pa.array(found[q, m]), pa.array(semantic[q, m]), pa.array(keyword[q, m].astype(np.float64)), pa.array(block.top_k[asked[q]].astype(np.int32)),
+            ]
+            self.held.append((number, block, asked[q], pa.table(each, _NAMES)))
 
     def emit(self) -> Iterator[pa.RecordBatch]:
-        if self.rows is None:
-            return
-        q = self.rows["q"].to_numpy()
-        out = self.rows.append_column("query_id", pa.array([self.block.ids[i] for i in q], pa.string()))
-        out = out.append_column("top_k", pa.array(self.block.top_k[q].astype(np.int32)))
-        yield from out.select([f.strip().split(" ")[0] for f in SCORED.split(",")]).to_batches()
-
-
-def score_batches(
-    batches: Iterator[pa.RecordBatch], blocks: list[QueryBlock], semantic_weight: float, keyword_weight: float
-) -> Iterator[pa.RecordBatch]:
-    bests = [_Best(block, semantic_weight, keyword_weight) for block in blocks]
-    for whole in batches:
-        for offset in range(0, whole.num_rows, BATCH_ROWS):
-            for best in bests:
-                best.add(whole.slice(offset, BATCH_ROWS))
-    for best in bests:
-        yield from best.emit()
-
-
-def bounded_groups(rows: list, max_cells: int) -> Iterator[list]:
-    """Split so that queries times distinct tokens of a group stays within max_cells; a
-    query alone always forms a group."""
-    group, vocabulary = [], set()
-    for row in sorted(rows, key=lambda r: len(r["tokens"])):
-        wider = vocabulary | set(row["tokens"])
-        if group and len(wider) * (len(group) + 1) > max_cells:
-            yield group
-            group, wider = [], set(row["tokens"])
-        group.append(row)
-        vocabulary = wider
-    if group:
-        yield group
-
-
-def query_blocks(queries: DataFrame, block_queries: int = BLOCK_QUERIES) -> Iterator[list]:
-    """The query table in blocks of bounded size, fetched one at a time."""
-    head = queries.limit(block_queries + 1).collect()
-    if len(head) <= block_queries:
-        if head:
-            yield head
-        return
-    n_blocks = 2 * -(-queries.count() // block_queries)
-    slot = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-    for i in range(n_blocks):
-        rows = queries.where(slot == i).limit(2 * block_queries + 1).collect()
-        if len(rows) > 2 * block_queries:
-            raise ValueError("query_id must be unique: one block exceeds its size bound")
-        if rows:
-            yield rows
+        """Rows that no better ones have overtaken since."""
+        for number, block, q, rows in self.held:
+            kept = rows["score"].to_numpy() >= self.best[number].floor(block)[q]
+            yield from rows.filter(pa.array(kept)).to_batches()
+        self.held = []
+
+
+def search_batches(batches: Iterator[pa.RecordBatch], weights: Weights, tally: Counter | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows (block, queries, group columns) of the join, batch by batch."""
+    search = Search(weights, tally)
+    for batch in batches:
+        numbers, groups = batch.column("block").to_numpy(), [Group.of(batch, i) for i in range(batch.num_rows)]
+        for number in np.unique(numbers).tolist():
+            at = np.flatnonzero(numbers == number).tolist()
+            search.meet(number, QueryBlock.of(batch.column("queries")[at[0]].values), [groups[i] for i in at])
+        if sum(len(h[2]) for h in search.held) >= HELD:
+            yield from search.emit()
+    yield from search.emit()
+
+
+BLOCK = "block long, queries array<struct<query_id:string,embedding:array<double>,tokens:array<string>,top_k:int,min_score:double>>"
+
+
+def query_blocks(queries: DataFrame, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+    """The query table in rows of at most ``block_queries`` queries.  Equal rows are one
+    query."""
+    names = ["query_id", "embedding", "tokens", "top_k", "min_score"]
+
+    def pack(batches):
+        part, made = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, block_queries):
+                rows = batch.slice(start, block_queries)
+                listed = pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), pa.StructArray.from_arrays(rows.columns, names))
+                yield pa.RecordBatch.from_arrays([pa.array([(part << 33) + made]), listed], ["block", "queries"])
+                made += 1
+
+    rows = queries.select(*names).distinct().sortWithinPartitions("query_id", "tokens", "embedding")
+    return rows.mapInArrow(pack, BLOCK)
+
+
+def met(blocks: DataFrame, index: ChunkIndex) -> DataFrame:
+    """Every block beside every group."""
+    spark = blocks.sparkSession
+    path, seen = shared_dir(spark, "query-blocks"), Observation()
+    words = F.aggregate("queries", F.lit(0).cast("long"), lambda n, q: n + 128 + 8 * F.size(q["embedding"]) + 32 * F.size(q["tokens"]))
+    blocks.observe(seen, F.coalesce(F.sum(words), F.lit(0)).alias("bytes")).write.parquet(path)
+    blocks, size = spark.read.schema(BLOCK).parquet(path), seen.get["bytes"]
+    if size <= BROADCAST_BYTES:
+        return index.groups.withColumn("all", F.lit(0)).join(F.broadcast(blocks.withColumn("all", F.lit(0))), "all")
+    places = F.explode(F.sequence(F.lit(0), F.lit(PLACES - 1)))
+    return index.groups.join(blocks.withColumn("place", places).hint("merge"), "place")
+
+
+def search_all(queries: DataFrame, index: ChunkIndex, weights: Weights, block_queries: int) -> DataFrame:
+    joined = met(query_blocks(queries, block_queries), index)
+    return joined.mapInArrow(lambda batches: search_batches(batches, weights), SCORED)
+
+
+def search_documents(queries: DataFrame, chunks: DataFrame, weights: Weights) -> DataFrame:
+    """Queries that name a document, with its chunks alone."""
+    asked = queries.select("query_id", "document_id", "top_k", "min_score", F.col("tokens").alias("query_tokens"), F.col("embedding").alias("query_vector"))
+    rows = searchable(chunks, "document_id")
+    pairs = rows.join(asked, "document_id")
+    semantic = pairs.mapInArrow(cosines, "query_id string, chunk_id string, ingest_order long, chunk_index int, top_k int, min_score double, semantic_score double, query_tokens array<string>, tokens array<string>")
+    keyword = keyword_score(F.col("query_tokens"), F.col("tokens")) if weights.keyword else F.lit(0.0)
+    score = F.floor((weights.semantic * F.col("semantic_score") + weights.keyword * F.col("keyword_score")) * 1e12 + 0.5) / 1e12
+    return semantic.withColumn("keyword_score", keyword).withColumn("score", score).where("score >= min_score").select(*_NAMES)
+
+
+def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Row by row the cosine of the query's vector with the chunk's."""
+    names = ["query_id", *IDS, "top_k", "min_score"]
+    for batch in batches:
+        a, b = batch.column("query_vector"), batch.column("embedding")
+        width = pc.list_value_length(a).to_numpy(zero_copy_only=False)
+        if (pc.list_value_length(b).to_numpy(zero_copy_only=False) != width).any():
+            raise ValueError("embedding dimension mismatch")
+        semantic = np.zeros(batch.num_rows)
+        for w in np.unique(width).tolist():
+            rows = np.flatnonzero(width == w)
+            semantic[rows] = (unit_rows(a.take(pa.array(rows)), w) * unit_rows(b.take(pa.array(rows)), w)).sum(axis=1)
+        out = [batch.column(n) for n in names] + [pa.array(semantic), batch.column("query_tokens"), batch.column("tokens")]
+        yield pa.RecordBatch.from_arrays(out, [*names, "semantic_score", "query_tokens", "tokens"])
 
 
 def rank_chunks(
     queries: DataFrame,
-    chunks: DataFrame,
+    chunks: DataFrame | ChunkIndex,
     semantic_weight: float = V.SEMANTIC_WEIGHT,
     keyword_weight: float = V.KEYWORD_WEIGHT,
     block_queries: int = BLOCK_QUERIES,
+    filtered: bool = True,
 ) -> DataFrame:
-    """queries(query_id, embedding, tokens, document_id, top_k, min_score) × chunks.
-
-    Queries with a document filter form blocks of their own, whose scan is restricted to
-    those documents by a pushed-down IN list.
-    """
-    spark = ship_package(chunks.sparkSession)
-    columns = [*_PAYLOAD, "tokens", "embedding"]
-    if "document_title" not in chunks.columns:
-        chunks = chunks.withColumn("document_title", F.lit(None).cast("string"))
-    table = chunks.where("embedding is not null").select(*columns)
-    wanted = queries.where("embedding is not null").select(
-        "query_id", "embedding", "tokens", "document_id", "top_k", "min_score"
-    )
-    parts = []
-    for rows in query_blocks(wanted, block_queries):
-        groups = (
-            [r for r in rows if r["document_id"] is None],
-            [r for r in rows if r["document_id"] is not None],
-        )
-        for group in filter(None, groups):
-            blocks = [QueryBlock.from_rows(g) for g in bounded_groups(group, MAX_CELLS)]
-            shared = spark.sparkContext.broadcast(blocks)
-            scan = table
-            if group[0]["document_id"] is not None:
-                scan = scan.where(F.col("document_id").isin(sorted({r["document_id"] for r in group})))
-
-            def task(batches, shared=shared):
-                return score_batches(batches, shared.value, semantic_weight, keyword_weight)
-
-            parts.append(scan.mapInArrow(task, SCORED))
-    if not parts:
-        return spark.createDataFrame([], SCORED + ", rank int")
-    return _merge(reduce(DataFrame.unionByName, parts))
-
-
-def _merge(scored: DataFrame) -> DataFrame:
-    """Rank the tasks' rows of each query, first within slots by chunk, then over what
-    the slots keep: at most MERGE_SLOTS · top_k rows meet in one task, however many
-    tasks scanned the table."""
+    """queries(query_id, embedding, tokens, document_id, top_k, min_score) × chunks (a table
+    or its stored index); ``filtered``: some queries may name a document."""
+    index, weights = indexed(chunks), Weights(semantic_weight, keyword_weight)
+    queries = queries.where("embedding is not null").select("query_id", "embedding", "tokens", "document_id", "top_k", "min_score")
+    if not filtered:
+        return winners(search_all(queries, index, weights, block_queries), index)
+    found = search_all(queries.where("document_id is null"), index, weights, block_queries)
+    return winners(found.unionByName(search_documents(queries.where("document_id is not null"), index.chunks, weights)), index)
+
+
+def winners(scored: DataFrame, index: ChunkIndex) -> DataFrame:
+    """Rank the tasks' rows of each query, first within slots by chunk, then over what the
+    slots keep: at most MERGE_SLOTS · top_k rows meet in one task, however many tasks
+    searched.  Texts and titles come last, to the winners."""
     best_first = [F.col("score").desc(), "ingest_order", "chunk_index", "chunk_id"]
     slot = F.pmod(F.xxhash64("chunk_id"), F.lit(MERGE_SLOTS))
     rank = F.row_number()
     in_slot = rank.over(Window.partitionBy("query_id", "_slot").orderBy(*best_first))
     kept = scored.withColumn("_slot", slot).withColumn("rank", in_slot).where("rank <= top_k").drop("_slot", "rank")
     overall = rank.over(Window.partitionBy("query_id").orderBy(*best_first))
-    return kept.withColumn("rank", overall).where("rank <= top_k")
+    ranked = kept.withColumn("rank", overall).where("rank <= top_k").select("query_id", "rank", "chunk_id", "score", "semantic_score", "keyword_score", "top_k")
+    shown = index.chunks if "document_title" in index.chunks.columns else index.chunks.withColumn("document_title", F.lit(None).cast("string"))
+    return shown.select("chunk_id", *SHOWN).join(ranked, "chunk_id")

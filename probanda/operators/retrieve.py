@@ -70,7 +70,7 @@ def retrieve(
     Documents never change once imported, so ingest keeps their title with each chunk
     and no lookup is needed.  For chunks stored without titles pass ``documents``.
     """
-    ranked = rank_chunks(prepare_queries(queries), chunks, block_queries=block_queries)
+    ranked = rank_chunks(prepare_queries(queries), chunks, block_queries=block_queries, filtered="document_id" in queries.columns)
     return _local(ranked, documents)
 
 
@@ -92,7 +92,7 @@ def retrieve_reusing(
         F.min_by("embedding", "query_id").alias("embedding"),
         F.min_by("tokens", "query_id").alias("tokens"),
     )
-    ranked = rank_chunks(first.withColumnRenamed("request", "query_id"), chunks, block_queries=block_queries)
+    ranked = rank_chunks(first.withColumnRenamed("request", "query_id"), chunks, block_queries=block_queries, filtered="document_id" in queries.columns)
     answers = _local(ranked, documents).withColumnRenamed("query_id", "request")
     owners = keyed.select("query_id", "request").join(
         first.select("request", "first_query"), "request"
@@ -112,7 +112,7 @@ def vector_top_k(queries: DataFrame, chunks: DataFrame, top_k: int = V.TOP_K) ->
         F.lit(top_k).alias("top_k"),
         F.lit(float("-inf")).alias("min_score"),
     )
-    ranked = rank_chunks(prepared, chunks, semantic_weight=1.0, keyword_weight=0.0)
+    ranked = rank_chunks(prepared, chunks, semantic_weight=1.0, keyword_weight=0.0, filtered=False)
     return ranked.select("query_id", "rank", "chunk_id", "document_id", "chunk_text", T.six(F.col("score")).alias("score"))
 
 

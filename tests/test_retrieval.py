@@ -1,6 +1,7 @@
 """Retrieval against brute force, with ties, small blocks and hot documents."""
 
 import random
+from collections import Counter
 from datetime import datetime
 
 import numpy as np
@@ -8,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from probanda.functions import text as T
-from probanda.operators import compare, ranking, retrieve
+from probanda.operators import chunk_index, compare, ranking, retrieve
 from probanda.plans import ask, research
+from probanda.session import shared_dir
 
 CHUNK = (
     "chunk_id string, document_id string, ingest_order long, chunk_index int, concept_id string, "
@@ -55,9 +57,9 @@ def test_golden_scores(spark):
     }
 
 
-@pytest.mark.parametrize("block,cells", [(3, 16_000_000), (2048, 16_000_000), (2048, 12)])
-def test_matches_brute_force_with_hot_document(spark, monkeypatch, block, cells):
-    monkeypatch.setattr(ranking, "MAX_CELLS", cells)
+@pytest.mark.parametrize("block,broadcast", [(3, 32 << 20), (512, 32 << 20), (3, 0)])
+def test_matches_brute_force_with_hot_document(spark, monkeypatch, block, broadcast):
+    monkeypatch.setattr(ranking, "BROADCAST_BYTES", broadcast)
     rng = random.Random(11)
     words = "alpha beta gamma delta eps".split()
     chunks, vectors = [], {}
@@ -83,7 +85,7 @@ def test_matches_brute_force_with_hot_document(spark, monkeypatch, block, cells)
                 continue
             cos = float(np.dot(v, e) / np.linalg.norm(v) / np.linalg.norm(e))
             kw = len(set(text.split()) & set(ctext.split())) / len(set(text.split()))
-            score = np.floor((0.7 * cos + 0.3 * kw) * 1e6 + 0.5) / 1e6
+            score = np.floor((0.7 * cos + 0.3 * kw) * 1e12 + 0.5) / 1e12
             if score >= floor:
                 scored.append((-score, order, index, cid))
         wanted = [(n + 1, s[3]) for n, s in enumerate(sorted(scored)[:k])]
@@ -96,10 +98,87 @@ def test_dimension_mismatch_is_an_error(spark):
         retrieve.retrieve(queries(spark, [("q", "cats", [1.0, 0.0], None, 5, 0.0)]), chunks, docs).collect()
 
 
-def test_more_queries_than_one_block_need_unique_ids(spark):
-    rows = [("same", "cats", [1.0], None, 1, 0.0)] * 9
-    with pytest.raises(ValueError):
-        list(ranking.query_blocks(queries(spark, rows), 2))
+def test_blocks_hold_every_query_once(spark):
+    """Also where one id is asked with many texts; equal rows are one query."""
+    rows = [("same", f"cats {n % 9}", [float(n % 9)], None, 1, 0.0) for n in range(18)] + [(f"q{n}", "cats", [1.0], None, 1, 0.0) for n in range(30)]
+    blocks = ranking.query_blocks(retrieve.prepare_queries(queries(spark, rows).repartition(3)), 4).collect()
+    assert max(len(b["queries"]) for b in blocks) <= 4 and len({b["block"] for b in blocks}) == len(blocks)
+    assert sorted(q["query_id"] for b in blocks for q in b["queries"]) == sorted(["same"] * 9 + [f"q{n}" for n in range(30)])
+
+
+def clustered(rng, n, width=16):
+    """Chunks in 20 tight clusters, each with words of its own; rows and their vectors."""
+    middles = rng.standard_normal((20, width))
+    rows = []
+    for i in range(n):
+        c = int(rng.integers(20))
+        v = middles[c] + 0.05 * rng.standard_normal(width)
+        rows.append((f"c{i:05}", f"d{i % 50}", i, i, None, f"common word{c} other{i % 3}", [float(x) for x in v]))
+    return middles, rows
+
+
+def best_of(rows, text, vector, k, floor=0.0):
+    q = np.array(vector) / np.linalg.norm(vector)
+    out = []
+    for cid, _, order, index, _, ctext, v in rows:
+        words = set(text.split())
+        score = 0.7 * float(q @ np.array(v) / np.linalg.norm(v)) + 0.3 * len(words & set(ctext.split())) / len(words)
+        out.append((-round(score, 12), order, index, cid))
+    return [cid for s, _, _, cid in sorted(out)[:k] if -s >= floor]
+
+
+def test_far_groups_are_passed_over(spark, monkeypatch):
+    """Clustered chunks in a stored index: most (query, group) pairs are never scored, and
+    the answers are those of brute force, by either join."""
+    rng = np.random.default_rng(5)
+    middles, rows = clustered(rng, 6000)
+    asked = [(f"q{n}", f"word{n % 20} common", [float(x) for x in middles[n % 20] + 0.1 * rng.standard_normal(16)], None, 5, 0.0) for n in range(40)]
+    table = chunk_table(spark, rows).repartition(4)
+    index = chunk_index.store_index(table, shared_dir(spark, "test-index"))
+    wanted = {a[0]: best_of(rows, a[1], a[2], 5) for a in asked}
+
+    def found(source):
+        got = {}
+        for r in retrieve.retrieve(queries(spark, asked), source).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["chunk_id"])
+        return got
+
+    assert found(index) == wanted
+    assert found(chunk_index.open_index(spark, *[index.groups.inputFiles()[0].rsplit("/", 1)[0]], table)) == wanted
+    tally = Counter()
+    joined = ranking.met(ranking.query_blocks(retrieve.prepare_queries(queries(spark, asked))), index).toArrow()
+    assert sum(b.num_rows for b in ranking.search_batches(joined.to_batches(max_chunksize=16), ranking.Weights(), tally)) >= 200
+    assert tally["scored"] < tally["pairs"] / 4
+    monkeypatch.setattr(ranking, "BROADCAST_BYTES", 0)
+    assert found(index) == wanted and found(table) == wanted
+
+
+def test_bounds_hold(spark):
+    """No member of a group scores above its bound, zero vectors and queries included."""
+    rng = np.random.default_rng(8)
+    _, rows = clustered(rng, 700, 6)
+    rows += [(f"z{i}", "z", i, i, None, "zero words", [0.0] * 6) for i in range(5)]
+    rows += [("n1", "z", 1, 1, None, "x", [float("nan")] * 6), ("n2", "z", 1, 1, None, "x", None)]
+    asked = [(f"q{n}", "word1 zero words common", [float(x) for x in rng.standard_normal(6)], None, 3, -9.0) for n in range(20)]
+    asked.append(("zero", "words", [0.0] * 6, None, 3, -9.0))
+    joined = ranking.met(ranking.query_blocks(retrieve.prepare_queries(queries(spark, asked))), chunk_index.indexed(chunk_table(spark, rows))).toArrow()
+    weights, members = ranking.Weights(), 0
+    for batch in joined.to_batches():
+        for i in range(batch.num_rows):
+            block, group = ranking.QueryBlock.of(batch.column("queries")[i].values), ranking.Group.of(batch, i)
+            every = np.arange(len(block.ids))
+            score = ranking.scores(block, group, ranking.shared_tokens(block, group), every, weights)[0]
+            assert (score.max(axis=1) <= ranking.bound(block, group, weights)).all()
+            members += len(group.vectors)
+    assert members == 705
+
+
+def test_raw_scores_decide(spark):
+    """A score just below the floor is not rounded up to it, one just above another wins."""
+    v = [1.0, 0.0]
+    chunks = chunk_table(spark, [("low", "A", 0, 0, None, "x", [-3e-7, 1.0]), ("a", "A", 1, 0, None, "x", [1e-4, 1.0]), ("b", "A", 2, 0, None, "x", [1e-4 + 2e-7, 1.0])])
+    got = retrieve.retrieve(queries(spark, [("q", "cats", v, None, 5, 0.0), ("in A", "cats", v, "A", 5, 0.0)]), chunks).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["chunk_id"], r["score"]) for r in got] == [(q, c, 0.00007) for q in ("in A", "q") for c in "ba"]
 
 
 def compared(spark, *texts):
