@@ -9,14 +9,14 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed_values as V
-from ..session import ship_package
+from ..session import shared_dir, ship_package
 
 MICROS = 1_000_000
+SEGMENT = 200_000  # requests of one identity decided in one task
 
 
 def running_total(df: DataFrame, keys: list[str], at: str, amount: str, out: str, span: int = MICROS) -> DataFrame:
@@ -71,16 +71,24 @@ def sliding_counts(requests: DataFrame, window_seconds: float = V.RATE_WINDOW_SE
 
 
 def with_bursts(requests: DataFrame, window_seconds: float, limit: int) -> DataFrame:
-    """Adds burst, the number of pauses longer than the window before the request, and
-    contended, whether the burst ever has more than ``limit`` requests in one window."""
+    """Adds burst, the number of pauses longer than the window before the request;
+    contended, whether the burst ever has more than ``limit`` requests in one window; and
+    segment, the stretch of time in the burst: one, or about SEGMENT requests each."""
     counts = window_counts(requests, int(window_seconds * MICROS)).withColumn(
         "_starts", (F.col("in_window") == F.col("n_now")).cast("long")
     )
     numbered = running_total(counts, ["identity"], "at_us", "_starts", "burst").select(
-        "identity", "at_us", "burst", "in_window"
+        "identity", "at_us", "burst", "in_window", "n_now"
     )
-    busy = numbered.groupBy("identity", "burst").agg((F.max("in_window") > limit).alias("contended"))
-    moments = numbered.join(busy, ["identity", "burst"]).select("identity", "at_us", "burst", "contended")
+    busy = numbered.groupBy("identity", "burst").agg(
+        (F.max("in_window") > limit).alias("contended"),
+        F.ceil(F.sum("n_now") / SEGMENT).alias("segments"),
+        F.min("at_us").alias("_first"),
+        (F.max("at_us") + 1).alias("_end"),
+    )
+    moments = numbered.join(busy, ["identity", "burst"])
+    stretch = F.floor((F.col("at_us") - F.col("_first")) / (F.col("_end") - F.col("_first")) * F.col("segments"))
+    moments = moments.select("identity", "at_us", "burst", "contended", "segments", stretch.alias("segment"))
     return requests.join(moments, ["identity", "at_us"])
 
 
@@ -100,41 +108,104 @@ class Limiter:
         return True
 
 
+PLACE = ["identity", "burst", "segment"]
+
+
+def in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.sort_values(["at_us", "seq"], kind="stable")
+
+
 def admit(
     requests: DataFrame, limit: int = V.RATE_LIMIT, window_seconds: float = V.RATE_WINDOW_SECONDS
 ) -> DataFrame:
     """Adds ``admitted``.
 
     A pause longer than the window empties the limiter, so the bursts between pauses are
-    independent.  A burst that never exceeds the limit is admitted as it is.  Only
-    contended bursts need the sequential rule; their rows stream through it in time
-    order, with the admitted times of one window as the only state held.
+    independent.  A burst that never exceeds the limit is admitted as it is.  Contended
+    bursts follow the sequential rule: their rows stream through it in time order, with the
+    admitted times of one window as the only state held.  A burst of more than SEGMENT
+    requests is many segments, each a task's, that start with the admissions that the one
+    before leaves (see ``settled_starts``).
     """
     ship_package(requests.sparkSession)
     window_us = int(window_seconds * MICROS)
     columns = requests.columns
-    rows = with_bursts(requests, window_seconds, limit)
+    spark, path = requests.sparkSession, shared_dir(requests.sparkSession, "bursts")
+    with_bursts(requests, window_seconds, limit).write.parquet(path)
+    rows = spark.read.parquet(path)
     calm = rows.where("not contended").select(*columns, F.lit(True).alias("admitted"))
+    short = rows.where("contended and segments = 1").select(*columns, "burst")
+    long = rows.where("contended and segments > 1").select(*columns, "burst", "segment")
     schema = ", ".join(f"`{n}` {t}" for n, t in requests.dtypes) + ", admitted boolean"
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, limiter = None, None
         for pdf in batches:
-            verdicts = np.empty(len(pdf), dtype=bool)
-            for i, (who, burst, at) in enumerate(zip(pdf["identity"], pdf["burst"], pdf["at_us"])):
+            verdicts = []
+            for who, burst, at in zip(pdf["identity"], pdf["burst"], pdf["at_us"].tolist()):
                 if (who, burst) != current:
                     current, limiter = (who, burst), Limiter(limit, window_us)
-                verdicts[i] = limiter.decide(at)
+                verdicts.append(limiter.decide(at))
             yield pdf[columns].assign(admitted=verdicts)
 
-    contended = (
-        rows.where("contended")
-        .repartition("identity", "burst")
-        .sortWithinPartitions("identity", "burst", "at_us", "seq")
-        .select(*columns, "burst")
-        .mapInPandas(task, schema)
-    )
-    return calm.unionByName(contended)
+    def decide(key, own: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        own = in_order(own)
+        limiter = Limiter(limit, window_us, start["start"].iloc[0] if len(start) else ())
+        return own[columns].assign(admitted=[limiter.decide(at) for at in own["at_us"].tolist()])
+
+    ordered = short.repartition("identity", "burst").sortWithinPartitions("identity", "burst", "at_us", "seq")
+    decided = calm.unionByName(ordered.mapInPandas(stream, schema))
+    if long.isEmpty():
+        return decided
+    starts = settled_starts(long, limit, window_us)
+    own = long.toDF(*long.columns).groupBy(*PLACE).cogroup(starts.groupBy(*PLACE)).applyInPandas(decide, schema)
+    return decided.unionByName(own)
+
+
+def settled_starts(contended: DataFrame, limit: int, window_us: int) -> DataFrame:
+    """(identity, burst, segment, start) of segments that do not start empty: the admitted
+    times still inside the window when the segment begins.
+
+    All segments are first run from an empty limiter at once.  One whose predecessor then
+    leaves another state than it was given is run again from that state, if the
+    predecessor itself stands; and so on until every segment was given what its predecessor
+    leaves.  Where an identity falls below its limit for a while the two agree of
+    themselves, so repairs end there and go on at many places at once; an identity that
+    never does is repaired segment by segment.
+    """
+    spark = contended.sparkSession
+    rows = contended.select(*PLACE, "at_us", "seq")
+
+    def left(key, own: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        given = list(start["start"].iloc[0]) if len(start) else []
+        limiter, first = Limiter(limit, window_us, given), int(own["at_us"].min()) if len(own) else 0
+        for at in in_order(own)["at_us"].tolist():
+            limiter.decide(at)
+        return pd.DataFrame([[*key, first, given, list(limiter.admitted)]], columns=[*PLACE, "first_at", "start", "left"])[: len(own)]
+
+    def run(which: DataFrame, starts: DataFrame) -> DataFrame:
+        kinds = dict(contended.dtypes)
+        schema = ", ".join(f"{c} {kinds[c]}" for c in PLACE) + ", first_at long, start array<long>, left array<long>"
+        which = which.toDF(*which.columns)  # both come from the same rows
+        return which.groupBy(*PLACE).cogroup(starts.groupBy(*PLACE)).applyInPandas(left, schema)
+
+    def kept(df: DataFrame) -> DataFrame:
+        path = shared_dir(spark, "segments")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    none = rows.select(*PLACE).limit(0).withColumn("start", F.array().cast("array<long>"))
+    done = kept(run(rows, none))
+    while True:
+        order = Window.partitionBy("identity", "burst").orderBy("segment")
+        asked = F.filter(F.coalesce(F.lag("left").over(order), F.array().cast("array<long>")), lambda t: t >= F.col("first_at") - window_us)
+        state = done.withColumn("asked", asked).withColumn("wrong", F.col("asked") != F.col("start"))
+        state = state.withColumn("now", F.col("wrong") & ~F.coalesce(F.lag("wrong").over(order), F.lit(False)))
+        again = kept(state.where("now").select(*PLACE, F.col("asked").alias("start")))
+        if again.isEmpty():
+            return done.where(F.size("start") > 0).select(*PLACE, "start")
+        redone = run(rows.join(again.select(*PLACE), PLACE, "left_semi"), again)
+        done = kept(done.join(again.select(*PLACE), PLACE, "left_anti").unionByName(redone))
 
 
 def limit_audit(decided: DataFrame) -> DataFrame:

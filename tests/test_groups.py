@@ -66,6 +66,27 @@ def test_admission_and_counts(spark, limit, window_us):
     assert {r["request_id"]: r["in_window"] for r in found} == counts
 
 
+@pytest.mark.parametrize("limit,window_us,step", [(3, 2000, 300), (5, 9000, 900), (60, 50_000, 200)])
+def test_one_identity_always_over_its_limit(spark, monkeypatch, limit, window_us, step):
+    """It never pauses: one burst, decided in many segments; others beside it, and a lull
+    below the limit in the middle."""
+    monkeypatch.setattr(limits, "SEGMENT", 200)
+    rng, at, rows = random.Random(step), 0, []
+    for i in range(3000):
+        at += rng.randrange(step) if i // 500 != 3 else window_us // limit + rng.randrange(step)
+        rows.append((i, "busy", at, i))
+    rows += [(i, f"k{i % 7}", rng.randrange(at), i) for i in range(3000, 3600)]
+    given = requests(spark, rows)
+    segments = limits.with_bursts(given, window_us / 1e6, limit).where("identity = 'busy' and contended")
+    assert segments.select("burst", "segment").distinct().count() >= 10
+    assert segments.groupBy("burst", "segment").count().agg({"count": "max"}).first()[0] <= 1000
+    got = {r["request_id"]: r["admitted"] for r in limits.admit(given, limit, window_us / 1e6).collect()}
+    rules, wanted = {}, {}
+    for rid, who, t, _ in sorted(rows, key=lambda r: (r[2], r[3])):
+        wanted[rid] = rules.setdefault(who, Limiter(limit, window_us)).decide(t)
+    assert got == wanted and 0 < sum(not v for v in wanted.values()) < len(wanted)
+
+
 def test_limiter_golden():
     rule = Limiter(2, 60)
     # exactly one window old still counts; a refused request leaves no mark
