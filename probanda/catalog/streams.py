@@ -64,7 +64,7 @@ def ingest_as_files_arrive(spark: SparkSession, sf: str) -> DataFrame:
         return ST.ingest_stream(uploads, f"{root}/out", f"{root}/checkpoint")
 
     replay([i.uploads.where(n == k) for k in range(SLICES)], f"{root}/in", start)
-    chunks = ST.read_batches(spark, f"{root}/out/chunks")
+    chunks = ST.read_committed(spark, f"{root}/out", "chunks")
     return chunks.select(
         "chunk_id", "document_id",
         *[F.col(c).cast("long").alias(c) for c in ("chunk_index", "char_start", "char_end")],

@@ -8,39 +8,31 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import ship_package
+from .calls import BATCH, answered
 
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
-def _embed_udf(load: Callable[[], Embedder]):
+def _embed_udf(load: Callable[[], Embedder], batch: int):
     @F.pandas_udf("embedding array<double>, embed_error string")
     def embed_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         embedder = load()
 
-        def one(text: str):
-            try:
-                return [float(x) for x in embedder([text])[0]], None
-            except Exception as exc:
-                return None, f"{type(exc).__name__}: {exc}"
+        def run(texts: list[str]) -> list[list[float]]:
+            return [[float(x) for x in vector] for vector in embedder(texts)]
 
         for texts in batches:
-            values = texts.tolist()
-            try:
-                rows = [([float(x) for x in v], None) for v in embedder(values)]
-                if len(rows) != len(values):
-                    raise ValueError("embedder returned a different number of vectors")
-            except Exception:
-                rows = [one(t) for t in values]
-            yield pd.DataFrame(rows, columns=["embedding", "embed_error"])
+            yield pd.DataFrame(list(answered(run, texts.tolist(), batch)), columns=["embedding", "embed_error"])
 
     return embed_batches
 
 
-def embed(df: DataFrame, text: str, load: Callable[[], Embedder]) -> DataFrame:
+def embed(df: DataFrame, text: str, load: Callable[[], Embedder], batch: int = BATCH) -> DataFrame:
     """Adds embedding and embed_error.  ``load`` runs once per task and returns the
-    function that embeds a list of texts; a failing text gets an error, not a failed job."""
+    function that embeds a list of texts, ``batch`` at a time; a failing text gets an error,
+    not a failed job, and is found by halving."""
     ship_package(df.sparkSession)
-    made = df.withColumn("_made", _embed_udf(load)(F.col(text)))
+    made = df.withColumn("_made", _embed_udf(load, batch)(F.col(text)))
     return made.select(*df.columns, "_made.embedding", "_made.embed_error")
 
 

@@ -33,10 +33,11 @@ def parsed_text(parsers: dict[str, Parser]) -> Column:
     )
 
 
-def reject_reason(parsers: dict[str, Parser], max_bytes: int = V.DOCUMENT_MAX_BYTES) -> Column:
-    """Why an upload is refused before parsing, or null.  The order of tests is fixed."""
+def reject_reason(parsers: dict[str, Parser], max_bytes: int = V.DOCUMENT_MAX_BYTES, listed: bool = False) -> Column:
+    """Why an upload is refused before parsing, or null.  The order of tests is fixed.
+    ``listed``: a column tells the length, so content that is too large need not be there."""
     known = reduce(lambda a, b: a | b, [_has_extension(e) for e in parsers])
-    size = F.coalesce(F.length("content"), F.lit(0))
+    size = F.coalesce(F.col("length") if listed else F.length("content"), F.lit(0))
     return (
         F.when(size == 0, "empty")
         .when(size > max_bytes, "too_large")
@@ -60,7 +61,7 @@ def validate_uploads(
         {
             "content_hash": F.sha2("content", 256),
             "text": T.clean_text(parsed),
-            "reject_reason": F.coalesce(reject_reason(parsers, max_bytes), F.when(blank, "no_text")),
+            "reject_reason": F.coalesce(reject_reason(parsers, max_bytes, "length" in uploads.columns), F.when(blank, "no_text")),
         }
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed_values as V
 from ..functions import text as T
 from ..session import ship_package
+from .calls import BATCH, answered
 from ..wording import DEFAULT_WORDING, Wording
 from .assembly import joined, ordered_text
 from .context import POLICY_TEXT, turn_line
@@ -133,34 +134,19 @@ def summary_prompt(text: Column, max_words: int = V.SUMMARY_WORDS, wording: Word
 
 
 def generate(
-    prompts: DataFrame, load: Callable[[], Callable[[list[str]], list[str]]], prompt: str = "prompt"
+    prompts: DataFrame, load: Callable[[], Callable[[list[str]], list[str]]], prompt: str = "prompt", batch: int = BATCH
 ) -> DataFrame:
-    """Adds response_text and generate_error from a user function loaded once per task.
-    Null prompts stay null; a failing prompt gets an error, not a failed job."""
+    """Adds response_text and generate_error from a user function loaded once per task and
+    called with ``batch`` prompts.  Null prompts stay null; a failing prompt gets an error,
+    not a failed job, and is found by halving."""
 
     @F.pandas_udf("response_text string, generate_error string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         writer = load()
-
-        def one(text):
-            if text is None:
-                return None, None
-            try:
-                return writer([text])[0], None
-            except Exception as exc:
-                return None, f"{type(exc).__name__}: {exc}"
-
         for texts in batches:
             values = texts.tolist()
-            asked = [t for t in values if t is not None]
-            try:
-                answers = writer(asked) if asked else []
-                if len(answers) != len(asked):
-                    raise ValueError("generator returned a different number of texts")
-                waiting = iter(answers)
-                rows = [(None if t is None else next(waiting), None) for t in values]
-            except Exception:
-                rows = [one(t) for t in values]
+            waiting = answered(writer, [t for t in values if t is not None], batch)
+            rows = [(None, None) if t is None else next(waiting) for t in values]
             yield pd.DataFrame(rows, columns=["response_text", "generate_error"])
 
     ship_package(prompts.sparkSession)

@@ -11,23 +11,33 @@ BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, cont
 
 
 def upload_columns(files: DataFrame) -> DataFrame:
-    """Name, order and time of each raw file, from the binaryFile layout."""
+    """Name, length, order and time of each raw file, from the binaryFile layout; files of
+    one time are ordered by path."""
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(
         "path",
         name.alias("filename"),
+        "length",
         "content",
         F.col("modificationTime").alias("created_at"),
         F.unix_micros("modificationTime").alias("ingest_order"),
     )
 
 
-def read_uploads(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+def read_uploads(
+    spark: SparkSession, path: str, recursive: bool = True, max_bytes: int = V.DOCUMENT_MAX_BYTES
+) -> DataFrame:
     """Every file below ``path``.  Unknown types are kept: validation names them.  Spark's
     file sources pass over files without a byte; uploads that come as a table keep them
-    and validation rejects them as empty."""
+    and validation rejects them as empty.
+
+    Files are judged by their length first: one beyond ``max_bytes`` comes with null
+    content, from the listing alone; only the others are opened.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    return upload_columns(reader.load(path))
+    fits = reader.load(path).where(F.col("length") <= max_bytes)
+    beyond = reader.load(path).where(F.col("length") > max_bytes).drop("content").withColumn("content", F.lit(None).cast("binary"))
+    return upload_columns(fits.unionByName(beyond))
 
 
 def read_text_uploads(spark: SparkSession, path: str) -> DataFrame:

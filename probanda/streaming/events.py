@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.telemetry import stage_flags, stage_status_of_flags
+from ..operators.telemetry import stage_status_of_flags
 from .sink import batch_sink, use_rocksdb
 
 
@@ -20,15 +24,48 @@ def fan_out(
     return batch_sink(events, checkpoint, branches, trigger=trigger)
 
 
+class StageFlags(StatefulProcessor):
+    """State per trace and stage: what has been seen, forgotten ``keep_ms`` after the last
+    event.  An event that comes later finds nothing and is taken for a new run: it changes
+    the status to what it alone tells."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "failure boolean, stage_end boolean, stage_start boolean", self.keep_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        flags = list(self.seen.get()) if self.seen.exists() else [False] * 3
+        for pdf in rows:
+            kinds = set(pdf["event_type"])
+            flags = [f or kind in kinds for f, kind in zip(flags, FLAGS)]
+        self.seen.update(tuple(flags))
+        yield pd.DataFrame([[*key, *[int(f) for f in flags]]], columns=["trace_id", "stage", *FLAGS])
+
+    def close(self) -> None:
+        pass
+
+
+FLAGS = ["failure", "stage_end", "stage_start"]
+KEEP_SECONDS = 86_400.0
+
+
 def live_stage_status(
-    events: DataFrame, out: str, checkpoint: str, trigger: dict | None = None
+    events: DataFrame, out: str, checkpoint: str, trigger: dict | None = None, keep_seconds: float = KEEP_SECONDS
 ) -> StreamingQuery:
     """Status of every stage seen so far; each micro-batch writes the changed ones.
 
-    State is one small row per trace and stage, on disk.
+    State is one small row per trace and stage, on disk, and ends ``keep_seconds`` after
+    the stage's last event.
     """
     use_rocksdb(events.sparkSession)
-    seen = events.groupBy("trace_id", "stage").agg(*stage_flags())
+    seen = events.groupBy("trace_id", "stage").transformWithStateInPandas(
+        statefulProcessor=StageFlags(int(keep_seconds * 1000)),
+        outputStructType="trace_id string, stage string, " + ", ".join(f"{f} int" for f in FLAGS),
+        outputMode="update",
+        timeMode="ProcessingTime",
+    )
     status = seen.select("trace_id", "stage", stage_status_of_flags().alias("status"))
     return batch_sink(status, checkpoint, lambda batch: {out: batch}, mode="update", trigger=trigger)
 

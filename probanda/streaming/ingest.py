@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.ingest import Parser
-from ..plans.ingest import store_uploads
+from ..plans.ingest import read_committed, store_uploads
 from ..sources.files import BINARY_FILE_SCHEMA, upload_columns
 
 
@@ -37,10 +38,13 @@ def ingest_stream(
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Store each micro-batch as a batch of its own: documents, concepts, edges, chunks,
-    rejected and bus_events below ``out``."""
+    rejected and bus_events below ``out``.  Batches are named by the stream's checkpoint and
+    their number, so streams that share ``out`` do not replace each other's; read the
+    tables with ``read_committed``."""
+    stream = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:12]
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        store_uploads(batch, out, batch_id, parsers, embed)
+        store_uploads(batch, out, f"{stream}.{batch_id}", parsers, embed)
 
     writer = uploads.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -26,7 +26,11 @@ def batch_sink(
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Start a query that sends each micro-batch through ``branches`` (output path to
-    rows) and writes every branch to the batch's own folder."""
+    rows) and writes every branch to the batch's own folder.
+
+    A run that ends when nothing new is there makes no batch without data: streams with
+    timers would ask for one after another.  Their timers fire in the next run.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         kept = batch.persist()
@@ -37,7 +41,15 @@ def batch_sink(
             kept.unpersist()
 
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+    trigger = trigger or {"availableNow": True}
+    conf, setting = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(setting)
+    if trigger.get("availableNow") or trigger.get("once"):
+        conf.set(setting, "false")
+    try:
+        return writer.trigger(**trigger).start()  # the query keeps the settings it starts with
+    finally:
+        conf.set(setting, before)
 
 
 def read_batches(spark: SparkSession, path: str, keep_batch: bool = False) -> DataFrame:

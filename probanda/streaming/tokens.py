@@ -13,51 +13,93 @@ from ..operators.validate import delivered_chat, verdicts
 from .sink import batch_sink, use_rocksdb
 
 TOKENS = "turn_id string, seq long, text string, is_last boolean"
+PATIENCE_SECONDS = 3600.0
 
 
 class TokenAssembler(StatefulProcessor):
-    """State per unfinished turn: its pieces so far.  A turn is finished when its last
-    piece and every one before it have arrived, in whatever order."""
+    """State per unfinished turn: a map of its pieces, to which only new ones are written,
+    and how many there are.  A turn is finished when its last piece and every one before it
+    have arrived, in whatever order; a turn to which nothing was added for ``patience_ms``
+    is closed unfinished.  What comes for a closed turn within that time is passed over."""
+
+    def __init__(self, patience_ms: int):
+        self.patience_ms = patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pieces = handle.getListState("pieces", "seq long, text string, is_last boolean")
+        self.handle = handle
+        self.pieces = handle.getMapState("pieces", "seq long", "text string")
+        self.progress = handle.getValueState("progress", "n long, last long, timer long")
+        self.closed = handle.getValueState("closed", "finished boolean", self.patience_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        have = {r[0]: (r[1], r[2]) for r in self.pieces.get()}
+        if self.closed.exists():
+            return
+        n, last, timer = self.progress.get() if self.progress.exists() else (0, -1, 0)
+        fresh: dict[int, str] = {}
         for pdf in rows:
             for seq, text, is_last in zip(pdf["seq"].tolist(), pdf["text"].tolist(), pdf["is_last"].tolist()):
-                have[seq] = (text, bool(is_last))
-        last = next((seq for seq, (_, is_last) in have.items() if is_last), None)
-        if last is None or any(seq not in have for seq in range(last + 1)):
-            self.pieces.put([(seq, text, is_last) for seq, (text, is_last) in have.items()])
+                if seq not in fresh and not (n and self.pieces.containsKey((seq,))):
+                    fresh[seq] = text
+                last = seq if is_last else last
+        if last >= 0 and n + len(fresh) > last:
+            yield self.close_turn(key, fresh, last, timer)
             return
+        for seq, text in fresh.items():
+            self.pieces.updateValue((seq,), (text,))
+        if timer:
+            self.handle.deleteTimer(timer)
+        timer = timerValues.getCurrentProcessingTimeInMs() + self.patience_ms
+        self.handle.registerTimer(timer)
+        self.progress.update((n + len(fresh), last, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self.close_turn(key, {}, None, 0)
+
+    def close_turn(self, key, fresh: dict[int, str], last: int | None, timer: int) -> pd.DataFrame:
+        """The whole text; of an unfinished turn what came without a gap."""
+        have = {k[0]: v[0] for k, v in self.pieces.iterator()} | fresh
+        end = last + 1 if last is not None else next(i for i in range(len(have) + 1) if i not in have)
+        if timer:
+            self.handle.deleteTimer(timer)
         self.pieces.clear()
-        whole = "".join(have[seq][0] for seq in range(last + 1))
-        yield pd.DataFrame({"turn_id": [key[0]], "response_text": [whole]})
+        self.progress.clear()
+        self.closed.update((last is not None,))
+        text = "".join(have[seq] for seq in range(end))
+        return pd.DataFrame({"turn_id": [key[0]], "response_text": [text], "finished": [last is not None]})
 
     def close(self) -> None:
         pass
 
 
-def assemble_tokens(tokens: DataFrame) -> DataFrame:
-    """tokens(turn_id, seq, text, is_last), seq from 0, to (turn_id, response_text)."""
+def assemble_tokens(tokens: DataFrame, patience_seconds: float = PATIENCE_SECONDS) -> DataFrame:
+    """tokens(turn_id, seq, text, is_last), seq from 0, to (turn_id, response_text,
+    finished)."""
     use_rocksdb(tokens.sparkSession)
     return tokens.groupBy("turn_id").transformWithStateInPandas(
-        statefulProcessor=TokenAssembler(),
-        outputStructType="turn_id string, response_text string",
+        statefulProcessor=TokenAssembler(int(patience_seconds * 1000)),
+        outputStructType="turn_id string, response_text string, finished boolean",
         outputMode="append",
-        timeMode="None",
+        timeMode="ProcessingTime",
     )
 
 
 def deliver_streamed(
-    responses: DataFrame, reasons: DataFrame, out: str, checkpoint: str, trigger: dict | None = None
+    responses: DataFrame,
+    reasons: DataFrame,
+    out: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    unfinished: str | None = None,
 ) -> StreamingQuery:
     """Check each finished response against its evidence and write the verdict.  Text
-    that failed was already shown; it is marked undelivered, not taken back."""
+    that failed was already shown; it is marked undelivered, not taken back.  Turns closed
+    unfinished are written to ``unfinished`` where that is given."""
 
     def branches(batch: DataFrame) -> dict[str, DataFrame]:
-        checked = verdicts(batch.withColumnRenamed("turn_id", "query_id"), reasons)
-        return {out: delivered_chat(checked)}
+        whole = batch.where("finished").drop("finished")
+        written = {out: delivered_chat(verdicts(whole.withColumnRenamed("turn_id", "query_id"), reasons))}
+        if unfinished:
+            written[unfinished] = batch.where("not finished").drop("finished")
+        return written
 
     return batch_sink(responses, checkpoint, branches, trigger=trigger)
