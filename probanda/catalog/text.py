@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import fixed_values as V
 from ..functions import intent as I
 from ..functions import text as T
-from ..operators import admit, embed, ingest, prompts, reason, sessions
+from ..operators import admit, embed, ingest, postings, prompts, reason, sessions
+from ..session import shared_dir
 from . import sql as S
 from .inputs import Inputs
 from .registry import query
@@ -101,6 +102,23 @@ def keyword_score(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "keyword_top_k",
+    "B7",
+    f"SELECT query_id, rank, doc_id, {S.six('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM "
+    f"(SELECT CAST(b.item_id AS VARCHAR) AS query_id, d.doc_id, len(list_intersect(b.q, d.c)) / len(b.q) AS score FROM (SELECT item_id, {S.tokens('text')} AS q FROM benchmark) b, "
+    f"(SELECT doc_id, {S.tokens('text')} AS c FROM documents) d) WHERE score > 0) WHERE rank <= 10",
+)
+def keyword_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    """Over a stored inverted index of all documents."""
+    i = Inputs(spark, sf)
+    texts = i.documents_raw.select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("tokens"))
+    index = postings.store_postings(texts, shared_dir(spark, "postings"))
+    asked = i.table("benchmark").select(F.col("item_id").cast("string").alias("query_id"), T.tokens(F.col("text")).alias("tokens"))
+    found = postings.keyword_top_k(asked, index, 10)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias("doc_id"), T.six(F.col("score")).alias("score"))
+
+
 @query(
     "sanitize_text",
     "B8",
