@@ -111,7 +111,7 @@ def test_exact_quantiles(spark):
     for _ in range(3000):
         values[key_of(rng)].append(rng.choice([1.5, rng.uniform(-5, 300), 7.0]))
     df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v double")
-    got = telemetry.exact_quantiles(df, ["k"], "v", {"p10": 0.1, "p50": 0.5, "p99": 0.99, "p100": 1.0}, bin_width=3.0).collect()
+    got = telemetry.exact_quantiles(df, ["k"], "v", {"p10": 0.1, "p50": 0.5, "p99": 0.99, "p100": 1.0}, bins=9).collect()
     for r in got:
         vs = sorted(values[r["k"]])
         for name, q in {"p10": 0.1, "p50": 0.5, "p99": 0.99, "p100": 1.0}.items():
@@ -119,6 +119,19 @@ def test_exact_quantiles(spark):
             assert r[name] == vs[at], (r["k"], name)
 
 
+def test_quantiles_of_values_that_lie_close(spark):
+    """100,000 distinct values between 0 and 1, one of them a third of all rows: no bin
+    holds many of the distinct ones, and the answer is exact."""
+    n = 100_000
+    df = spark.range(150_000).selectExpr("'k' as k", f"case when id < {n} then id / {n}D else 0.25D end as v")
+    counts = df.groupBy("k", F.col("v").alias("_v")).agg(F.count("*").alias("_n"))
+    sizes = [r["count"] for r in telemetry.binned(counts, ["k"], 64).groupBy("_bin").count().collect()]
+    assert len(sizes) >= 32 and max(sizes) <= 4 * n // 64
+    values = sorted([i / n for i in range(n)] + [0.25] * 50_000)
+    got = telemetry.exact_quantiles(df, ["k"], "v", {"p50": 0.5, "p95": 0.95}).collect()
+    assert [(r["p50"], r["p95"]) for r in got] == [(values[74_999], values[142_499])]
+
+
 def test_durations_are_paired_across_spans(spark):
     rng = random.Random(2)
     base, rows = datetime(2024, 1, 1), []
