@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship_package
+from .embed import require_one_dimension
 
 GROUP = 256
 BUFFER = 4096  # chunks clustered together inside a task
@@ -51,7 +52,9 @@ def open_index(spark: SparkSession, path: str, chunks: DataFrame) -> ChunkIndex:
 
 def store_index(chunks: DataFrame, path: str) -> ChunkIndex:
     """Write the groups of ``chunks(chunk_id, document_id, ingest_order, chunk_index,
-    concept_id, [document_title,] chunk_text, tokens, embedding)``."""
+    concept_id, [document_title,] chunk_text, tokens, embedding)``.  A table with vectors of
+    several lengths is refused: no query could be compared with all of them."""
+    require_one_dimension(chunks.where("embedding is not null"))
     groups = side_by_side(searchable(chunks)).mapInArrow(group_task, SCHEMA)
     groups.write.mode("overwrite").option("parquet.block.size", str(16 << 20)).parquet(path)
     return open_index(chunks.sparkSession, path, chunks)

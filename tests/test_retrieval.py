@@ -153,6 +153,12 @@ def test_far_groups_are_passed_over(spark, monkeypatch):
     assert found(index) == wanted and found(table) == wanted
 
 
+def test_an_index_has_one_dimension(spark):
+    rows = [(f"c{i}", "A", i, 0, None, "x", [1.0] * (2 + i // 3)) for i in range(4)]
+    with pytest.raises(ValueError, match="several dimensions"):
+        chunk_index.store_index(chunk_table(spark, rows), shared_dir(spark, "mixed"))
+
+
 def test_bounds_hold(spark):
     """No member of a group scores above its bound, zero vectors and queries included."""
     rng = np.random.default_rng(8)
