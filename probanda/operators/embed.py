@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship_package
 from .calls import BATCH, answered
@@ -55,6 +55,33 @@ def embed_new(df: DataFrame, text: str, store: DataFrame, load: Callable[[], Emb
     return hashed.join(known.unionByName(fresh), "text_hash", "left")
 
 
+STORE = "text_hash string, embedding array<double>, batch string"
+
+
+def open_store(spark: SparkSession, path: str) -> DataFrame:
+    """The vectors stored below ``path``; a store that is not there yet is begun."""
+    spark.createDataFrame([], "text_hash string, embedding array<double>").write.mode("overwrite").parquet(f"{path}/batch=none")
+    return spark.read.schema(STORE).parquet(path)
+
+
+def embed_into(df: DataFrame, text: str, path: str, batch: str, load: Callable[[], Embedder]) -> DataFrame:
+    """Embed the texts that the store below ``path`` lacks, append their vectors as a batch
+    of its own, and return ``df`` with text_hash and embedding, read from the store.
+
+    A batch run again replaces itself and looks for its texts in the other batches only, so
+    a run that was broken off leaves nothing behind.  Failed texts are not stored: they
+    have a null vector now and are tried again by a later batch.
+    """
+    spark = df.sparkSession
+    hashed = df.withColumn("text_hash", F.sha2(F.col(text), 256))
+    others = open_store(spark, path).where(F.col("batch") != batch)
+    wanted = hashed.where(F.col(text).isNotNull()).groupBy("text_hash").agg(F.first(text).alias("_text"))
+    fresh = embed(wanted.join(others, "text_hash", "left_anti"), "_text", load)
+    fresh.where("embedding is not null").select("text_hash", "embedding").write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    known = open_store(spark, path).dropDuplicates(["text_hash"]).drop("batch")
+    return hashed.join(known, "text_hash", "left").select(*df.columns, "text_hash", "embedding")
+
+
 def dimension_report(chunks: DataFrame) -> DataFrame:
     """Vectors per dimension; more than one row means the store is mixed."""
     return chunks.groupBy(F.size("embedding").alias("dimension")).agg(F.count("*").alias("vectors"))
