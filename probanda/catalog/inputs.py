@@ -118,11 +118,16 @@ class Inputs:
         return Knowledge(self.chunks, self.concepts, self.edges, self.projects)
 
     # --- queries ---------------------------------------------------------------
-    def _queries(self, text: Column) -> DataFrame:
-        items = self.table("benchmark").join(self.vectors, F.col("item_id") == F.col("vec_id"))
+    def _queries(self, text: Column, bare: Column | None = None) -> DataFrame:
+        """Every item; with ``bare``, once more with that text, under a negative id."""
+        given = self.table("benchmark").select("item_id", text.alias("text"), F.col("item_id").alias("vec_id"))
+        if bare is not None:
+            again = self.table("benchmark").select((-1 - F.col("item_id")).alias("item_id"), bare.alias("text"), F.col("item_id").alias("vec_id"))
+            given = given.unionByName(again)
+        items = given.join(self.vectors, "vec_id")
         return items.select(
             F.col("item_id").cast("string").alias("query_id"),
-            text.alias("query"),
+            F.col("text").alias("query"),
             "embedding",
             F.col("item_id").cast("string").alias("session_id"),
             F.concat(F.lit("src"), F.col("item_id") % 20).alias("project_id"),
@@ -138,18 +143,17 @@ class Inputs:
 
     @cached_property
     def asked(self) -> DataFrame:
-        """The same items as utterances of every kind."""
+        """The same items as utterances of many kinds, and one too short to answer for each."""
         t = F.col("text")
         kind = F.col("item_id") % 8
         return self._queries(
             F.when(kind == 1, F.concat(t, F.lit("?")))
             .when(kind == 2, F.concat(F.lit("Why "), t))
             .when(kind == 3, F.concat(t, F.lit(" and "), t))
-            .when(kind == 4, F.lit("it"))
-            .when(kind == 5, F.lit("   "))
             .when(kind == 6, F.concat(F.lit("create "), t))
             .when(kind == 7, F.concat(F.lit("How "), t, F.lit(" compared to  "), t))
-            .otherwise(t)
+            .otherwise(t),
+            F.when(F.col("item_id") % 2 == 0, F.lit("it")).otherwise(F.lit("   ")),
         )
 
     @cached_property

@@ -181,21 +181,30 @@ def resolve_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _interactions(i: Inputs) -> DataFrame:
+    """Every document, and once more under a negative id, some of those without content."""
     n = F.col("doc_id")
     tiers = F.array(*[F.lit(t) for t in [*memory.TIERS, "archive"]])
-    return i.documents_raw.select(
-        n.alias("interaction_id"),
-        F.when(n % 11 == 0, "").when(n % 11 == 1, "  \n ").when(n % 11 == 2, None).otherwise(F.concat(F.lit(" "), "text", F.lit("\n"))).alias("content"),
-        F.get(tiers, (n % 9).cast("int")).alias("tier"),
+    given = i.documents_raw.select(
+        n.alias("interaction_id"), F.concat(F.lit(" "), "text", F.lit("\n")).alias("content"), F.get(tiers, (n % 9).cast("int")).alias("tier"), "source"
+    )
+    odd = i.documents_raw.select(
+        (-1 - n).alias("interaction_id"), F.when(n % 11 == 0, "").when(n % 11 == 1, "  \n ").when(n % 11 > 2, F.col("text")).alias("content"),
+        F.get(tiers, (n % 9).cast("int")).alias("tier"), "source",
+    )
+    return given.unionByName(odd).select(
+        "interaction_id",
+        "content",
+        "tier",
         F.col("source").alias("scope_id"),
         F.lit(None).cast("string").alias("metadata"),
-        F.timestamp_seconds(n).alias("created_at"),
+        F.timestamp_seconds("interaction_id").alias("created_at"),
     )
 
 
 _TIERS = "[" + ", ".join(f"'{t}'" for t in [*memory.TIERS, "archive"]) + "]"
 _MEMORY = (
-    f"SELECT doc_id, source, coalesce({_TIERS}[doc_id % 9 + 1], 'working') AS tier, CASE doc_id % 11 WHEN 0 THEN '' WHEN 1 THEN '  ' || chr(10) WHEN 2 THEN NULL ELSE ' ' || text || chr(10) END AS content FROM documents"
+    f"SELECT doc_id, doc_id % 9 AS nth, source, coalesce({_TIERS}[doc_id % 9 + 1], 'working') AS tier, ' ' || text || chr(10) AS content FROM documents UNION ALL "
+    f"SELECT -1 - doc_id, doc_id % 9, source, coalesce({_TIERS}[doc_id % 9 + 1], 'working'), CASE doc_id % 11 WHEN 0 THEN '' WHEN 1 THEN '  ' || chr(10) WHEN 2 THEN NULL ELSE text END FROM documents"
 )
 
 
@@ -203,7 +212,7 @@ _MEMORY = (
     "remember",
     "M4",
     f"SELECT sha256('memory|' || doc_id) AS id, tier, source AS scope_id, sha256({S.strip('content')}) AS content_hash, NULL::VARCHAR AS reject_reason FROM ({_MEMORY}) WHERE content <> '' AND tier <> 'archive' "
-    f"UNION ALL SELECT CAST(doc_id AS VARCHAR), CASE WHEN doc_id % 9 < 8 THEN tier END, NULL, NULL, CASE WHEN coalesce(content, '') = '' THEN 'empty_content' ELSE 'unknown_tier' END FROM ({_MEMORY}) WHERE coalesce(content, '') = '' OR tier = 'archive' "
+    f"UNION ALL SELECT CAST(doc_id AS VARCHAR), CASE WHEN nth < 8 THEN tier END, NULL, NULL, CASE WHEN coalesce(content, '') = '' THEN 'empty_content' ELSE 'unknown_tier' END FROM ({_MEMORY}) WHERE coalesce(content, '') = '' OR tier = 'archive' "
     f"UNION ALL SELECT 'MemoryUpdated', tier, CAST(count(*) AS VARCHAR), NULL, NULL FROM ({_MEMORY}) WHERE content <> '' AND tier <> 'archive' GROUP BY tier",
 )
 def remember(spark: SparkSession, sf: str) -> DataFrame:

@@ -214,26 +214,31 @@ def conversation_history(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _entities(i: Inputs) -> DataFrame:
+    tables = (("concept", i.concepts), ("document", i.documents), ("project", i.projects))
+    concepts, documents, projects = (t.select(F.lit(kind).alias("entity_type"), F.col("id").alias("entity_id")) for kind, t in tables)
+    return concepts.unionByName(documents).unionByName(projects).distinct()
+
+
 @query(
     "edges_of_entities",
     "E9",
     S.with_(
         "edges",
-        "SELECT e.entity_type, e.entity_id, g.id, g.rel FROM (SELECT 'concept' AS entity_type, concept_id AS entity_id FROM docs WHERE doc_id % 5 = 0 UNION ALL "
-        "SELECT 'document', document_id FROM docs WHERE doc_id % 5 = 1 UNION ALL SELECT DISTINCT 'project', source FROM documents) e "
-        "JOIN edges g ON (g.st = e.entity_type AND g.sid = e.entity_id) OR (g.tt = e.entity_type AND g.tid = e.entity_id)",
+        "SELECT e.kind AS entity_type, e.entity_id, count(*) AS edges, count(DISTINCT g.rel) AS kinds, count(*) FILTER (g.entering) AS entering FROM ("
+        "SELECT DISTINCT 'concept' AS kind, concept_id AS entity_id FROM docs UNION ALL SELECT DISTINCT 'document', document_id FROM docs UNION ALL SELECT DISTINCT 'project', source FROM documents) e "
+        "JOIN (SELECT st AS kind, sid AS entity_id, rel, st = tt AND sid = tid AS entering FROM edges UNION ALL "
+        "SELECT tt, tid, rel, true FROM edges WHERE NOT (st = tt AND sid = tid)) g USING (kind, entity_id) GROUP BY 1, 2",
     ),
 )
 def edges_of_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """How many edges each concept, document and project has, of how many kinds."""
     i = Inputs(spark, sf)
-    number = F.unix_seconds("created_at")
-    kinds = [
-        i.concepts.where(number % 5 == 0).select(F.lit("concept").alias("entity_type"), F.col("id").alias("entity_id")),
-        i.documents.where(number % 5 == 1).select(F.lit("document").alias("entity_type"), F.col("id").alias("entity_id")),
-        i.projects.select(F.lit("project").alias("entity_type"), F.col("id").alias("entity_id")),
-    ]
-    found = graph.edges_of(kinds[0].unionByName(kinds[1]).unionByName(kinds[2]), i.edges)
-    return found.select("entity_type", "entity_id", "id", F.col("relationship_type").alias("rel"))
+    found = graph.edges_of(_entities(i), i.edges)
+    enters = (F.col("target_type") == F.col("entity_type")) & (F.col("target_id") == F.col("entity_id"))
+    return found.groupBy("entity_type", "entity_id").agg(
+        F.count("*").alias("edges"), F.count_distinct("relationship_type").alias("kinds"), F.count_if(enters).alias("entering")
+    )
 
 
 @query(
@@ -248,9 +253,7 @@ def edges_of_entities(spark: SparkSession, sf: str) -> DataFrame:
 )
 def edges_of_every_entity(spark: SparkSession, sf: str) -> DataFrame:
     i = Inputs(spark, sf)
-    tables = (("concept", i.concepts), ("document", i.documents), ("project", i.projects))
-    concepts, documents, projects = (t.select(F.lit(kind).alias("entity_type"), F.col("id").alias("entity_id")) for kind, t in tables)
-    found = graph.edges_of(concepts.unionByName(documents).unionByName(projects).distinct(), i.edges)
+    found = graph.edges_of(_entities(i), i.edges)
     return found.select("entity_type", "entity_id", "id", F.col("relationship_type").alias("rel"))
 
 

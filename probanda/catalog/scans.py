@@ -33,21 +33,26 @@ def content_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _odd_uploads(i: Inputs) -> DataFrame:
+    """Every document as it is, and an odd upload of each under a negative id."""
     n = F.col("doc_id")
     extension = F.when(n % 7 == 1, ".pdf").when(n % 7 == 2, ".MD").when(n % 7 == 3, ".Txt").otherwise(".txt")
     content = F.when(n % 7 == 0, F.lit("")).when(n % 7 == 4, F.lit(" \t\r\n  ")).otherwise(F.col("text"))
-    return i.documents_raw.select(
-        n.alias("doc_id"),
-        F.concat("source", F.lit("/"), n, extension).alias("path"),
-        F.concat(n, extension).alias("filename"),
-        F.encode(content, "utf-8").alias("content"),
-        F.timestamp_seconds(n).alias("created_at"),
-        n.alias("ingest_order"),
+    odd = i.documents_raw.select((-1 - n).alias("doc_id"), "source", extension.alias("extension"), content.alias("body"))
+    given = i.documents_raw.select("doc_id", "source", F.lit(".txt").alias("extension"), F.col("text").alias("body"))
+    name = F.concat("doc_id", "extension")
+    return given.unionByName(odd).select(
+        "doc_id",
+        F.concat("source", F.lit("/"), name).alias("path"),
+        name.alias("filename"),
+        F.encode("body", "utf-8").alias("content"),
+        F.timestamp_seconds("doc_id").alias("created_at"),
+        F.col("doc_id").alias("ingest_order"),
     )
 
 
 _ODD = (
-    "SELECT doc_id, CASE doc_id % 7 WHEN 1 THEN '.pdf' WHEN 2 THEN '.MD' WHEN 3 THEN '.Txt' ELSE '.txt' END AS ext, "
+    "SELECT doc_id, source, '.txt' AS ext, text AS body FROM documents UNION ALL "
+    "SELECT -1 - doc_id, source, CASE doc_id % 7 WHEN 1 THEN '.pdf' WHEN 2 THEN '.MD' WHEN 3 THEN '.Txt' ELSE '.txt' END AS ext, "
     "CASE doc_id % 7 WHEN 0 THEN '' WHEN 4 THEN ' ' || chr(9) || chr(13) || chr(10) || ' ' || chr(8195) ELSE text END AS body FROM documents"
 )
 
@@ -67,8 +72,8 @@ def validate_uploads(spark: SparkSession, sf: str) -> DataFrame:
     "quarantined_uploads",
     "B1 B2 A1",
     "SELECT source_name, reject_reason, count(*) AS uploads FROM (SELECT split_part(path, '/', 1) AS source_name, CASE WHEN body = '' THEN 'empty' "
-    "WHEN ext = '.pdf' THEN 'unsupported_type' ELSE 'no_text' END AS reject_reason FROM (SELECT o.*, d.source || '/' AS path "
-    f"FROM ({_ODD}) o JOIN documents d USING (doc_id)) WHERE body = '' OR ext = '.pdf' OR {S.clean('body')} = '') GROUP BY 1, 2",
+    "WHEN ext = '.pdf' THEN 'unsupported_type' ELSE 'no_text' END AS reject_reason FROM (SELECT *, source || '/' AS path "
+    f"FROM ({_ODD})) WHERE body = '' OR ext = '.pdf' OR {S.clean('body')} = '') GROUP BY 1, 2",
 )
 def quarantined_uploads(spark: SparkSession, sf: str) -> DataFrame:
     rejected = ingest.ingest(_odd_uploads(Inputs(spark, sf))).rejected
@@ -167,6 +172,62 @@ def decode_json(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("event_id", "props.k")
 
 
+@query(
+    "decode_chunk_rows",
+    "A4",
+    "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dimension, list_min(embedding) AS lowest, list_max(embedding) AS highest, label AS concept_id, vec_id % 9 AS chunk_index, NULL::VARCHAR AS problem "
+    "FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding, CAST(label AS VARCHAR) AS label FROM embeddings) "
+    "UNION ALL SELECT -1 - vec_id, NULL, NULL, NULL, NULL, NULL, CASE WHEN vec_id % 6 IN (4, 5) THEN 'metadata' ELSE 'embedding' END FROM embeddings",
+)
+def decode_chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector as a stored row of JSON texts, and once more with one of its texts broken."""
+    n, none = F.col("vec_id"), F.lit(None).cast("string")
+    fields = F.struct((n % 9).cast("int").alias("chunk_index"), F.col("label").cast("string").alias("concept_id"), F.lit("local").alias("source_type"))
+    given = Inputs(spark, sf).vectors.select("vec_id", F.to_json("embedding").alias("embedding"), F.to_json(fields).alias("metadata"))
+    text, kind = F.col("embedding"), n % 6
+    broken = given.select(
+        (-1 - n).alias("vec_id"),
+        F.when(kind == 0, none).when(kind == 1, F.substring(text, 1, 20)).when(kind == 2, F.replace(text, F.lit("]"), F.lit(',"x"]')))
+        .when(kind == 3, F.concat(text, F.lit(" more"))).otherwise(text).alias("embedding"),
+        F.when(kind == 4, F.lit("{chunk")).when(kind == 5, F.lit('{"chunk_index": "first"}')).otherwise(F.col("metadata")).alias("metadata"),
+    )
+    decoded, malformed = files.decode_chunk_rows(given.unionByName(broken))
+    read = decoded.select(
+        "vec_id", F.size("embedding").cast("long").alias("dimension"), F.array_min("embedding").alias("lowest"), F.array_max("embedding").alias("highest"),
+        "metadata.concept_id", F.col("metadata.chunk_index").cast("long").alias("chunk_index"), none.alias("problem"),
+    )
+    return read.unionByName(malformed.select("vec_id", "problem"), allowMissingColumns=True)
+
+
+FILE_MAX_BYTES = 50_000
+BUNDLE = 20  # consecutive doc_ids to a file
+_FILES = (
+    f"SELECT doc_id // {BUNDLE} AS bundle, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id, text) AS body FROM documents GROUP BY 1"
+)
+
+
+@query(
+    "upload_files",
+    "A1 A9 B1",
+    f"SELECT bundle, CAST(strlen(body) AS BIGINT) AS length, CASE WHEN strlen(body) <= {FILE_MAX_BYTES} THEN sha256(body) END AS content_hash, "
+    f"CASE WHEN strlen(body) <= {FILE_MAX_BYTES} THEN sha256({S.clean('body')}) END AS text_hash, "
+    f"CASE WHEN strlen(body) > {FILE_MAX_BYTES} THEN 'too_large' WHEN {S.clean('body')} = '' THEN 'no_text' END AS reject_reason FROM ({_FILES})",
+)
+def upload_files(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as text files of twenty consecutive ids each, read as uploads; files
+    beyond the limit are refused by their length and not opened."""
+    folder = shared_dir(spark, "uploads")
+    docs = Inputs(spark, sf).documents_raw.select(F.floor(F.col("doc_id") / BUNDLE).alias("bundle"), "doc_id", "text")
+    lines = docs.repartition("bundle").sortWithinPartitions("bundle", "doc_id", "text")
+    lines.select("bundle", "text").write.partitionBy("bundle").text(folder)
+    uploads = files.read_uploads(spark, folder, max_bytes=FILE_MAX_BYTES)
+    checked = ingest.validate_uploads(uploads, max_bytes=FILE_MAX_BYTES)
+    return checked.select(
+        F.regexp_extract("path", "bundle=([0-9]+)/", 1).cast("long").alias("bundle"),
+        "length", "content_hash", F.sha2("text", 256).alias("text_hash"), "reject_reason",
+    )
+
+
 @query(
     "integrity_report",
     "A6",

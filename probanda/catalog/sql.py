@@ -75,7 +75,7 @@ def chunks_of(source: str, keys: str, text: str, size: int = V.CHUNK_SIZE, overl
 
 _ASKED = (
     "CASE item_id % 8 WHEN 1 THEN text || '?' WHEN 2 THEN 'Why ' || text WHEN 3 THEN text || ' and ' || text "
-    "WHEN 4 THEN 'it' WHEN 5 THEN '   ' WHEN 6 THEN 'create ' || text "
+    "WHEN 6 THEN 'create ' || text "
     "WHEN 7 THEN 'How ' || text || ' compared to  ' || text ELSE text END"
 )
 
@@ -107,9 +107,10 @@ FRAGMENTS: dict[str, tuple[list[str], str]] = {
     "asked": (
         ["vecs"],
         f"SELECT *, {tokens(norm('query'))} AS qtok, {words('query')} AS ws, lower({strip('query')}) AS low, "
-        f"{strip('query')} AS message FROM (SELECT item_id, CAST(item_id AS VARCHAR) AS query_id, {_ASKED} AS query, v.embedding, "
+        f"{strip('query')} AS message FROM (SELECT item_id, CAST(item_id AS VARCHAR) AS query_id, query, v.embedding, "
         "item_id % 3 = 0 AS use_web, 'src' || (item_id % 20) AS project_id "
-        "FROM benchmark b JOIN vecs v ON v.vec_id = b.item_id)",
+        f"FROM (SELECT item_id, item_id AS own, {_ASKED} AS query FROM benchmark UNION ALL "
+        "SELECT -1 - item_id, item_id, CASE WHEN item_id % 2 = 0 THEN 'it' ELSE '   ' END FROM benchmark) b JOIN vecs v ON v.vec_id = b.own)",
     ),
     "web": (
         [],

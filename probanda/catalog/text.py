@@ -243,17 +243,20 @@ OPENINGS = ["", "What ", "it ", "island ", "please explain why ", "Delete ", "do
 
 
 def _utterances(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversation turns with varied openings, some cut to a word or two, some asked."""
+    """Every turn as it is; and with varied openings, some cut to a word or two, some asked,
+    under negative conversation numbers."""
     rows = Inputs(spark, sf).table("conversations")
     n = F.col("conv_id") + F.col("turn")
     opening = F.get(F.array(*[F.lit(o) for o in OPENINGS]), (n % 9).cast("int"))
     body = F.when(n % 4 == 0, F.substring_index("text", " ", 1)).when(n % 4 == 1, F.lit("")).otherwise(F.col("text"))
     mark = F.when(n % 5 == 0, F.lit("?  ")).otherwise(F.lit(" "))
-    return rows.select("conv_id", "turn", F.concat(opening, body, mark).alias("query"))
+    varied = rows.select((-1 - F.col("conv_id")).alias("conv_id"), "turn", F.concat(opening, body, mark).alias("query"))
+    return rows.select("conv_id", "turn", F.col("text").alias("query")).unionByName(varied)
 
 
 _UTTER = (
-    "SELECT conv_id, turn, [" + ", ".join(S.quoted(o) for o in OPENINGS) + "][(conv_id + turn) % 9 + 1] || "
+    "SELECT conv_id, turn, text AS query FROM conversations UNION ALL "
+    "SELECT -1 - conv_id, turn, [" + ", ".join(S.quoted(o) for o in OPENINGS) + "][(conv_id + turn) % 9 + 1] || "
     "CASE WHEN (conv_id + turn) % 4 = 0 THEN split_part(text, ' ', 1) WHEN (conv_id + turn) % 4 = 1 THEN '' ELSE text END || "
     "CASE WHEN (conv_id + turn) % 5 = 0 THEN '? ' || chr(160) ELSE ' ' END AS query FROM conversations"
 )

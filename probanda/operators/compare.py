@@ -24,24 +24,41 @@ def source_tokens(retrieved: DataFrame) -> DataFrame:
     )
 
 
+def _pairs(sources: Column) -> Column:
+    """Every source with each later one: positions, names and token counts, no tokens."""
+
+    def with_later(a: Column, i: Column) -> Column:
+        later = F.slice(sources, i + 2, F.size(sources))
+        return F.transform(
+            later,
+            lambda b, step: F.struct(
+                (i + 1).alias("position_a"),
+                (i + step + 2).alias("position_b"),
+                a["source"].alias("source_a"),
+                b["source"].alias("source_b"),
+                F.size(a["tokens"]).alias("n_a"),
+                F.size(b["tokens"]).alias("n_b"),
+                F.size(F.array_intersect(a["tokens"], b["tokens"])).alias("shared"),
+            ),
+        )
+
+    return F.flatten(F.transform(sources, with_later))
+
+
 def compare_sources(retrieved: DataFrame) -> DataFrame:
     """Jaccard overlap of every pair of sources of a query, in order of appearance."""
     ordered = source_tokens(retrieved).groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("first_rank", "source", "tokens"))).alias("sources")
     )
-    first = ordered.select("query_id", "sources", F.posexplode("sources").alias("i", "a"))
-    pairs = first.select(
-        "query_id", "i", "a", F.posexplode(F.slice("sources", F.col("i") + 2, F.size("sources"))).alias("step", "b")
-    )
-    shared = F.size(F.array_intersect("a.tokens", "b.tokens"))
-    union = F.size("a.tokens") + F.size("b.tokens") - shared
-    overlap = F.when(union > 0, shared / union).otherwise(F.lit(0.0))
+    pairs = ordered.select("query_id", F.inline(_pairs(F.col("sources"))))
+    union = F.col("n_a") + F.col("n_b") - F.col("shared")
+    overlap = F.when(union > 0, F.col("shared") / union).otherwise(F.lit(0.0))
     return pairs.select(
         "query_id",
-        (F.col("i") + 1).alias("position_a"),
-        (F.col("i") + F.col("step") + 2).alias("position_b"),
-        F.col("a.source").alias("source_a"),
-        F.col("b.source").alias("source_b"),
+        "position_a",
+        "position_b",
+        "source_a",
+        "source_b",
         T.six(overlap).alias("overlap_ratio"),
         F.when(overlap >= V.AGREEMENT_THRESHOLD, "agreement").otherwise("divergence").alias("relation"),
     )

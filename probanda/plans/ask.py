@@ -13,6 +13,7 @@ from ..functions import intent as I
 from ..operators import compare, context, graph, prompts, reason, retrieve, sessions, validate
 from ..operators.admit import admit
 from ..operators.ledger import Ledger, record_turns
+from ..sources.files import write_audit, write_table
 from ..wording import DEFAULT_WORDING, Wording
 
 
@@ -100,18 +101,31 @@ def prompts_for(
 def respond(
     evidence: Evidence,
     load: Callable[[], Callable[[list[str]], list[str]]],
+    store: str,
     history: DataFrame | None = None,
     wording: Wording = DEFAULT_WORDING,
-) -> DataFrame:
-    """responses(query_id, response_text, generate_error) from a user function."""
-    return prompts.generate(prompts_for(evidence, history, wording), load).drop("prompt")
+) -> tuple[DataFrame, DataFrame]:
+    """(responses, audit): responses(query_id, response_text, generate_error) from a user
+    function, and an event for each retrieved text whose injections the prompt leaves out.
+
+    Both are written below ``store``, replacing what an earlier try left, and read back, so
+    no later table calls the function again.
+    """
+    spark = evidence.all_queries.sparkSession
+    made = prompts.generate(prompts_for(evidence, history, wording), load).drop("prompt")
+    write_table(made, f"{store}/responses", "overwrite")
+    found = prompts.injection_audit(evidence.retrieved, "chunk_text", "retrieved_document", F.current_timestamp())
+    write_audit(found, f"{store}/audit", "overwrite")
+    return (
+        spark.read.schema(made.schema).parquet(f"{store}/responses"),
+        spark.read.schema(found.schema).json(f"{store}/audit"),
+    )
 
 
 def settle(queries: DataFrame, evidence: Evidence, responses: DataFrame) -> tuple[DataFrame, Ledger]:
     """Check responses and record the turns: (verdicts, ledger).
 
-    Every table made here reads ``responses``, so pass stored ones: a plan that still holds
-    the model call would make it again for each table.
+    Every table made here reads ``responses``: those of ``respond`` are stored.
     """
     checked = validate.verdicts(responses.where("response_text is not null"), evidence.reasons)
     ledger = record_turns(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from .. import fixed_values as V
+from ..schemas import CHUNK_METADATA
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -54,9 +55,9 @@ def write_table(df: DataFrame, path: str, mode: str = "append", partition_by: li
     writer.parquet(path)
 
 
-def write_audit(events: DataFrame, path: str) -> None:
+def write_audit(events: DataFrame, path: str, mode: str = "append") -> None:
     """Append audit events as JSON lines {timestamp, event_type, details}."""
-    events.select("timestamp", "event_type", "details").write.mode("append").option(
+    events.select("timestamp", "event_type", "details").write.mode(mode).option(
         "timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
     ).json(path)
 
@@ -66,3 +67,25 @@ def decode_json_columns(
 ) -> DataFrame:
     """Turn JSON text columns into typed ones, in place."""
     return df.withColumns({name: F.from_json(name, schema) for name, schema in schemas.items()})
+
+
+def decode_chunk_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored chunk rows, whose embedding and metadata are JSON texts: (decoded, malformed).
+
+    Decoded rows have an array of doubles and the fields of CHUNK_METADATA.  A row one of
+    whose texts cannot be read, or whose vector holds anything but numbers, stays as it was,
+    with ``problem`` naming the column (the embedding first); a null text cannot be read.
+    """
+    vector = F.when(F.col("embedding").rlike(r"(?s)\A\s*\[.*\]\s*\z"), F.from_json("embedding", "array<double>"))
+    fields = F.from_json(
+        "metadata", f"{CHUNK_METADATA}, _unread string", {"columnNameOfCorruptRecord": "_unread"}
+    )
+    read = rows.withColumns({"_vector": vector, "_fields": fields})
+    no_vector = F.col("_vector").isNull() | F.exists("_vector", lambda x: x.isNull())
+    no_fields = F.col("_fields").isNull() | F.col("_fields._unread").isNotNull()
+    read = read.withColumn("problem", F.when(no_vector, "embedding").when(no_fields, "metadata"))
+    others = [c for c in rows.columns if c not in ("embedding", "metadata")]
+    decoded = read.where("problem is null").select(
+        *others, F.col("_vector").alias("embedding"), F.col("_fields").dropFields("_unread").alias("metadata")
+    )
+    return decoded, read.where("problem is not null").select(*rows.columns, "problem")

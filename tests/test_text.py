@@ -34,10 +34,10 @@ def test_clean_matches_python(spark):
     assert column(spark, values, T.clean_text) == [clean(v) for v in values]
 
 
-def test_long_text_branch_of_strip(spark):
-    values = texts(60)
-    by_pattern = column(spark, values, lambda c: T.strip(c, F.lit(T.LONG_TEXT + 1)))
-    assert by_pattern == [v.strip() for v in values]
+def test_strip_matches_python_at_any_length(spark):
+    runs = ["\u2003" * 300_000, "a" + "\u2003" * 300_000 + "b", " x" * 2_000_000 + "\n"]
+    values = texts(60) + ["", " ", "a", " a", "a ", "\x1c\u3000a \n b\x85"] + runs
+    assert column(spark, values, T.strip) == [v.strip() for v in values]
 
 
 def test_normalize_and_tokens_match_python(spark):
