@@ -1,16 +1,19 @@
 """Sharding by histogram sort: equal bytes per shard, one exchange.
 
-Every row has a 62-bit key: the hash of its text above, the hash of its id below, so equal
-texts lie together and a group of copies of any size can still be cut.  Splitters between
+Every row has a 62-bit key: the hash of its text above, then the hash of its id, below a
+hash of its place in the input, so equal texts lie together and a group of copies of any
+size, rows of one id included, can still be cut.  Rows and keys are written once, so that
+tasks run again find the same places.  Splitters between
 the shards are found by counting: each round lays a grid of probes over the key ranges
 that still hold a wanted splitter, counts the exact bytes below every probe across all
 partitions, and keeps the grid cell around each target, until a cell holds less than the
 tolerance or is one key wide.  Then the rows are dealt once, by shard and salt, and get
-their slots from the counts of the salts before theirs.
+their slots from the counts of the salts before theirs.  A salt is a hash of text and id;
+one that holds far more rows than meant is cut further by their places.
 
 Cases: null and empty texts are one byte, as the size counts one more than the text; rows
-of one id and one text have one key and share a shard; null ids hash alike and are spread
-by their texts; an empty table gives an empty table; columns named like the outputs are
+of one id and one text, and null ids, are told apart by their places (which of the equal
+rows of a cut group lies in which shard hangs on them); an empty table gives an empty table; columns named like the outputs are
 replaced.
 """
 
@@ -26,19 +29,21 @@ SHARDS = 16
 LAW = "bytes"
 TOLERANCE = 0.001  # of a shard's bytes, for each splitter
 PROBES = 2048  # of one round, over all ranges still open
-TEXT_BITS, ID_BITS = 27, 35
+TEXT_BITS, ID_BITS, ROW_BITS = 27, 20, 15
 SALT_ROWS = 20_000  # rows meant for one salt of a shard
-TOP = 1 << (TEXT_BITS + ID_BITS)
+HEAVY = 4  # times as many, and a salt is cut
+TOP = 1 << (TEXT_BITS + ID_BITS + ROW_BITS)
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds __size (bytes of the text and one more) and __key."""
     content = text_or_empty(text)
     high = F.shiftrightunsigned(F.xxhash64(content), 64 - TEXT_BITS)
-    low = F.shiftrightunsigned(F.xxhash64(F.col("doc_id")), 64 - ID_BITS)
+    middle = F.shiftrightunsigned(F.xxhash64(F.col("doc_id")), 64 - ID_BITS)
+    place = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - ROW_BITS)
     return ship(docs).withColumns({
         "__size": F.octet_length(content).cast("long") + 1,
-        "__key": F.shiftleft(high, ID_BITS).bitwiseOR(low),
+        "__key": F.shiftleft(F.shiftleft(high, ID_BITS).bitwiseOR(middle), ROW_BITS).bitwiseOR(place),
     })
 
 
@@ -96,17 +101,22 @@ def assign(docs: DataFrame, shards: int = SHARDS, text: str = "text", carry: lis
     docs = without(docs, *outputs)
     kept = [c for c in docs.columns if carry is None or c in carry]
     rows = keyed(docs, text).withColumn("text_crc32", F.crc32(F.encode(text_or_empty(text), "UTF-8")))
-    keys = stored(rows.select("__key", "__size"), "shard-keys")
+    rows = stored(rows.select(*kept, F.col("__size").alias("size"), "text_crc32", "__key"), "shard-rows")
+    keys = rows.select("__key", F.col("size").alias("__size"))
     bounds = splitters(keys, shards)
-    # a salt spreads the numbering of one shard over many tasks; counts go by the same law
+    # salts spread the numbering of one shard over many tasks; all counts go by the same law
     salts = max(1, math.ceil(keys.count() / shards / SALT_ROWS))
-    salt = F.pmod(F.col("__key"), F.lit(salts))
-    groups = keys.groupBy(shard_of(bounds).alias("shard"), salt.alias("__salt")).count()
-    before = F.sum("count").over(_window("shard", "__salt").rowsBetween(Window.unboundedPreceding, -1)) if salts > 1 else F.lit(0)
-    starts = groups.select("shard", "__salt", F.coalesce(before, F.lit(0)).cast("long").alias("__start"))
-    placed = rows.select(*kept, F.col("__size").alias("size"), "text_crc32", "__key", shard_of(bounds).alias("shard"), salt.alias("__salt"))
-    dealt = placed.join(starts, ["shard", "__salt"])
-    number = F.row_number().over(_window(["shard", "__salt"], "__key"))
+    salt = F.pmod(F.xxhash64(F.shiftrightunsigned("__key", ROW_BITS)), F.lit(salts))
+    placed = {"shard": shard_of(bounds), "__salt": salt}
+    sizes = keys.withColumns(placed).groupBy("shard", "__salt").count()
+    cuts = F.when(F.col("count") > HEAVY * SALT_ROWS, F.ceil(F.col("count") / SALT_ROWS)).otherwise(1)
+    sizes = sizes.select("shard", "__salt", cuts.alias("__cuts"))
+    cut = F.pmod(F.col("__key"), F.col("__cuts"))
+    numbered = keys.withColumns(placed).join(sizes, ["shard", "__salt"]).groupBy("shard", "__salt", cut.alias("__cut")).count()
+    before = F.sum("count").over(_window("shard", ["__salt", "__cut"]).rowsBetween(Window.unboundedPreceding, -1))
+    starts = numbered.select("shard", "__salt", "__cut", F.coalesce(before, F.lit(0)).cast("long").alias("__start"))
+    dealt = rows.withColumns(placed).join(sizes, ["shard", "__salt"]).withColumn("__cut", cut).join(starts, ["shard", "__salt", "__cut"])
+    number = F.row_number().over(_window(["shard", "__salt", "__cut"], "__key"))
     return dealt.select(
         *kept, "size", "text_crc32", F.lit(LAW).alias("law"), "shard",
         (F.col("__start") + number - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),

@@ -41,6 +41,21 @@ def test_hot_group_is_cut(spark, monkeypatch):
     assert {(r.doc_id, r.shard, r.slot) for r in shards.report(docs.repartition(7)).collect()} == {(r.doc_id, r.shard, r.slot) for r in rows}
 
 
+def test_rows_of_one_id_and_text_are_cut(spark, monkeypatch):
+    """A third of all rows is one row over again, another third has null ids."""
+    monkeypatch.setattr(shards, "SALT_ROWS", 20)
+    texts = [(0, "again " * 30) if i % 3 == 0 else (None if i % 3 == 1 else i, f"text {i} " * 10) for i in range(6000)]
+    rows = shards.report(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.size) for r in rows) == Counter((i, len(t) + 1) for i, t in texts)
+    loads, slots = Counter(), defaultdict(list)
+    for r in rows:
+        loads[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    mean = sum(loads.values()) / 16
+    assert len(loads) == 16 and all(abs(n - mean) <= 2 * 181 + 0.02 * mean for n in loads.values()), loads
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     rows = shards.assign(docs)
