@@ -81,12 +81,20 @@ modification, are permitted provided that the following conditions are met:
 """
 
 
+NAMES = """3. Neither the name of {} nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
 def test_wrapped_notices_and_spdx_lines(spark):
     want = [
         (APACHE, "Apache-2.0"), (MIT, "MIT"), (GPL.format(3), "GPL-3.0-or-later"), (GPL.format(2), "GPL-2.0-or-later"), (BSD, "BSD-2-Clause"),
         ("x = 1\n# SPDX-License-Identifier: MIT\n", "MIT"), ("/* SPDX-License-Identifier: GPL-2.0+ */", "GPL-2.0-or-later"), ("f(); // SPDX-License-Identifier: MPL-2.0\ng();", "MPL-2.0"),
         ("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-3.0-or-later\n", "MIT,Apache-2.0,GPL-3.0-or-later"), ("// SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", "GPL-2.0-only"),
         ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.", "MPL-2.0"),
+        *((BSD + "\n" + NAMES.format(who), "BSD-3-Clause") for who in ("the copyright holder", "Acme Inc.", "the\n * University of X, Y & Co.", "the author")),
+        (BSD + "3. The name of the author may not be used to endorse or promote products\nderived from this software without specific prior written permission.", "BSD-3-Clause"),
         ("we spoke of the MIT license\nand of others", ""),
     ]
     got = {r.doc_id: (r.licenses, r.unmatched) for r in licenses.report(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(want)], "doc_id long, text string")).collect()}
