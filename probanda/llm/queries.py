@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontaminate, divergence, language, licenses, neighbours, phrases, pii, quality, secrets, shards, simhash, vectors
 from .common import table
 
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,7 @@ def test_stages_equal_brute_force(spark):
         assert r.text == masked(left[i].text) and r.n_chars == (len(r.text) if r.text != left[i].text else left[i].n_chars)
     library = tokenizers.Tokenizer.from_file(VOCABULARY)
     tokens = rows(stage[names[4]](spark, private, SF))
+    assert all(r.round_trip for r in tokens.values())
     assert all(r.ids == library.encode(r.text, add_special_tokens=False).ids for r in tokens.values())
     assert rows(corpus_pipeline.run(spark, SF)) == tokens
 
@@ -69,7 +70,7 @@ def test_awkward_rows(spark):
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
     out = corpus_pipeline.run(spark, folder)
-    assert out.columns == [*docs.columns, "ids"]
+    assert out.columns == [*docs.columns, "ids", "round_trip"]
     # blank texts are one group, the five copies another
     assert sorted(r.doc_id for r in out.collect()) in ([1, 4, 5, 7], [1, 5, 7])
     bare = written(empty(spark), "documents")
