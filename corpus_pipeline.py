@@ -8,7 +8,7 @@ stage; an empty table stays empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from probanda.llm import bpe, decontaminate, pii, quality, simhash
 from probanda.llm.common import stored, table
@@ -36,8 +36,11 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the token ids of every text."""
-    return bpe.encode(docs, VOCABULARY)
+    """Adds the token ids of every text, and whether they decode to that text; columns named
+    ids, decoded or round_trip give way."""
+    both = bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY)
+    given = F.coalesce("text", F.lit(""))
+    return both.withColumn("round_trip", F.col("decoded") == given).drop("decoded")
 
 
 STAGES = [
