@@ -17,7 +17,8 @@ QUICK = (
     "integrity_report current_settings embed_only_new cosine_similarity hybrid_search "
     "sub_question_search context_packing_tight validation_verdicts turn_memory session_summaries "
     "remember admission_limit stage_latency event_fan_out live_stage_status "
-    "failed_turns admitted_texts entity_integrity edge_text ingest_events vector_top_k keyword_top_k"
+    "failed_turns admitted_texts entity_integrity edge_text ingest_events vector_top_k keyword_top_k "
+    "decode_chunk_rows upload_files"
 ).split()
 NAMES = list(catalog.REGISTRY) if os.environ.get("ALL_QUERIES") else QUICK
 
