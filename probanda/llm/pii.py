@@ -1,12 +1,22 @@
 """Personal data: fixed kinds, and bootstrapped contextual extraction, all as expressions.
 
 Base kinds are found by pattern and checked.  Their occurrences are seeds: the words before
-them (and around them) are lexical patterns.  Identifier-like tokens are candidates.  On
-the graph of patterns and distinct instances, a pattern that at least SEEDS different seeds
-support, so that its confidence (seeds over seeds and DAMPING) is CONFIDENCE or more, makes
-seeds of all its candidates; these count for their other patterns, until no new pattern or
-seed appears.  Instances nobody knows yet say nothing against a pattern.  Candidates behind
-confident patterns are added as kind ``context``.
+them (and around them) are lexical patterns.  Identifier-like tokens are candidates.  The
+bipartite graph of patterns and distinct instances is scored for each kind of seed apart,
+in hundredths rounded down:
+
+- a seed is worth 100 for its kind, a candidate as much as its surest trusted pattern;
+- a pattern is supported if SEEDS different instances are worth something;
+- for a pattern speaks what its instances are worth; against it speaks, for each candidate,
+  what that lacks of 100, times the share of the candidate's patterns without support.  A
+  token that turns up in other surroundings is a counterexample; one that nobody has seen
+  elsewhere says nothing;
+- confidence is for / (for + against + DAMPING); supported patterns of CONFIDENCE or more
+  are trusted.
+
+Worth and confidence only rise from round to round, so the rounds end where nothing rises,
+whatever the order of rows.  Candidates behind trusted patterns are added as kind
+``context``.
 
 Patterns are written so that each character is looked at a bounded number of times: runs
 are entered only at their beginning (or where the match before ended), and repeated groups
@@ -25,9 +35,10 @@ from .common import ship, stored, text_or_empty, without
 from .matching import code_points, digits, listed, matches_where
 
 KINDS = ("email", "ip", "card", "phone")
-CONFIDENCE = 0.8
+WHOLE = 100  # the worth of a seed
+CONFIDENCE = 50
 SEEDS = 5
-DAMPING = 1.0  # instances a pattern is charged with besides its seeds
+DAMPING = 100  # what speaks against every pattern
 CONTEXT = 64  # code points looked at on either side
 
 _LABEL = r"[A-Za-z0-9-]"
@@ -37,7 +48,7 @@ _PART = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 _CARD = r"(?<![0-9\x01])[0-9][0-9\x01]{15,}+"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _TOKEN = r"A-Za-z0-9_#/.@+-"
-_CANDIDATE = rf"(?<![{_TOKEN}])(?=[A-Za-z_#/.@+-]*+[0-9])[{_TOKEN}]{{6,64}}+(?![{_TOKEN}])"
+_CANDIDATE = rf"(?<![{_TOKEN}])(?=[A-Za-z_#/.@+-]*+[0-9])[{_TOKEN}]{{6,}}+(?![{_TOKEN}])"
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -95,20 +106,19 @@ def contexts(text32: Column, size: Column, start: Column, end: Column) -> Column
 
 
 def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, text_hash, base_spans and seen: seeds and candidates with their patterns."""
+    """doc_id, text_hash, base_spans and seen: seeds (with their kind) and candidates with
+    their patterns."""
     rows = docs.select("doc_id", F.xxhash64(text_or_empty(text)).alias("text_hash"), text_or_empty(text).alias("text"))
     found = find_base(rows)
     raw = matches_where(F.col("text").rlike("[0-9]"), F.col("text"), _CANDIDATE)
     free = lambda c: ~F.exists("base_spans", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     found = found.withColumn("__raw", raw)
     found = found.withColumn("__free", F.filter("__raw", free))
-    spans = F.concat(
-        F.transform("base_spans", lambda s: F.struct(F.lit(True).alias("seed"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))),
-        F.transform("__free", lambda s: F.struct(F.lit(False).alias("seed"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))),
-    )
+    one = lambda kind: lambda s: F.struct(kind(s).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
+    spans = F.concat(F.transform("base_spans", one(lambda s: s["kind"])), F.transform("__free", one(lambda s: F.lit(None).cast("string"))))
     found = found.withColumn("__all", spans).withColumn("__32", F.when(F.size("__all") > 0, F.encode("text", "UTF-32"))).withColumn("__n", F.char_length("text"))
     seen = F.transform("__all", lambda s: F.struct(
-        s["seed"].alias("seed"), s["start"].alias("start"), s["end"].alias("end"),
+        s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
         F.xxhash64(F.lower(s["value"])).alias("instance"),
         F.transform(contexts(F.col("__32"), F.col("__n"), s["start"], s["end"]), lambda p: F.xxhash64(p)).alias("patterns"),
     ))
@@ -116,37 +126,43 @@ def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.select("doc_id", "text_hash", bare.alias("base_spans"), seen.alias("seen"))
 
 
-def confident_patterns(seen: DataFrame) -> DataFrame:
-    """Patterns of high confidence, from the bipartite graph of patterns and instances."""
-    edge = seen.select(F.explode("patterns").alias("pattern"), "instance", "seed")
-    # an instance that is a seed anywhere is one everywhere
-    edges = stored(edge.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pattern-edges")
-    n = F.col("n")
-    trusted = (n >= SEEDS) & (n / (n + DAMPING) >= CONFIDENCE)
-    support = stored(edges.where("seed").groupBy("pattern").agg(F.count("*").alias("n")), "pattern-support")
-    fresh = stored(support.where(trusted).select("pattern"), "confident-patterns")
-    patterns, promoted = fresh, None
-    open_edges = edges.where("NOT seed").select("pattern", "instance")
-    while not fresh.isEmpty():
-        instances = open_edges.join(fresh, "pattern", "left_semi").select("instance").distinct()
-        if promoted is not None:
-            instances = instances.join(promoted, "instance", "left_anti")
-        instances = stored(instances, "promoted")
-        if instances.isEmpty():
-            break
-        promoted = instances if promoted is None else stored(promoted.union(instances), "promoted")
-        more = open_edges.join(instances, "instance", "left_semi").groupBy("pattern").agg(F.count("*").alias("n"))
-        support = stored(support.union(more).groupBy("pattern").agg(F.sum("n").alias("n")), "pattern-support")
-        fresh = stored(support.where(trusted).select("pattern").join(patterns, "pattern", "left_anti"), "confident-patterns")
-        patterns = stored(patterns.union(fresh), "confident-patterns")
-    return patterns
+def trusted_patterns(seen: DataFrame) -> DataFrame:
+    """(pattern, kind, confidence) of trusted patterns, and (instance, kind, worth) of their
+    candidates, when nothing rises any more."""
+    edge = seen.select(F.explode("patterns").alias("pattern"), "instance", "kind")
+    edges = stored(edge.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pattern-edges")
+    rooted = edges.where("kind IS NOT NULL").groupBy("pattern", "kind").agg((F.count("*") * WHOLE).alias("pro"), F.count("*").alias("n"))
+    rooted = stored(rooted, "pattern-seeds")
+    open_edges = edges.where("kind IS NULL").select("pattern", "instance")
+    trusted = rooted.where("false").select("pattern", "kind", F.col("n").alias("confidence"))
+    worth = rooted.where("false").select(F.col("pattern").alias("instance"), "kind", F.col("n").alias("worth"))
+    if rooted.where(F.col("n") >= SEEDS).isEmpty():
+        return trusted
+    degrees = stored(open_edges.groupBy("instance").agg(F.count("*").alias("degree")), "instance-degrees")
+    before = None
+    while True:
+        lent = open_edges.join(worth, "instance").groupBy("pattern", "kind").agg(F.sum("worth").alias("pro"), F.count("*").alias("n"))
+        support = rooted.unionByName(lent).groupBy("pattern", "kind").agg(F.sum("pro").alias("pro"), F.sum("n").alias("n"))
+        support = stored(support.where(F.col("n") >= SEEDS), "supported-patterns")
+        touched = stored(open_edges.join(support.select("pattern", "kind"), "pattern"), "supported-edges")
+        lack = touched.groupBy("instance", "kind").agg(F.count("*").alias("supported")).join(degrees, "instance").join(worth, ["instance", "kind"], "left")
+        lack = lack.withColumn("contra", F.expr(f"({WHOLE} - coalesce(worth, 0)) * (degree - supported) div degree")).select("instance", "kind", "contra")
+        contra = touched.join(lack.where("contra > 0"), ["instance", "kind"]).groupBy("pattern", "kind").agg(F.sum("contra").alias("contra"))
+        scored = support.join(contra, ["pattern", "kind"], "left")
+        scored = scored.select("pattern", "kind", F.expr(f"{WHOLE} * pro div (pro + coalesce(contra, 0) + {DAMPING})").alias("confidence"))
+        trusted = stored(scored.where(F.col("confidence") >= CONFIDENCE), "trusted-patterns")
+        worth = stored(touched.join(trusted, ["pattern", "kind"]).groupBy("instance", "kind").agg(F.max("confidence").alias("worth")), "instance-worth")
+        now = worth.agg(F.count("*"), F.sum("worth")).first()
+        if now == before:
+            return trusted
+        before = now
 
 
 def added(found: DataFrame) -> DataFrame:
-    """__id, __hash (doc_id and text hash) and __added, the spans of confident patterns."""
+    """__id, __hash (doc_id and text hash) and __added, the spans behind trusted patterns."""
     seen = found.select("doc_id", "text_hash", F.explode("seen").alias("s")).select("doc_id", "text_hash", "s.*")
-    patterns = confident_patterns(seen)
-    hits = seen.where("NOT seed").select("doc_id", "text_hash", "start", "end", F.explode("patterns").alias("pattern")).join(patterns, "pattern", "left_semi")
+    patterns = trusted_patterns(seen).select("pattern").distinct()
+    hits = seen.where("kind IS NULL").select("doc_id", "text_hash", "start", "end", F.explode("patterns").alias("pattern")).join(patterns, "pattern", "left_semi")
     spans = hits.select("doc_id", "text_hash", F.struct(F.lit("context").alias("kind"), "start", "end").alias("span")).distinct()
     by_row = spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("span")).alias("__added"))
     # written, so that the size is known where texts are joined: few spans need no shuffle

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from helpers import awkward, documents, empty
@@ -96,6 +97,82 @@ def test_more_unseen_identifiers_than_seeds(spark):
     assert all(got[i] == "context:19:29" for i in range(100, 300))
 
 
+def worth_of(graph):
+    """Brute force: {(instance, kind): worth} and trusted {(pattern, kind): confidence} of
+    {(pattern, instance): kind or None}."""
+    kinds = {k for k in graph.values() if k}
+    patterns = {p for p, _ in graph}
+    of = {}
+    for (p, i), k in graph.items():
+        if k is None:
+            of.setdefault(i, set()).add(p)
+    worth, before = {}, None
+    while worth != before:
+        before, trusted = worth, {}
+        for k in kinds:
+            value = {(p, i): pii.WHOLE if own == k else 0 if own else before.get((i, k), 0) for (p, i), own in graph.items()}
+            supported = {p for p in patterns if sum(q == p and v > 0 for (q, _), v in value.items()) >= pii.SEEDS}
+            for p in supported:
+                pro = sum(v for (q, _), v in value.items() if q == p)
+                contra = sum((pii.WHOLE - before.get((i, k), 0)) * len(ps - supported) // len(ps) for i, ps in of.items() if p in ps)
+                c = pii.WHOLE * pro // (pro + contra + pii.DAMPING)
+                if c >= pii.CONFIDENCE:
+                    trusted[p, k] = c
+        worth = {(i, k): max(trusted[p, k] for p in ps if (p, k) in trusted) for i, ps in of.items() for k in kinds if any((p, k) in trusted for p in ps)}
+    return trusted
+
+
+def test_scores_equal_brute_force(spark):
+    rng = random.Random(5)
+    for dense in (0.15, 0.3, 0.5):
+        graph = {}
+        for i in range(60):
+            kind = rng.choice([None, None, None, "email", "card"])
+            for p in range(12):
+                if rng.random() < dense * (1.6 if p < 4 else 0.5):
+                    graph[p, i] = kind
+        rows = [([p], i, k) for (p, i), k in graph.items()] * 2
+        got = pii.trusted_patterns(spark.createDataFrame(rows, "patterns array<long>, instance long, kind string"))
+        want = worth_of(graph)
+        assert {(r.pattern, r.kind): r.confidence for r in got.collect()} == want, dense
+    assert want
+
+
+def test_common_words_next_to_seeds_do_not_spread(spark):
+    """Numbers that also stand elsewhere speak against the words that seeds stand behind."""
+    rows = [(i, f"it is the total number {w}{i}@mail.example.com in all") for i, w in enumerate("abcde")]
+    rows += [(1000 + i, f"it is the total number {700000 + i} in all") for i in range(200)]
+    rows += [(2000 + i, f"so it was built in plant {700000 + i} last year") for i in range(200)]
+    rows += [(3000 + i, f"so it was built in plant {800000 + i} last year") for i in range(100)]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not [i for i in got if i >= 1000 and got[i]]
+
+
+def test_words_around_numbers_next_to_cards(spark):
+    cards = ["4111111111111111", "5500000000000004", "4012888888881881", "5555555555554444", "4222222222222220" + "0"]
+    cards = [c for c in cards if luhn(c)] + ["6011111111111117", "6011000990139424"]
+    rows = [(i, f"we saw card number {c} of him") for i, c in enumerate(cards)]
+    rows += [(1000 + i, f"we saw {w} number {100000 + i} of them") for i, w in enumerate(["any", "some", "great", "small", "odd"] * 20)]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(cards) >= 5 and not [i for i in got if i >= 1000 and got[i]]
+
+
+def test_kinds_support_patterns_apart(spark):
+    """Three seeds of each of two kinds are not five of one."""
+    rows = [(i, f"so my badge number {w}{i}@mail.example.com thanks") for i, w in enumerate("abc")]
+    rows += [(10 + i, f"so my badge number 10.0.0.{i} thanks") for i in range(3)]
+    rows += [(100, "so my badge number QX-77-1234 thanks")]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == ""
+
+
+def test_long_identifiers(spark):
+    name = "QX-7" * 40
+    rows = [(i, f"so my badge number {w}{i}@mail.example.com thanks") for i, w in enumerate("abcdefgh")] + [(100, f"so my badge number {name} thanks")]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == f"context:19:{19 + len(name)}"
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     assert sorted(map(str, (r.text for r in pii.mask(docs).collect()))) == sorted(map(str, (r.text for r in docs.collect())))
