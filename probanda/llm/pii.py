@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import ship, stored, text_or_empty, without
-from .matching import code_points, digits, listed, matches_where
+from .matching import before, bound, code_points, digits, listed, matches_where
 
 KINDS = ("email", "ip", "card", "phone")
 WHOLE = 100  # the worth of a seed
@@ -179,15 +179,18 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def joined(spans: Column) -> Column:
     """Spans by start, overlapping ones merged under the kind of the first."""
-    kind = "array<struct<start:int,end:int,kind:string>>"
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def add(done: Column, s: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        return F.when((F.size(done) > 0) & (s["start"] < last["end"]), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(s)))
+    def merged(xs: Column) -> Column:
+        reach = before(xs, F.lit(0), lambda end, s: F.greatest(end, s["end"]))
+        heads = F.filter(F.zip_with(xs, reach, lambda s, r: F.struct(s.alias("s"), r.alias("reach"))), lambda p: p["s"]["start"] >= p["reach"])
+        # a group ends where all spans before the next group's first end
+        last = F.array_max(F.transform(xs, lambda s: s["end"]))
+        return bound(heads, lambda hs: F.transform(hs, lambda h, i: F.struct(
+            h["s"]["start"].alias("start"), F.coalesce(F.get(hs, i + 1)["reach"], last).alias("end"), h["s"]["kind"].alias("kind")
+        )))
 
-    return F.aggregate(ordered, F.array().cast(kind), add)
+    return bound(ordered, merged)
 
 
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
