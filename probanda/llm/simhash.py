@@ -104,10 +104,12 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """One document of each component, by smallest doc_id: its own columns, whole."""
     chosen = near_duplicates(docs, text).where("doc_id <=> representative.doc_id AND text_hash = representative.text_hash AND fingerprint = representative.fingerprint")
-    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    rows = docs.withColumn("__hash_own", F.xxhash64(text_or_empty(text)))
-    kept = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["__id"]) & (rows["__hash_own"] == chosen["__hash"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__hash_own"]).drop("__hash_own")
+    # plain keys, so that one exchange of the texts serves repeated rows and the choice
+    nameless, known = F.col("doc_id").isNull().alias("__nameless"), F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("__known")
+    keys = ["__nameless", "__known", "__text_hash"]
+    chosen = chosen.select(nameless, known, F.col("text_hash").alias("__text_hash")).distinct()
+    rows = docs.select("*", nameless, known, F.xxhash64(text_or_empty(text)).alias("__text_hash"))
+    return rows.dropDuplicates(keys).join(chosen, keys, "left_semi").drop(*keys)
 
 
 def report(docs: DataFrame) -> DataFrame:
