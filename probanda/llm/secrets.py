@@ -28,24 +28,31 @@ MOST_CLAUSES = 16
 @dataclass(frozen=True)
 class Rule:
     """``pattern`` finds leftmost matches; ``group`` must have ``least`` characters, else
-    the match is dropped.  ``base`` rules come first in the results."""
+    the match is dropped.  ``base`` rules come first in the results.  ``search`` is a form
+    of the pattern for the verification that looks at each character a bounded number of
+    times: runs of one class are entered at their beginning only and not given up once
+    taken.  With ``ahead`` its group 1 lies before the match."""
 
     kind: str
     pattern: str
     least: int = 0
     group: int = 0
     base: bool = False
+    search: str = ""
+    ahead: bool = False
 
 
 #: The three base rules, then well-known token formats.
 RULES = (
     Rule("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 1, True),
     Rule("access", r"AKIA[A-Z0-9]+", 16, 0, True),
-    Rule("hex", r"[0-9a-f]+", 32, 0, True),
+    Rule("hex", r"[0-9a-f]+", 32, 0, True, r"(?<![0-9a-f])[0-9a-f]{32,}+"),
     Rule("git", r"gh[pousr]_[A-Za-z0-9]+", 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 15),
     Rule("cloud", r"AIza[A-Za-z0-9_-]+", 39),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    # if the first eyJ of a run has no second part behind the run, none of that run has
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+",
+         search=r"(?<![A-Za-z0-9_-])((?:(?!eyJ)[A-Za-z0-9_-])*+)eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++", ahead=True),
     Rule("key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 
@@ -122,17 +129,15 @@ def candidates(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     return met.where(F.col("bits") == needed).groupBy("doc_id").agg(F.collect_set(rule).alias("__rules"))
 
 
-def linear(rule: Rule) -> str:
-    """The pattern for the verification: runs of one class are entered at their beginning
-    only, and not given up once taken."""
-    return {"hex": rf"(?<![0-9a-f])[0-9a-f]{{{rule.least},}}+"}.get(rule.kind, rule.pattern)
-
-
 def verified(rule: Rule, asked: Column, text: Column) -> Column:
-    found = matches_where(asked, text, linear(rule))
-    if rule.group:
-        sized = F.when(asked, F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), lambda g: F.char_length(g))).otherwise(F.array().cast("array<int>"))
+    pattern = rule.search or rule.pattern
+    found = matches_where(asked, text, pattern)
+    group = 1 if rule.ahead else rule.group
+    if group:
+        sized = F.when(asked, F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda g: F.char_length(g))).otherwise(F.array().cast("array<int>"))
         paired = F.arrays_zip(found.alias("f"), sized.alias("n"))
+        if rule.ahead:
+            return F.transform(paired, lambda p: F.struct((p["f"]["start"] + p["n"]).alias("start"), p["f"]["end"].alias("end")))
         kept = F.transform(F.filter(paired, lambda p: p["n"] >= rule.least), lambda p: p["f"])
     else:
         kept = F.filter(found, lambda s: s["end"] - s["start"] >= rule.least)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from helpers import awkward, documents, empty
@@ -46,6 +47,18 @@ def test_hard_texts(spark):
     assert [s.split(":")[0] for s in got[len(HARD) - 1].spans.split(",")] == ["git", "slack", "key"]
 
 
+def test_tokens_in_three_parts(spark):
+    rule = next(r for r in secrets.RULES if r.kind == "jwt")
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["eyJa", "eyJ", ".", ".", ".eyJb", "a-", " ", "é"]) for _ in range(rng.randrange(60))) for _ in range(400)]
+    texts += ["eyJa" * 250_000, "eyJa" * 1000 + ".eyJb.c", "x" * 300_000 + "eyJa.eyJb.c"]
+    got = {r.doc_id: r.spans for r in secrets.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        want = [] if i == 400 else [f"jwt:{m.start()}:{m.end()}" for m in re.finditer(rule.pattern, text)]
+        assert [s for s in got[i].split(",") if s.startswith("jwt")] == want, text[:100]
+    assert sum("jwt" in s for s in got.values()) > 10
+
+
 def test_trigram_queries():
     by_kind = {r.kind: secrets.clauses(r.pattern) for r in secrets.RULES}
     assert by_kind["hex"] == []
