@@ -19,7 +19,7 @@ from re import _parser
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ship, text_or_empty, without
+from .common import ship, stored, text_or_empty, without
 from .matching import matches_where
 
 MOST_CLAUSES = 16
@@ -149,7 +149,8 @@ def find(docs: DataFrame, text: str = "text", carry: list[str] | None = None, ru
     then rule, before the others likewise.  ``carry``: columns kept (all, if absent)."""
     docs = ship(without(docs, "spans"))
     kept = [c for c in docs.columns if carry is None or c in carry]
-    listed = candidates(docs, rules, text).withColumnRenamed("doc_id", "__id")
+    # written, so that the size is known where texts are joined: few candidates need no shuffle
+    listed = stored(candidates(docs, rules, text).withColumnRenamed("doc_id", "__id"), "secret-candidates")
     rows = docs.join(listed, docs["doc_id"].eqNullSafe(listed["__id"]), "left").withColumn("__text", text_or_empty(text))
     indexed = {i for i, r in enumerate(rules) if clauses(r.pattern)}
     asked = {i: F.coalesce(F.array_contains("__rules", i), F.lit(False)) if i in indexed else F.lit(True) for i in range(len(rules))}
