@@ -105,10 +105,11 @@ def contexts(text32: Column, size: Column, start: Column, end: Column) -> Column
     )
 
 
-def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
+def occurrences(docs: DataFrame, text: str = "text", carry: Column | None = None) -> DataFrame:
     """doc_id, text_hash, base_spans and seen: seeds (with their kind) and candidates with
-    their patterns."""
-    rows = docs.select("doc_id", F.xxhash64(text_or_empty(text)).alias("text_hash"), text_or_empty(text).alias("text"))
+    their patterns; and ``carry``, if given."""
+    carried = [] if carry is None else [carry.alias("carry")]
+    rows = docs.select("doc_id", F.xxhash64(text_or_empty(text)).alias("text_hash"), text_or_empty(text).alias("text"), *carried)
     found = find_base(rows)
     raw = matches_where(F.col("text").rlike("[0-9]"), F.col("text"), _CANDIDATE)
     free = lambda c: ~F.exists("base_spans", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
@@ -123,7 +124,7 @@ def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
         F.transform(contexts(F.col("__32"), F.col("__n"), s["start"], s["end"]), lambda p: F.xxhash64(p)).alias("patterns"),
     ))
     bare = F.transform("base_spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return found.select("doc_id", "text_hash", bare.alias("base_spans"), seen.alias("seen"))
+    return found.select("doc_id", "text_hash", bare.alias("base_spans"), seen.alias("seen"), *["carry"][: len(carried)])
 
 
 def trusted_patterns(seen: DataFrame) -> DataFrame:
@@ -195,17 +196,17 @@ def joined(spans: Column) -> Column:
 
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with every span replaced by its kind in brackets; n_chars, where it is
-    there, follows.  Only spans that context added are joined; texts are not shuffled for
-    the base kinds."""
+    there, follows.  Texts are searched once and written with what was found; only spans
+    that context added are joined."""
     columns = docs.columns
-    more = added(stored(occurrences(docs, text), "personal-data"))
-    own = find_base(docs.withColumn("__own", F.xxhash64(text_or_empty(text))), text).withColumnRenamed("base_spans", "__base")
-    rows = own.join(more, own["doc_id"].eqNullSafe(more["__id"]) & (own["__own"] == more["__hash"]), "left")
-    base_spans = F.transform("__base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    rows = rows.withColumn("__spans", joined(F.concat(base_spans, F.coalesce("__added", F.array().cast(SPANS)))))
+    own = stored(occurrences(docs, text, F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])), "personal-data")
+    more = added(own)
+    rows = own.join(more, own["doc_id"].eqNullSafe(more["__id"]) & (own["text_hash"] == more["__hash"]), "left")
+    spans = joined(F.concat("base_spans", F.coalesce("__added", F.array().cast(SPANS)))).alias("__spans")
+    rows = rows.select(*[F.col(f"carry.c{i}").alias(c) for i, c in enumerate(columns)], spans)
     rows = rows.withColumn("__32", F.when(F.size("__spans") > 0, F.encode(text, "UTF-32")))
-    before = lambda i: F.when(i > 0, F.col("__spans")[i - 1]["end"]).otherwise(0)
-    pieces = F.transform("__spans", lambda s, i: F.concat(code_points(F.col("__32"), before(i), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    ended = lambda i: F.when(i > 0, F.col("__spans")[i - 1]["end"]).otherwise(0)
+    pieces = F.transform("__spans", lambda s, i: F.concat(code_points(F.col("__32"), ended(i), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
     rest = code_points(F.col("__32"), F.element_at("__spans", -1)["end"], F.char_length(text))
     rows = rows.withColumn(text, F.when(F.size("__spans") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col(text)))
     kinds = dict(docs.dtypes)
