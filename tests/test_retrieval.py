@@ -153,6 +153,20 @@ def test_far_groups_are_passed_over(spark, monkeypatch):
     assert found(index) == wanted and found(table) == wanted
 
 
+def test_chunks_are_handed_over_once(spark):
+    """However many blocks of queries there are, no join copies the chunks for each of them,
+    and no text is shuffled to the winners."""
+    rows = [(f"c{i:02}", "A", i, i, None, f"cats word{i % 7}", [1.0, float(i)]) for i in range(40)]
+    asked = [(f"q{n}", f"cats word{n % 7}", [1.0, float(n)], None, 2, 0.0) for n in range(24)]
+    found = retrieve.retrieve(queries(spark, asked).drop("document_id"), chunk_table(spark, rows), block_queries=2)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["chunk_id"])
+    assert got == {a[0]: best_of(rows, a[1], a[2], 2) for a in asked}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "strategy=broadcast" in plan
+
+
 def test_an_index_has_one_dimension(spark):
     rows = [(f"c{i}", "A", i, 0, None, "x", [1.0] * (2 + i // 3)) for i in range(4)]
     with pytest.raises(ValueError, match="several dimensions"):
