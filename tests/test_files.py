@@ -3,12 +3,16 @@
 import time
 
 import pytest
+from pyspark.sql import Row
+
 from probanda import streaming as ST
 from probanda.operators import ingest
 from probanda.plans import ingest as plan
 from probanda.plans.ingest import store_uploads
 from probanda.schemas import TRACE_EVENTS
 from probanda.sources import files
+from probanda.streaming.events import StageFlags
+from probanda.streaming.tokens import TokenAssembler
 
 
 def test_uploads_from_files(spark, tmp_path):
@@ -159,3 +163,84 @@ def test_stage_state_ends(spark, tmp_path):
     assert kept(last) <= kept(first)
     latest = {r["trace_id"]: r["status"] for r in ST.latest_status(ST.read_batches(spark, out, keep_batch=True)).collect()}
     assert latest == {"t1": "done", "t2": "failed", "t3": "active"}
+
+
+class Store:
+    """A state store that counts its calls."""
+
+    def __init__(self):
+        self.values, self.calls = {}, 0
+
+    def getValueState(self, name, *_):
+        return Held(self, name)
+
+    getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.calls += 1
+
+    deleteTimer = registerTimer
+
+
+class Held:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def all(self):
+        self.store.calls += 1
+        return self.store.values.setdefault(self.name, {})
+
+    def get(self):
+        return self.all().get(())
+
+    def exists(self):
+        return () in self.all()
+
+    def update(self, value):
+        self.all()[()] = value
+
+    def containsKey(self, key):
+        return key in self.all()
+
+    def getValue(self, key):
+        return self.all()[key]
+
+    def updateValue(self, key, value):
+        self.all()[key] = value
+
+    def iterator(self):
+        return iter(list(self.all().items()))
+
+    def clear(self):
+        self.all().clear()
+
+
+class Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+def test_calls_to_the_store_do_not_grow_with_the_pieces():
+    store, assembler = Store(), TokenAssembler(1000)
+    assembler.init(store)
+    pieces = [Row(seq=n, text=f"{n} ", is_last=n == 199) for n in range(200)]
+    assert list(assembler.handleInputRows(("t",), iter(pieces[1::2]), Clock(5))) == []
+    assert list(assembler.handleInputRows(("t",), iter(pieces[1:100:2]), Clock(900))) == []
+    assert list(assembler.handleExpiredTimer(("t",), Clock(1005), None)) == []
+    done = list(assembler.handleInputRows(("t",), iter(pieces[::2]), Clock(1100)))
+    assert done == [Row(turn_id="t", response_text="".join(p.text for p in pieces), finished=True)]
+    assert store.calls < 40
+
+
+def test_a_trace_is_one_value():
+    """Its stages are forgotten one by one."""
+    store, flags = Store(), StageFlags(1000)
+    flags.init(store)
+    seen = lambda now, *rows: [tuple(r) for r in flags.handleInputRows(("t",), iter([Row(stage=s, flags=f) for s, f in rows]), Clock(now))]
+    assert seen(0, ("a", 4), ("b", 4), ("a", 2), (None, 0)) == [("t", "a", 0, 1, 1), ("t", "b", 0, 0, 1), ("t", None, 0, 0, 0)]
+    assert seen(900, ("a", 1)) == [("t", "a", 1, 1, 1)]
+    assert seen(1500, ("a", 0), ("b", 1)) == [("t", "a", 1, 1, 1), ("t", "b", 1, 0, 0)]
+    assert store.calls == 6
