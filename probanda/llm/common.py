@@ -7,6 +7,7 @@ case), pass every other column through, and take null text as the empty text.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..session import shared_dir, ship_package
 
 PART_BYTES = 4 << 20  # characters of text handled at once inside a task
+BATCH_BYTES = 8 << 20  # of large rows handed to a task at once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +36,19 @@ def stored(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Tasks of the jobs run meanwhile are handed rows of about BATCH_BYTES at once, not all
+    of a partition's up to Spark's 64 MB, which JVM and Python each hold."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import ship, stored
+from .common import ship, small_batches, stored
 
 LONGEST = 4  # words of a phrase
 LEAST = 30  # occurrences of a phrase
@@ -285,7 +285,12 @@ def counted(blocks: DataFrame) -> DataFrame:
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f, size) of all phrases of up to LONGEST words with f >= least, and
-    (lang, n) with all occurrences of words."""
+    (lang, n) with all occurrences of words.  Blocks are large rows: few are held at once."""
+    with small_batches(docs.sparkSession):
+        return _frequent_phrases(docs, text, lang, least)
+
+
+def _frequent_phrases(docs: DataFrame, text: str, lang: str, least: int) -> tuple[DataFrame, DataFrame]:
     blocks = stored(occurrences(docs, text, lang), "phrases-1", **_WRITE)
     words = F.aggregate("groups", F.lit(0).cast("long"), lambda a, g: a + g["n"])
     totals = stored(blocks.select("lang", words.alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")

@@ -3,10 +3,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import awkward, empty
+from pyspark.sql import functions as F
 
-from probanda.llm import phrases
+from probanda.llm import common, phrases
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -96,3 +98,17 @@ def test_awkward_rows(spark):
     assert phrases.report(empty(spark)).collect() == []
     blank = spark.createDataFrame([(None, None), ("en", ""), ("en", " \n\t ")], "lang string, text string")
     assert phrases.report(blank).collect() == []
+
+
+def test_few_large_rows_are_held_at_once(spark):
+    """Rows as large as blocks reach a task in batches of BATCH_BYTES, and only meanwhile."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    rows = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("t"))
+    most = lambda: max(r["n"] for r in rows.mapInArrow(sizes, "n long").collect())
+    before = most()
+    with common.small_batches(spark):
+        assert most() <= 2 * common.BATCH_BYTES >> 20 < before
+    assert most() == before
