@@ -12,7 +12,7 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..session import shared_dir, ship_package
+from ..session import ship_package, stored  # noqa: F401
 
 PART_BYTES = 4 << 20  # characters of text handled at once inside a task
 BATCH_BYTES = 8 << 20  # of large rows handed to a task at once
@@ -28,14 +28,6 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
-def stored(df: DataFrame, purpose: str, **options: str) -> DataFrame:
-    """Write once to the folder all executors share, and read back: cuts the lineage, so
-    that lost executors cost no recomputation of what came before."""
-    path = shared_dir(df.sparkSession, purpose)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Tasks of the jobs run meanwhile are handed rows of about BATCH_BYTES at once, not all

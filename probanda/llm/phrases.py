@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import SMALL_GROUPS
 from .common import ship, small_batches, stored
 
 LONGEST = 4  # words of a phrase
@@ -310,8 +311,8 @@ def often(blocks: DataFrame, size: int, least: int) -> DataFrame:
     return stored(counted(blocks).where(F.col("f") >= least).withColumn("size", F.lit(size)), f"frequent-{size}")
 
 
-#: Blocks are large rows: small row groups keep a reader's batch small.
-_WRITE = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
+#: Blocks are large rows: a row group has one or few of them, so that a reader's batch is small.
+_WRITE = {"compression": "zstd", **SMALL_GROUPS}
 
 
 def part(words: Column, start, count) -> Column:

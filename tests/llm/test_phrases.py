@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from helpers import awkward, empty
 from pyspark.sql import functions as F
@@ -112,3 +113,14 @@ def test_few_large_rows_are_held_at_once(spark):
     with common.small_batches(spark):
         assert most() <= 2 * common.BATCH_BYTES >> 20 < before
     assert most() == before
+
+
+def test_row_groups_hold_few_blocks(spark):
+    """A reader is handed a row group at once: a task's blocks lie in many."""
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(rng.bytes(1 << 20),) for _ in range(48)], "hashes binary").coalesce(1)
+    written = common.stored(rows, "blocks-test", **phrases._WRITE)
+    groups = pq.ParquetFile(written.inputFiles()[0].removeprefix("file:").replace("//", "/")).metadata
+    sizes = [groups.row_group(i).num_rows for i in range(groups.num_row_groups)]
+    assert sum(sizes) == 48 and max(sizes) <= 16
+    assert written.selectExpr("sum(length(hashes))").first()[0] == 48 << 20
