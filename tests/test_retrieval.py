@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from probanda.catalog.inputs import Inputs
 from probanda.functions import text as T
 from probanda.operators import chunk_index, compare, ranking, retrieve
 from probanda.plans import ask, research
@@ -167,6 +168,27 @@ def test_chunks_are_handed_over_once(spark):
     assert plan.count("Join") == 1 and "strategy=broadcast" in plan
 
 
+def test_a_block_grows_with_its_tokens(spark):
+    """A task holds every block: none keeps a matrix of all queries and all their tokens."""
+    asked = [(f"q{n}", " ".join(f"w{n}x{i}" for i in range(40)), [1.0, float(n)], None, 2, 0.0) for n in range(512)]
+    rows = ranking.query_blocks(retrieve.prepare_queries(queries(spark, asked)).coalesce(1)).toArrow()["queries"].combine_chunks()
+    blocks = [ranking.QueryBlock.of(row.values) for row in rows]
+    held = sum(x.nbytes for b in blocks for x in vars(b).values())
+    assert sum(len(b.ids) for b in blocks) == 512 and held < 4 << 20
+
+
+def test_chunks_are_stored_not_held(spark, tmp_path):
+    """A search reads chunks twice; executors hold none of them meanwhile, and the texts are
+    not read for their vectors."""
+    spark.createDataFrame([(n, f"text {n} " * 300, "en", "s") for n in range(6)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(n, [1.0, float(n)], 0) for n in range(4)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    chunks = Inputs(spark, str(tmp_path)).chunks
+    assert chunks.count() == 6 * 3 and chunks.where("embedding is null").count() == 0
+    assert not chunks.is_cached and chunks.inputFiles()
+    plan = chunks.select("chunk_id", "embedding")._jdf.queryExecution().executedPlan().toString()
+    assert "chunk_text" not in plan and "Exchange" not in plan
+
+
 def test_an_index_has_one_dimension(spark):
     rows = [(f"c{i}", "A", i, 0, None, "x", [1.0] * (2 + i // 3)) for i in range(4)]
     with pytest.raises(ValueError, match="several dimensions"):
